@@ -35,7 +35,7 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     char_distance: float = 0.22
-    word_distance: float = 0.60
+    word_distance: float = 0.26
     char_min_chars: int = 200
     word_min_words: int = 100
 
