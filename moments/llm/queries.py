@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm import line_runs, mixing, quality, sharding
+from moments.llm import line_runs, mixing, pii, quality, secrets, sharding
 from moments.llm.common import save, table
 from moments.llm.oracles import ORACLES  # noqa: F401
 
@@ -43,3 +43,15 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_join("pii", ",").alias("kinds")
+    )
+
+
+@query
+def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
