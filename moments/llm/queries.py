@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm import decontam, line_runs, mixing, pii, quality, secrets, sharding
+from moments.llm import decontam, line_runs, mixing, near, pii, quality, secrets, sharding
 from moments.llm.common import save, table
 from moments.llm.oracles import ORACLES  # noqa: F401
 
@@ -60,3 +60,10 @@ def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id", "n_links"
+    )
