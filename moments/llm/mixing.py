@@ -81,13 +81,14 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: int =
 
 def mix(
     docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: float = 1.5, cap: int = 2, block: int = 32,
-    shard_words: int = 1 << 18, seed: str = "mix",
+    shard_words: int = 1 << 18, seed: str = "mix", carry: tuple = (),
 ) -> DataFrame:
-    """(doc_id, size, no_source, name, source_size, target, taken), one row per document."""
+    """(doc_id, size, no_source, name, source_size, target, taken), one row per document, with the columns of carry."""
     size = n_words(F.col("text")) if size is None else size
     sizes = save(
         docs.select(
             "doc_id",
+            *carry,
             size.alias("size"),
             F.col("source").isNull().cast("int").alias("no_source"),
             F.coalesce("source", F.lit("")).alias("name"),
@@ -130,5 +131,26 @@ def mix(
     first, last = F.col("start") * block, (F.col("start") + F.col("rest")) * block
     taken = F.col("rounds") * F.col("size") + within(first, last) + within(F.lit(0), last - F.col("n") * block)
     return laid.join(shards, [*source, "shard"]).select(
-        "doc_id", "size", *source, "source_size", "target", taken.cast("long").alias("taken"), "draw"
+        "doc_id", "size", *source, "source_size", "target", taken.cast("long").alias("taken"), *carry
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs, each row repeated as often as the mix takes it, to the nearest whole copy (halves up). Rows that are equal in
+    doc_id and text share what they take."""
+    keys = docs.select("doc_id", "source", n_words(F.col("text")).alias("mix_size"), F.xxhash64("text").alias("mix_text"))
+    taken = mix(keys, F.col("mix_size"), carry=("mix_text",), **options)
+    copies = (
+        taken.groupBy("doc_id", "mix_text")
+        .agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+        .select(
+            F.col("doc_id").alias("mix_id"), "mix_text",
+            F.when(F.col("s") > 0, F.floor(F.col("t") / F.col("s") + 0.5)).otherwise(0).cast("int").alias("mix_copies"),
+        )
+        .filter("mix_copies > 0")
+    )
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    met = rows.join(
+        copies, F.col("row.doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64("row.text") == F.col("mix_text"))
+    )
+    return met.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies"))).alias("copy")).select("row.*")

@@ -213,6 +213,5 @@ def judged(feats: DataFrame, refs: dict, rules: QualityRules = QualityRules()) -
 
 def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, with their own columns. Two passes: one sums the references, one judges."""
-    feats = features(docs)
-    refs = references(feats, rules)
-    return judged(feats, refs, rules).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    feats = features(docs.select(F.struct("*").alias("row"), "text", "lang"))
+    return judged(feats, references(feats, rules), rules).filter("kept").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm import decontam, line_runs, mixing, near, pii, quality, secrets, sharding
+from moments.llm import decontam, line_runs, maxent, mixing, near, pii, quality, secrets, sharding, wrapper
 from moments.llm.common import save, table
 from moments.llm.oracles import ORACLES  # noqa: F401
 
@@ -17,6 +17,12 @@ def query(f):
     return f
 
 
+@query
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,3 +73,8 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "class_id", "n_links"
     )
+
+
+@query
+def op6_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -108,3 +108,25 @@ def assign_shards(docs: DataFrame, shards: int = 40, **options) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def sharded_documents(docs: DataFrame, shards: int = 40, **options) -> DataFrame:
+    """docs with shard and slot. Only keys are ranked; texts meet their places in one shuffle."""
+    text_hash = lambda x: F.xxhash64(x)
+    keys = save(record_keys(docs.select("doc_id", "text", text_hash("text").alias("place_text")), "place_text"))
+    placed = shard_by_bytes(keys, shards, **options).select(
+        F.col("doc_id").alias("place_id"), "place_text", "shard", "slot"
+    )
+    # rows that are equal in doc_id and text take the places of their group in any order
+    places = placed.groupBy("place_id", "place_text").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
+    met = (
+        docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        .withColumn("row_hash", text_hash("row.text"))
+        .join(places, F.col("row.doc_id").eqNullSafe(F.col("place_id")) & (F.col("row_hash") == F.col("place_text")))
+    )
+    many = W.partitionBy(F.col("row.doc_id"), "row_hash").orderBy("row_hash")
+    met = met.withColumn("nth", F.when(F.size("places") == 1, F.lit(1)).otherwise(F.row_number().over(many)))
+    keep = [c for c in docs.columns if c not in ("shard", "slot")]
+    return met.select(*[F.col(f"row.`{c}`") for c in keep], F.element_at("places", F.col("nth")).alias("at")).select(
+        *[F.col(f"`{c}`") for c in keep], "at.shard", "at.slot"
+    )
