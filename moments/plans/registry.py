@@ -1,4 +1,21 @@
 """Every registered query of the core library, and the SQL that checks it."""
 
+from __future__ import annotations
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with DuckDB SQL for the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+from moments.plans import grid, link, retrieve, speech, storage, summaries, thin  # noqa: E402, F401
