@@ -208,11 +208,14 @@ def _compare_small(rows: DataFrame, rules: NearRules) -> DataFrame:
 
 def candidate_edges(reps: DataFrame, rules: NearRules) -> DataFrame:
     """reps: (node, signature, paths), one row a node."""
-    rows = save(reps.select(F.explode("paths").alias("path"), "node", "signature"))
+    rows = save(reps.select(F.explode("paths").alias("path"), "node"))
+    signatures = save(reps.select("node", "signature"))
     out = None
     for level in range(1, rules.depth + 1):
         sizes = save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"))
-        met = rows.join(sizes, "path")
+        met = rows.join(sizes.hint("merge"), "path")
+        if level == 1:  # most paths lead to one node; only the others need signatures
+            met = save(met.join(signatures.hint("merge"), "node"))
         edges = _compare_small(met.filter(F.col("n") <= rules.small).drop("n", "least"), rules)
         out = edges if out is None else out.unionByName(edges)
         large = met.filter(F.col("n") > rules.small)
@@ -324,8 +327,9 @@ def _members(docs: DataFrame, groups: DataFrame, rules: NearRules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["label", "node", "weight", "block", "blocks", "set"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_text"), "text")
+    # both sides grow with the corpus: one shuffle of the texts, at every size
     joined = (
-        text.join(groups, text["rep"].eqNullSafe(groups["rep_id"]) & (text["rep_text"] == groups["rep_hash"]))
+        text.join(groups.hint("merge"), text["rep"].eqNullSafe(groups["rep_id"]) & (text["rep_text"] == groups["rep_hash"]))
         .select("label", "node", "weight", "block", "blocks", "text")
     )
     sets = joined.mapInArrow(scan, "label long, node long, weight long, block int, blocks int, set binary")
