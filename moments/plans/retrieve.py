@@ -1 +1,224 @@
-"""Queries."""
+"""Queries over units and their vectors: a benchmark item asks, the vector of its number stands for its embedding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from moments.functions import text as tx
+from moments.functions import vectors as vx
+from moments.operators import search as se
+from moments.plans.registry import query
+from moments.plans.views import sql, table, units
+
+STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+LIMIT = 10
+
+
+def TOK(c):
+    return f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9£$€%.:''-]+'), lambda x: x NOT IN ({STOP}))"
+
+
+SEARCH = f"""
+vecs AS (SELECT source AS video_id, doc_id AS chunk_id, lang AS sampler_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN documents ON doc_id = vec_id),
+qs AS (SELECT item_id AS q, b.text, CAST(embedding AS DOUBLE[]) AS v FROM benchmark b JOIN embeddings ON vec_id = item_id),
+dn AS (SELECT q, video_id, chunk_id, sampler_id, round(list_dot_product(qs.v, vecs.v) / (sqrt(list_dot_product(qs.v, qs.v)) * sqrt(list_dot_product(vecs.v, vecs.v))), 9) AS sim FROM qs, vecs),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, video_id, chunk_id, sampler_id) AS dense_rank FROM dn) WHERE dense_rank <= 40),
+qt AS (SELECT q, token, count(*) AS qtf FROM (SELECT q, unnest({TOK('text')}) AS token FROM qs) GROUP BY ALL),
+post AS (SELECT video_id, chunk_id, sampler_id, token, count(*) AS tf FROM (SELECT video_id, chunk_id, sampler_id, unnest({TOK('content')}) AS token FROM units)
+  WHERE token IN (SELECT token FROM qt) GROUP BY ALL),
+idf AS (SELECT token, ln(1 + ((SELECT count(*) FROM units) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY token),
+lx AS (SELECT q, video_id, chunk_id, sampler_id, count(*) AS shared, round(sum(qtf * tf * idf), 6) AS text_score FROM post JOIN qt USING (token) JOIN idf USING (token)
+  JOIN (SELECT q, least(2, count(*)) AS floor FROM qt GROUP BY q) USING (q) GROUP BY q, video_id, chunk_id, sampler_id HAVING count(*) >= min(floor)),
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY text_score DESC, video_id, chunk_id, sampler_id) AS text_rank FROM lx) WHERE text_rank <= 40),
+fused AS (SELECT q, video_id, chunk_id, sampler_id, dense_rank, text_rank, round(coalesce(1.0::DOUBLE / (dense_rank + 60), 0) + coalesce(1.0::DOUBLE / (text_rank + 60), 0), 12) AS score
+  FROM dense FULL OUTER JOIN lexical USING (q, video_id, chunk_id, sampler_id)),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, dense_rank NULLS LAST, video_id, chunk_id, sampler_id) AS rank FROM fused) WHERE rank <= {LIMIT}),
+mo0 AS (SELECT *, row_number() OVER (PARTITION BY q, video_id, chunk_id ORDER BY rank) AS place FROM hits),
+mo1 AS (SELECT q, video_id, chunk_id, round(sum(CASE place WHEN 1 THEN 1.0::DOUBLE / (rank + 10) WHEN 2 THEN 0.5::DOUBLE / (rank + 10) END), 12) AS moment_score, count(*) AS units,
+  list(sampler_id ORDER BY rank) AS samplers, count(text_rank) AS lexical_hits FROM mo0 GROUP BY ALL),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY moment_score DESC, video_id, chunk_id) AS moment_rank FROM mo1) WHERE moment_rank <= 5),
+relevant AS (SELECT item_id AS q, doc_id AS chunk_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
+grades AS (SELECT q, coalesce(1.0::DOUBLE / min(moment_rank) FILTER (hit), 0) AS mrr, coalesce((min(moment_rank) FILTER (hit) = 1)::INT::DOUBLE, 0) AS top1,
+  coalesce(count(DISTINCT chunk_id) FILTER (hit) / any_value(n)::DOUBLE, 0) AS recall, coalesce(sum(lexical_hits), 0) AS lexical_hits
+  FROM qs LEFT JOIN (SELECT f.*, r.chunk_id IS NOT NULL AS hit FROM found f LEFT JOIN relevant r ON f.q = r.q AND f.chunk_id = r.chunk_id) USING (q)
+  LEFT JOIN (SELECT q, count(*) AS n FROM relevant GROUP BY 1) USING (q) GROUP BY q),
+vocab AS (SELECT DISTINCT unnest({TOK('content')}) AS token FROM units),
+bands AS (SELECT q, o AS overlap, CASE WHEN o < 0.34 THEN 'low overlap' WHEN o < 0.67 THEN 'mixed' ELSE 'high overlap' END AS band FROM
+  (SELECT q, avg(CASE WHEN token IN (SELECT token FROM vocab) THEN 1.0::DOUBLE ELSE 0 END) AS o FROM (SELECT q, unnest({TOK('text')}) AS token FROM qs) GROUP BY q))
+"""
+
+
+def _vectors(spark, sf):
+    d, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    met = e.join(d, e["vec_id"] == d["doc_id"])
+    return met.select(F.col("source").alias("video_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("sampler_id"), vx.doubles(F.col("embedding")).alias("vector"))
+
+
+def _queries(spark, sf):
+    b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
+    return b.join(e, b["item_id"] == e["vec_id"]).select(F.col("item_id").alias("q"), "text", vx.doubles(F.col("embedding")).alias("vector"))
+
+
+def _dense(spark, sf):
+    return se.dense_top(_vectors(spark, sf), _queries(spark, sf), se.depth(LIMIT))
+
+
+def _fused(spark, sf):
+    return se.fuse(_dense(spark, sf), se.lexical_top(units(spark, sf), _queries(spark, sf), se.depth(LIMIT)))
+
+
+def _found(spark, sf):
+    return se.moments(se.hits(_fused(spark, sf), LIMIT))
+
+
+def _relevant(spark, sf):
+    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    return b.join(d, F.col("doc_id") % 40 == F.col("item_id") % 40).select(F.col("item_id").alias("q"), F.col("doc_id").alias("chunk_id"))
+
+
+@query(sql(" SELECT q, video_id, chunk_id, sampler_id, sim, dense_rank FROM dense", SEARCH))
+def k1_dense_top(spark, sf):
+    return _dense(spark, sf)
+
+
+@query(sql(" SELECT q, video_id, chunk_id, sampler_id, shared, text_score, text_rank FROM lexical", SEARCH))
+def k2_lexical_top(spark, sf):
+    return se.lexical_top(units(spark, sf), _queries(spark, sf), se.depth(LIMIT))
+
+
+@query(sql(" SELECT q, video_id, chunk_id, sampler_id, shared FROM lx", SEARCH))
+def r1_lexical_floor(spark, sf):
+    return se.lexical_scores(units(spark, sf), _queries(spark, sf)).drop("text_score")
+
+
+@query(sql(" SELECT q, video_id, chunk_id, sampler_id, text_score FROM lx", SEARCH))
+def r2_idf_score(spark, sf):
+    return se.lexical_scores(units(spark, sf), _queries(spark, sf)).drop("shared")
+
+
+@query(sql(" SELECT q, video_id, chunk_id, sampler_id, dense_rank, text_rank, score FROM fused", SEARCH))
+def r3_rank_fusion(spark, sf):
+    return _fused(spark, sf)
+
+
+@query(sql(" SELECT q, video_id, chunk_id, sampler_id, dense_rank, text_rank FROM fused", SEARCH))
+def j6_full_outer_ranks(spark, sf):
+    return _fused(spark, sf).drop("score")
+
+
+@query(sql(" SELECT q, video_id, chunk_id, sampler_id, score, rank FROM hits", SEARCH))
+def w12_total_order(spark, sf):
+    return se.hits(_fused(spark, sf), LIMIT).drop("dense_rank", "text_rank")
+
+
+@query(sql(" SELECT q, video_id, chunk_id, sampler_id, rank, n_chars FROM hits JOIN units USING (video_id, chunk_id, sampler_id)", SEARCH))
+def j7_hits_with_units(spark, sf):
+    met = se.hits(_fused(spark, sf), LIMIT).join(units(spark, sf), se.KEY)
+    return met.select("q", *se.KEY, "rank", "n_chars")
+
+
+@query(sql(" SELECT q, video_id, chunk_id, moment_score, units, moment_rank FROM found", SEARCH))
+def r4_moments(spark, sf):
+    return _found(spark, sf).drop("samplers", "lexical_hits")
+
+
+@query(sql(" SELECT q, video_id, chunk_id, samplers, lexical_hits FROM found", SEARCH))
+def r5_moment_payload(spark, sf):
+    return _found(spark, sf).select("q", "video_id", "chunk_id", "samplers", "lexical_hits")
+
+
+@query(sql(" SELECT * FROM found", SEARCH))
+def r6_hybrid_search(spark, sf):
+    return se.search(units(spark, sf), _vectors(spark, sf), _queries(spark, sf), LIMIT)
+
+
+@query(sql(" SELECT q, video_id, chunk_id, moment_rank FROM found WHERE moment_rank <= 3", SEARCH))
+def k3_top_moments(spark, sf):
+    return se.moments(se.hits(_fused(spark, sf), LIMIT), 3).select("q", "video_id", "chunk_id", "moment_rank")
+
+
+@query(sql(f""" SELECT q, video_id, chunk_id, sampler_id, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, video_id, chunk_id, sampler_id) AS dense_rank FROM dn
+  WHERE video_id IN ('src1', 'src2') AND sampler_id = 'en' QUALIFY dense_rank <= 40""", SEARCH))
+def f1_candidate_filter(spark, sf):
+    """Filters come before the ranking: they change ranks."""
+    kept = se.scope(_vectors(spark, sf), video_id=["src1", "src2"], sampler_id="en", chunk_id=None)
+    return se.dense_top(kept, _queries(spark, sf), se.depth(LIMIT))
+
+
+@query(sql(" SELECT video_id, chunk_id, sampler_id FROM units WHERE video_id IN (SELECT 'src' || item_id FROM benchmark)"))
+def f4_video_scope(spark, sf):
+    named = table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("video_id"))
+    return se.scope(units(spark, sf), named).select(*se.KEY)
+
+
+@query(sql("""  SELECT q, label AS video, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label) AS rank FROM
+  (SELECT q, label, round(list_dot_product(qs.v, s.v) / (sqrt(list_dot_product(qs.v, qs.v)) * sqrt(list_dot_product(s.v, s.v))), 9) AS sim FROM qs,
+   (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS v FROM embeddings GROUP BY label) s) QUALIFY rank <= 5""", SEARCH))
+def k4_whole_video_ranking(spark, sf):
+    """The first vector of each label stands for a whole video's summary; the summaries are few and known."""
+    from pyspark.sql import Window as W
+
+    whole = table(spark, sf, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
+    met = _queries(spark, sf).join(F.broadcast(whole), F.lit(True))
+    sim = F.round(vx.cosine(F.col("vector"), vx.doubles(F.col("v"))), 9)
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "video"))
+    return met.select("q", F.col("label").alias("video"), sim.alias("sim")).withColumn("rank", rank).filter("rank <= 5")
+
+
+@query(sql(" SELECT q, mrr, top1, recall, lexical_hits FROM grades", SEARCH))
+def e1_reciprocal_rank(spark, sf):
+    return se.graded(_found(spark, sf), _relevant(spark, sf), _queries(spark, sf))
+
+
+@query(sql(" SELECT q, overlap, band FROM bands", SEARCH))
+def e2_overlap_bands(spark, sf):
+    return se.overlaps(_queries(spark, sf), _vocabulary(spark, sf))
+
+
+def _vocabulary(spark, sf):
+    return units(spark, sf).select(F.explode(tx.tokens(F.col("content"))).alias("token")).distinct()
+
+
+@query(sql(""" SELECT band, count(*) AS n, round(avg(mrr), 4) AS mrr, round(avg(top1), 4) AS top1, round(avg(recall), 4) AS recall,
+  count(*) FILTER (lexical_hits > 0) AS lexical_fired_on FROM grades JOIN bands USING (q) GROUP BY band""", SEARCH))
+def e3_summary(spark, sf):
+    return se.summary(e1_reciprocal_rank(spark, sf), e2_overlap_bands(spark, sf))
+
+
+@query(sql(""" SELECT g.q, g.mrr AS mrr_fused, coalesce(1.0::DOUBLE / d.r, 0) AS mrr_dense, g.mrr - coalesce(1.0::DOUBLE / d.r, 0) AS gain FROM grades g LEFT JOIN
+  (SELECT q, min(dense_rank) AS r FROM dense JOIN relevant USING (q, chunk_id) WHERE dense_rank <= 5 GROUP BY q) d USING (q)""", SEARCH))
+def e4_compare_configurations(spark, sf):
+    dense = _dense(spark, sf).withColumn("moment_rank", F.col("dense_rank")).withColumn("lexical_hits", F.lit(0))
+    cases, relevant = _queries(spark, sf), _relevant(spark, sf)
+    one = se.graded(_found(spark, sf), relevant, cases).select("q", F.col("mrr").alias("mrr_fused"))
+    two = se.graded(dense, relevant, cases).select("q", F.col("mrr").alias("mrr_dense"))
+    return one.join(two, "q").withColumn("gain", F.col("mrr_fused") - F.col("mrr_dense"))
+
+
+@query(sql(" SELECT token FROM vocab", SEARCH))
+def a21_corpus_vocabulary(spark, sf):
+    return _vocabulary(spark, sf)
+
+
+@query(f"SELECT doc_id, {TOK('text')} AS tokens FROM documents")
+def x1_tokenise(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOK('text')}) AS token FROM documents) GROUP BY ALL")
+def x24_term_counts(spark, sf):
+    found = table(spark, sf, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
+    return found.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query(f"""SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS value FROM
+  (SELECT doc_id, ('0x' || left(sha256(token), 8))::BIGINT % 256 AS dim, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest({TOK('text')}) AS token FROM documents) GROUP BY ALL)""")
+def x17_hash_embedder(spark, sf):
+    """The hashed bag of words as sparse rows (doc_id, dim, value) of length 1."""
+    from pyspark.sql import Window as W
+
+    found = table(spark, sf, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
+    dim = F.conv(F.left(F.sha2("token", 256), F.lit(8)), 16, 10).cast("long") % 256
+    n = found.groupBy("doc_id", dim.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("doc_id")))
+    return n.select("doc_id", "dim", F.round(F.col("n") / length, 9).alias("value"))
