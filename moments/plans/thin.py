@@ -1 +1,111 @@
-"""Queries."""
+"""Queries for thinning and its streaming forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from moments.functions import vectors as vx
+from moments.operators import grid as g
+from moments.operators import thin as th
+from moments.plans.grid import PLACED, _grid
+from moments.plans.registry import query
+from moments.plans.views import DAY, GRID, START, frames, sql, table
+from moments.streaming import stream as st
+
+RATE = 1 / 3600.0
+#: Some frames arrive late: their media time is up to two hours older than their place says.
+LATE = f"""late AS (SELECT video_id, sampler_id, idx, media_ts - idx % 3 * 3600.0::DOUBLE AS media_ts FROM frames),
+dec AS (SELECT video_id, idx, b AS bucket FROM (SELECT *, max(b) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM
+  (SELECT *, floor(media_ts * {RATE!r}::DOUBLE)::BIGINT AS b FROM late)) WHERE top IS NULL OR b > top)"""
+
+
+def _late(df):
+    return df.withColumn("media_ts", F.col("media_ts") - F.col("idx") % 3 * F.lit(3600.0))
+
+
+@query(sql(" SELECT * FROM dec", LATE))
+def t1_decimate(spark, sf):
+    return th.decimate(_late(frames(spark, sf)), RATE).select("video_id", "idx", "bucket")
+
+
+@query(sql(" SELECT * FROM dec", LATE))
+def t1_decimate_stream(spark, sf):
+    events = st.file_stream(spark, sf, "events")
+    seen = events.select(
+        F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("idx"), (F.expr(f"timestampdiff(MICROSECOND, {START}, ts)") / 1e6).alias("media_ts")
+    )
+    return st.run(st.decimated(_late(seen), RATE))
+
+
+@query(sql(f" SELECT idx, floor(media_ts * {RATE!r}::DOUBLE)::BIGINT AS bucket FROM frames"))
+def x21_time_bucket(spark, sf):
+    return frames(spark, sf).select("idx", th.bucket(F.col("media_ts"), RATE).alias("bucket"))
+
+
+def _placed(spark, sf):
+    return g.point_join(frames(spark, sf), _grid(spark, sf), "media_ts", DAY)
+
+
+@query()
+def t2_rate_limit(spark, sf):
+    return th.rate_limit(_placed(spark, sf), 7200.0, 5)
+
+
+@query(sql(""" SELECT video_id, chunk_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY media_ts, idx) AS n FROM placed) WHERE (n - 1) % 3 = 0""", GRID, PLACED))
+def t3_stride(spark, sf):
+    return th.stride(_placed(spark, sf), 3).select("video_id", "chunk_id", "idx")
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 50).cast("string").alias("video_id"), F.floor(F.col("vec_id") / 10).cast("long").alias("chunk_id"),
+        F.col("vec_id").alias("idx"), vx.doubles(F.col("embedding")).alias("vector"),
+    )
+
+
+@query()
+def t4_change_reference(spark, sf):
+    return th.change_sampler(_vectors(spark, sf), 0.2)
+
+
+@query("""WITH v AS (SELECT vec_id, vec_id // 50 AS vid, vec_id // 10 AS chunk_id, CAST(embedding AS DOUBLE[]) AS v, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS p FROM embeddings)
+  SELECT CAST(vid AS VARCHAR) AS video_id, chunk_id, vec_id AS idx FROM v WHERE p IS NULL OR round(list_dot_product(v, p) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(p, p))), 9) < 0.2""")
+def t5_change_consecutive(spark, sf):
+    return th.consecutive_changes(_vectors(spark, sf), vx.cosine, 0.2)
+
+
+@query()
+def t6_region_change(spark, sf):
+    li = table(spark, sf, "lineitem")
+    box = F.array(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_quantity") + 10, F.col("l_discount") * 100 + 5)
+    seen = li.groupBy((F.col("l_orderkey") % 500).alias("video_id"), F.col("l_orderkey").alias("idx")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("l_returnflag") != "N", box))).alias("regions")
+    )
+    return th.region_sampler(seen, 0.3, th.box_iou)
+
+
+@query()
+def t7_ingest(spark, sf):
+    """Decimate, place by nearest chunk, offer to a stride and a rate limit; records by sampler."""
+    kept = th.decimate(frames(spark, sf), RATE)
+    placed = g.nearest_join(kept, _grid(spark, sf), "media_ts", DAY)
+    a = th.stride(placed, 2).select("video_id", "chunk_id", "idx", F.lit("stride").alias("by"))
+    b = th.rate_limit(placed, 3600.0, 10).select("video_id", "chunk_id", "idx", F.lit("rate").alias("by"))
+    return a.unionByName(b)
+
+
+@query("""SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def t8_tumbling_stream(spark, sf):
+    return st.run(st.tumbling(st.file_stream(spark, sf, "events"), "1 day"), "complete")
+
+
+@query("""SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM
+  (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, g""")
+def t9_silence_sessions_stream(spark, sf):
+    return st.run(st.sessions(st.file_stream(spark, sf, "events"), "6 hours"), "complete")
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id")
+def t10_incremental_upsert_stream(spark, sf):
+    """Only the keys of a micro-batch are recomputed and upserted."""
+    return st.run(st.file_stream(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")), "complete")
