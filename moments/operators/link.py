@@ -198,6 +198,52 @@ def track_costs(distances: DataFrame) -> DataFrame:
     return out.select("track", "detection", *[cost(c) for c in ("last2", "mean", "median", "max")])
 
 
+def merge_tracks(costs: DataFrame, threshold: float, how: str = "min") -> DataFrame:
+    """(video_id, mention, track): the closest compatible pair of tracks joins, until no cost is below the threshold. costs:
+    (video_id, mention_i, mention_j, answer_i, answer_j, cost) of all pairs; tracks that share an answer never join. Each merge
+    depends on the one before, so a video's pairs meet in one task; videos run in parallel."""
+    import numpy as np
+
+    combine = {"min": np.minimum, "max": np.maximum, "mean": None}
+
+    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([pdf["mention_i"], pdf["mention_j"]]))
+        i, j = np.searchsorted(ids, pdf["mention_i"]), np.searchsorted(ids, pdf["mention_j"])
+        n = len(ids)
+        cost = np.full((n, n), np.inf)
+        cost[i, j] = cost[j, i] = pdf["cost"]
+        answer = np.zeros(n, "int64")
+        answer[i], answer[j] = pdf["answer_i"], pdf["answer_j"]
+        held = answer[:, None] == np.unique(answer)[None, :]
+        members = [[k] for k in range(n)]
+        apart = (held.astype("int64") @ held.T.astype("int64")) > 0
+        live = np.where(apart, np.inf, cost)
+        while n > 1:
+            at = int(np.argmin(live))
+            a, b = divmod(at, n)
+            if not live[a, b] < threshold:
+                break
+            a, b = min(a, b), max(a, b)
+            if how == "mean":
+                x, y = len(members[a]), len(members[b])
+                new = (cost[a] * x + cost[b] * y) / (x + y)
+            else:
+                new = combine[how](cost[a], cost[b])
+            cost[a], cost[:, a] = new, new
+            cost[b], cost[:, b] = np.inf, np.inf
+            held[a] |= held[b]
+            members[a] += members[b]
+            members[b] = []
+            shared = (held.astype("int64") @ held[a].astype("int64")) > 0
+            live[b], live[:, b] = np.inf, np.inf
+            row = np.where(shared, np.inf, cost[a])
+            live[a], live[:, a] = row, row
+        rows = [(key[0], int(ids[m]), int(ids[min(g)])) for g in members for m in g]
+        return pd.DataFrame(rows, columns=["video_id", "mention", "track"])
+
+    return costs.groupBy("video_id").applyInPandas(merge, "video_id string, mention long, track long")
+
+
 def wrong_links(grouped: DataFrame, truth: DataFrame) -> DataFrame:
     """By video and subject: mentions, the groups they are split over, and mentions of other subjects in those groups."""
     known = grouped.join(truth, "mention")

@@ -316,3 +316,25 @@ def a10_doubts(spark, sf):
     seen = o.select(F.col("o_custkey").alias("entity"), "o_orderkey", number.alias("number"))
     flagged = o.select(F.col("o_custkey").alias("entity"), (F.col("o_orderkey") % 5).alias("number"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("reason"))
     return ln.doubts(seen, flagged)
+
+
+@query()
+def e10_track_merge(spark, sf):
+    costs = _pairs(spark, sf).select("video_id", "mention_i", "mention_j", "answer_i", "answer_j", (1 - F.col("sim")).alias("cost"))
+    return ln.merge_tracks(costs, 0.7)
+
+
+@query(f"""SELECT a.vec_id, round(least(greatest(list_dot_product({_V}, {_U}), 0), 1), 9) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def x16_clipped_similarity(spark, sf):
+    return x11_cosine(spark, sf).select("vec_id", F.col("clipped").alias("similarity"))
+
+
+@query()
+def p2_link_profiles(spark, sf):
+    """Link definitions as data: each profile links the same mentions."""
+    m = _mentions(spark, sf)
+    out = None
+    for name, profile in {"strict": ln.LinkProfile(), "loose": ln.LinkProfile("q90", mutual=False), "fixed": ln.LinkProfile(threshold=0.5)}.items():
+        one = ln.link(m, profile).withColumn("profile", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

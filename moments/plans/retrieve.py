@@ -222,3 +222,10 @@ def x17_hash_embedder(spark, sf):
     n = found.groupBy("doc_id", dim.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("doc_id")))
     return n.select("doc_id", "dim", F.round(F.col("n") / length, 9).alias("value"))
+
+
+@query(sql(" SELECT q, chunk_id, dense_rank AS rank, 'dense' AS half FROM dense UNION ALL SELECT q, chunk_id, text_rank, 'text' FROM lexical", SEARCH))
+def w11_dense_and_text_ranks(spark, sf):
+    a = _dense(spark, sf).select("q", "chunk_id", F.col("dense_rank").alias("rank"), F.lit("dense").alias("half"))
+    b = se.lexical_top(units(spark, sf), _queries(spark, sf), se.depth(LIMIT))
+    return a.unionByName(b.select("q", "chunk_id", F.col("text_rank").alias("rank"), F.lit("text").alias("half")))

@@ -505,3 +505,15 @@ def p4_batch_scorer(spark, sf):
     from moments.operators.scoring import score_texts
 
     return score_texts(table(spark, sf, "documents"), "doc_id", "text", lambda texts: [len(t) for t in texts])
+
+
+@query("SELECT 'described' AS kind, count(*) AS units FROM documents WHERE trim(coalesce(text, '')) <> '' UNION ALL SELECT 'spoken', count(*) FROM conversations WHERE trim(coalesce(text, '')) <> ''")
+def u1_union_of_units(spark, sf):
+    both = r7_units_of_both(spark, sf).withColumn("kind", F.when(F.col("unit").startswith("d"), "described").otherwise("spoken"))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("units"))
+
+
+@query("SELECT c_custkey, left(sha256(c_name || '/' || c_mktsegment), 12) AS version FROM customer")
+def x23_version_hash(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", tx.fingerprint(F.concat_ws("/", "c_name", "c_mktsegment"), 12).alias("version"))

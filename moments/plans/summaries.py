@@ -213,3 +213,12 @@ def w13_observation_numbers(spark, sf):
 
     order = W.partitionBy("video_id", "sampler_id").orderBy("media_ts", "idx")
     return frames(spark, sf).select("video_id", "idx", F.row_number().over(order).alias("number"))
+
+
+@query("""WITH l0 AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS pos, CAST(length(text) AS VARCHAR) AS text FROM conversations)
+  SELECT video_id, 0 AS layer, pos, text FROM l0 UNION ALL SELECT video_id, 1, pos // 25, CAST(max(text::BIGINT) AS VARCHAR) FROM l0 WHERE video_id IN (SELECT video_id FROM l0 GROUP BY 1 HAVING true) GROUP BY video_id, pos // 25""")
+def p1_custom_fold(spark, sf):
+    """A fold as data: the reducer is a Column function, here the longest turn."""
+    c = table(spark, sf, "conversations")
+    rows = c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("pos"), F.length("text").cast("string").alias("text"), F.array("turn").alias("chunk_ids"))
+    return st.fold(rows, lambda t: F.array_max(F.transform(t, lambda x: x.cast("long"))).cast("string")).select("video_id", "layer", "pos", "text")

@@ -109,3 +109,13 @@ def t9_silence_sessions_stream(spark, sf):
 def t10_incremental_upsert_stream(spark, sf):
     """Only the keys of a micro-batch are recomputed and upserted."""
     return st.run(st.file_stream(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")), "complete")
+
+
+@query()
+def p5_sampler_protocol(spark, sf):
+    """The similarity of a sampler is the user's: here the share of equal signs."""
+
+    def signs(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: ((x > 0) == (y > 0)).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+    return th.consecutive_changes(_vectors(spark, sf), signs, 0.5)
