@@ -88,9 +88,9 @@ def w8_policy_grid(spark, sf):
 @query(sql(""" SELECT video_id, t AS threshold, count("at") AS cuts, count("at") / any_value(n) AS rate,
   list_sort(list(gap) FILTER (gap IS NOT NULL))[len(list(gap) FILTER (gap IS NOT NULL)) // 2 + 1] AS median_gap
   FROM (SELECT v.video_id, v.t, v.n, m."at", m.gap FROM
-    (SELECT video_id, count(*) AS n, unnest([20.0, 60.0, 120.0]) AS t FROM frames GROUP BY video_id) v
+    (SELECT video_id, count(*) AS n, unnest([20.0, 60.0, 120.0]::DOUBLE[]) AS t FROM frames GROUP BY video_id) v
     LEFT JOIN (SELECT video_id, t, media_ts AS "at", media_ts - lag(media_ts) OVER (PARTITION BY video_id, t ORDER BY media_ts) AS gap
-      FROM frames, (SELECT unnest([20.0, 60.0, 120.0]) AS t) WHERE score >= t) m ON v.video_id = m.video_id AND v.t = m.t)
+      FROM frames, (SELECT unnest([20.0, 60.0, 120.0]::DOUBLE[]) AS t) WHERE score >= t) m ON v.video_id = m.video_id AND v.t = m.t)
   GROUP BY video_id, t"""))
 def a15_threshold_sweep(spark, sf):
     return g.sweep(_scores(spark, sf), [20.0, 60.0, 120.0])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+#: Ranks and counts, which are reported as 64-bit numbers by every query.
+COUNTED = set("rank dense_rank text_rank moment_rank place number n shared chars least most".split())
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -10,7 +14,12 @@ def query(oracle: str | None = None):
     """Registers a function (spark, sf_dir) -> DataFrame under its name, with DuckDB SQL for the same rows."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            df = f(spark, sf_dir)
+            return df.select(*[df[c].cast("long").alias(c) if k == "int" and c in COUNTED else df[c] for c, k in df.dtypes])
+
+        QUERIES[f.__name__] = run
         if oracle:
             ORACLES[f.__name__] = oracle
         return f

@@ -39,7 +39,7 @@ mo1 AS (SELECT q, video_id, chunk_id, round(sum(CASE place WHEN 1 THEN 1.0::DOUB
 found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY moment_score DESC, video_id, chunk_id) AS moment_rank FROM mo1) WHERE moment_rank <= 5),
 relevant AS (SELECT item_id AS q, doc_id AS chunk_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
 grades AS (SELECT q, coalesce(1.0::DOUBLE / min(moment_rank) FILTER (hit), 0) AS mrr, coalesce((min(moment_rank) FILTER (hit) = 1)::INT::DOUBLE, 0) AS top1,
-  coalesce(count(DISTINCT chunk_id) FILTER (hit) / any_value(n)::DOUBLE, 0) AS recall, coalesce(sum(lexical_hits), 0) AS lexical_hits
+  coalesce(count(DISTINCT chunk_id) FILTER (hit) / any_value(n)::DOUBLE, 0) AS recall, coalesce(sum(lexical_hits), 0)::BIGINT AS lexical_hits
   FROM qs LEFT JOIN (SELECT f.*, r.chunk_id IS NOT NULL AS hit FROM found f LEFT JOIN relevant r ON f.q = r.q AND f.chunk_id = r.chunk_id) USING (q)
   LEFT JOIN (SELECT q, count(*) AS n FROM relevant GROUP BY 1) USING (q) GROUP BY q),
 vocab AS (SELECT DISTINCT unnest({TOK('content')}) AS token FROM units),

@@ -57,7 +57,7 @@ def a11_segment_speaker(spark, sf):
 
 
 @query(sql(""" SELECT video_id, chunk_id, run, any_value(speaker) AS speaker, min(start) AS start, arg_max("end", seq * 1000000 + n) AS "end",
-  trim(string_agg(word, '' ORDER BY seq, n), ' ') AS text FROM (SELECT *, sum(c) OVER (PARTITION BY video_id, chunk_id ORDER BY seq, n) AS run FROM
+  trim(string_agg(word, '' ORDER BY seq, n), ' ') AS text FROM (SELECT *, (sum(c) OVER (PARTITION BY video_id, chunk_id ORDER BY seq, n))::BIGINT AS run FROM
   (SELECT *, CASE WHEN row_number() OVER w = 1 OR speaker IS DISTINCT FROM lag(speaker) OVER w THEN 1 ELSE 0 END AS c FROM tplaced
    WHERE chunk_id IS NOT NULL WINDOW w AS (PARTITION BY video_id, chunk_id ORDER BY seq, n))) GROUP BY video_id, chunk_id, run""", TALK))
 def w10_speaker_turns(spark, sf):

@@ -146,13 +146,13 @@ def s13_delete_where(spark, sf):
     return so.delete_where(_orders(spark, sf), o_orderstatus="F", o_custkey=7)
 
 
-@query("""WITH p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O') SELECT 'frames' AS t, l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_orderkey IN (SELECT k FROM p)
+@query("""WITH p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O') SELECT 'frames' AS t, l_orderkey AS k, l_linenumber AS line FROM lineitem WHERE l_orderkey IN (SELECT k FROM p)
   UNION ALL SELECT 'paid', l_orderkey, l_linenumber FROM lineitem""")
 def s14_cascade(spark, sf):
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"))
     parents = table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k"))
     out = so.cascade({"frames": li, "paid": li}, parents, "k", ["frames"])
-    return out["frames"].select(F.lit("frames").alias("t"), "k", "n").unionByName(out["paid"].select(F.lit("paid").alias("t"), "k", "n"))
+    return out["frames"].select(F.lit("frames").alias("t"), "k", "line").unionByName(out["paid"].select(F.lit("paid").alias("t"), "k", "line"))
 
 
 @query("SELECT c_mktsegment AS name, left(sha256(c_name), 12) AS version FROM customer")

@@ -25,7 +25,7 @@ def a1_video_stats(spark, sf):
     return st.video_stats(chunks, chunk_texts(words(spark, sf), chunks, WIDTH), frames(spark, sf))
 
 
-@query(sql(""" SELECT video_id, speaker, ms / 1000.0::DOUBLE AS seconds, ms / sum(ms) OVER v AS share, sum(n) OVER v AS turns, sum(h) OVER v AS handovers,
+@query(sql(""" SELECT video_id, speaker, ms / 1000.0::DOUBLE AS seconds, ms / sum(ms) OVER v AS share, (sum(n) OVER v)::BIGINT AS turns, (sum(h) OVER v)::BIGINT AS handovers,
   sum(ms) OVER v / 1000.0::DOUBLE / d AS speech_ratio, count(*) OVER v = 1 AND sum(h) OVER v = 0 AS monologue,
   row_number() OVER (PARTITION BY video_id ORDER BY ms DESC, f) = 1 AS dominant FROM
   (SELECT video_id, speaker, sum(round(("end" - start) * 1000)::BIGINT) AS ms, count(*) AS n, coalesce(sum((p <> speaker)::INT), 0) AS h, min(seq) AS f
@@ -119,7 +119,7 @@ def w14_turning_points(spark, sf):
   l1 AS (SELECT video_id, 1 AS layer, pos // 25 AS pos, string_agg(text, '+' ORDER BY pos) AS text, list_sort(list_distinct(flatten(list(chunk_ids)))) AS chunk_ids
     FROM l0 GROUP BY video_id, pos // 25),
   l2 AS (SELECT video_id, 2 AS layer, pos // 25 AS pos, string_agg(text, '+' ORDER BY pos) AS text, list_sort(list_distinct(flatten(list(chunk_ids)))) AS chunk_ids
-    FROM l1 GROUP BY video_id, pos // 25)
+    FROM l1 WHERE (SELECT max(n) FROM (SELECT count(*) AS n FROM l1 GROUP BY video_id)) > 1 GROUP BY video_id, pos // 25)
   SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2""".replace(" , l0", ", l0", 1)))
 def a6_fold(spark, sf):
     from pyspark.sql import Window as W

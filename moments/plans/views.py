@@ -96,11 +96,11 @@ units AS (SELECT source AS video_id, doc_id AS chunk_id, lang AS sampler_id, tex
 DAY = 86400.0
 #: The uniform grid of a day a chunk, its tail merged below a quarter.
 GRID = f"""
-grid0 AS (SELECT video_id, duration_s, k * {DAY} AS s, least((k + 1) * {DAY}, duration_s) AS e, k,
-  CAST(ceil(duration_s / {DAY}) AS BIGINT) AS n FROM media, range(40) r(k) WHERE k < ceil(duration_s / {DAY})),
+grid0 AS (SELECT video_id, duration_s, k * {DAY}::DOUBLE AS s, least((k + 1) * {DAY}::DOUBLE, duration_s) AS e, k,
+  CAST(ceil(duration_s / {DAY}::DOUBLE) AS BIGINT) AS n FROM media, range(40) r(k) WHERE k < ceil(duration_s / {DAY}::DOUBLE)),
 chunks AS (SELECT video_id, k AS chunk_id, s AS start_ts,
-  CASE WHEN k = n - 2 AND duration_s - (n - 1) * {DAY} < {DAY} * 0.25 THEN duration_s ELSE e END AS end_ts
-  FROM grid0 WHERE NOT (k = n - 1 AND n > 1 AND e - s < {DAY} * 0.25))
+  CASE WHEN k = n - 2 AND duration_s - (n - 1) * {DAY}::DOUBLE < {DAY}::DOUBLE * 0.25 THEN duration_s ELSE e END AS end_ts
+  FROM grid0 WHERE NOT (k = n - 1 AND n > 1 AND e - s < {DAY}::DOUBLE * 0.25))
 """
 
 
