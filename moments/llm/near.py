@@ -235,9 +235,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     for _ in range(most):
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = save(
-            both.join(save(least), "src").filter("dst > src and dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        )
+        large = save(both.join(save(least), "src").filter("dst > src and dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         least = save(down.groupBy("src").agg(F.min("dst").alias("m")))
         small = down.join(least, "src").select(F.explode(F.array("src", "dst")).alias("x"), "m").filter("x <> m")
@@ -373,7 +371,7 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     )
     edges = candidate_edges(first, rules)
     groups = save(components(edges))
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = save(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
     blocks = F.ceil(F.col("n") / rules.block).cast("int")
     placed = save(
         groups.join(sizes, "label")
@@ -385,7 +383,13 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     )
     found = save(_exact_blocks(_members(docs, placed, rules), rules))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    # a group of one block has its components already; only forests of several blocks are joined
+    whole = sizes.filter(F.col("n") <= rules.block).select("label")
+    parts = found.join(whole, "label", "left_anti").select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    classes = found.join(whole, "label", "left_semi").select("node", F.col("root").alias("label"))
+    parts = save(parts)
+    if not parts.isEmpty():
+        classes = classes.unionByName(components(parts))
     of = (
         nodes.join(links, "node", "left")
         .join(classes, "node", "left")
