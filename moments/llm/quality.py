@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moments.llm.common import let, words
+from moments.llm.common import let, save, words
 
 #: Frequent function words by language.
 COMMON_WORDS = {
@@ -212,6 +212,7 @@ def judged(feats: DataFrame, refs: dict, rules: QualityRules = QualityRules()) -
 
 
 def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with their own columns. Two passes: one sums the references, one judges."""
-    feats = features(docs.select(F.struct("*").alias("row"), "text", "lang"))
+    """The documents that pass, with their own columns. The features are written once; the references are summed over them."""
+    whole = docs.select(F.struct("*").alias("row"), "text", "lang")
+    feats = save(features(whole).select("row", "q"))  # a filter over them would otherwise compute them again and again
     return judged(feats, references(feats, rules), rules).filter("kept").select("row.*")
