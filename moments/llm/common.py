@@ -33,7 +33,7 @@ def save(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/moments-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -68,8 +68,12 @@ def test_quality_base(docs):
 
 
 def test_quality_keeps_prose_and_drops_noise(spark):
-    prose = "the wind of the sea and the rain in a town is that for it on was with as be by hand or foot "
-    good = [(i, (prose + f"word{i} thing{i} ") * 1 + " ".join(f"w{i}{j} the of and" for j in range(60)), "en") for i in range(30)]
+    import random
+
+    rnd = random.Random(6)
+    common = quality.COMMON_WORDS["en"]
+    prose = lambda i: " ".join(rnd.choice(common) if rnd.random() < 0.5 else f"{rnd.choice('abcdefgh')}or{rnd.choice('stuv')}e" for _ in range(150))
+    good = [(i, prose(i), "en") for i in range(30)]
     noise = [(100, " ".join(f"z{j}%%% y{j}###" for j in range(120)), "en"), (101, "few words", "en"), (102, None, "en")]
     df = spark.createDataFrame(good + noise, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in quality.filter_quality(df).collect()}
