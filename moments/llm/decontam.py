@@ -6,12 +6,19 @@ them on diagonals (text position - item position) that differ by at most k (the
 counted in overlapping bands of diagonals, each 2 (k + 1) wide and half a band apart; bands with t or more are regions, and
 each region is verified by an edit-distance computation that keeps only the band.
 
-The items are a bounded side: they are read in blocks of at most ``block_chars`` characters, and every block is held against
+Long items are also cut into overlapping windows, which are found in the same way: a text that quotes a part of an item holds
+every window inside that part. A quoted run of window + step - 1 characters always holds one. Items of fewer than ``min_chars``
+characters count only where they start and end on word bounds of the text, since their letters may also occur inside other
+words; in scripts written without spaces every character is a word. They are found by shorter q-grams, for which the lemma
+still gives a bound, and those whose budget is 0 by a look-up of exactly their length.
+
+The items are a bounded side: they are read in blocks of at most ``block_chars`` characters, windows included, and every block is held against
 all texts. Texts are split between tasks by Spark and scanned whole, in slices of a bounded size that overlap by more than
 the longest region.
 
-Defined results: null and empty texts and items match nothing; items whose form is shorter than ``min_chars`` are left out,
-since a few words occur by chance; repeated rows give repeated pairs; empty tables give no rows.
+Defined results: null and empty texts and items match nothing; an item gets a row for every region of a text that overlaps no
+better one of that item (whole before window, fewer edits before more, then the earlier); repeated rows give repeated rows;
+empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +39,12 @@ _FORM = re.compile(r"[\W_]+")
 class LeakRules:
     rate: float = 0.08
     q: int = 8
+    #: Shorter items match on word bounds only, by q-grams of ``short_q`` characters.
     min_chars: int = 40
+    short_q: int = 6
+    #: Characters of the windows of long items, and from one window to the next.
+    window: int = 120
+    step: int = 40
     block_chars: int = 8_000_000
     slice_chars: int = 1_000_000
 
@@ -41,6 +53,25 @@ def plain(text: str | None) -> str:
     return _FORM.sub("", (text or "").lower())
 
 
+#: Scripts written without spaces: Thai and Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+
+
+def word_bounds(text: str | None) -> np.ndarray:
+    """For each place of the plain form, from 0 to its length: whether a word of the text starts or ends there."""
+    runs = _FORM.split((text or "").lower())
+    ends = np.cumsum([len(x) for x in runs])
+    bound = np.zeros(int(ends[-1]) + 1, bool)
+    bound[0], bound[ends] = True, True
+    codes = _codes("".join(runs))
+    alone = np.zeros(len(codes), bool)
+    for a, b in _UNSPACED:
+        alone |= (codes >= a) & (codes <= b)
+    bound[:-1] |= alone
+    bound[1:] |= alone
+    return bound
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
 
@@ -63,10 +94,10 @@ class _Index:
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int, str]], rules: LeakRules):
-        self.rules, self.items = rules, items
+    def __init__(self, items: list[tuple[int, str]], rules: LeakRules, q: int):
+        self.q, self.items = q, items
         self.codes = [_codes(x) for _, x in items]
-        grams = [_grams(c, rules.q) for c in self.codes]
+        grams = [_grams(c, q) for c in self.codes]
         hashes = np.concatenate(grams) if grams else np.zeros(0, "uint64")
         which = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, "int64")
@@ -76,7 +107,7 @@ class _Index:
         self.table[(self.hashes & np.uint64((1 << self.BITS) - 1)).astype("int64")] = True
         lengths = np.array([len(c) for c in self.codes], "int64")
         self.budget = (lengths * rules.rate).astype("int64")
-        self.least = np.maximum(lengths + 1 - rules.q - self.budget * rules.q, 1)
+        self.least = np.maximum(lengths + 1 - q - self.budget * q, 1)
         self.longest = int((lengths + 2 * self.budget).max()) if len(lengths) else 0
 
     def regions(self, grams: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -100,18 +131,28 @@ class _Index:
         for k, i in zip(keys[n >= self.least[its]], its[n >= self.least[its]]):
             yield int(i), int((k & ((1 << 40) - 1)) * (self.budget[i] + 1) - shift)
 
-    def verified(self, said: str, text: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(start, end, edits) of the item in the text with its diagonals in the band, if within the budget."""
+    def inner(self, item: int, diagonal: int) -> tuple[int, int]:
+        """Places that every region of the item in the band covers."""
+        k = int(self.budget[item])
+        return diagonal + 3 * k + 2, diagonal + len(self.codes[item]) - 2 * k
+
+    def verified(self, said: str, text: np.ndarray, item: int, diagonal: int, bound: np.ndarray | None = None) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the item in the text with its diagonals in the band, if within the budget; with
+        ``bound``, only from and to places that it marks."""
         k = int(self.budget[item])
         low, width = diagonal - k, 4 * k + 3
         pattern = self.codes[item]
-        whole = said.find(self.items[item][1], max(0, low), max(0, low) + width + len(pattern))
+        whole = said.find(self.items[item][1], max(0, low), max(0, low + width + len(pattern)))
+        while whole >= 0 and bound is not None and not (bound[whole] and bound[whole + len(pattern)]):
+            whole = said.find(self.items[item][1], whole + 1, max(0, low + width + len(pattern)))
         if whole >= 0:
             return whole, whole + len(pattern), 0
         # row i, column j stands for text position i + low + j; a path may start and end anywhere in the band
         col = np.arange(width)
         cost = np.zeros(width, "int32")
         start = low + col
+        if bound is not None:
+            cost[~_marked(bound, start)] = 1 << 20
         for i, c in enumerate(pattern):
             at = i + low + col
             inside = (at >= 0) & (at < len(text))
@@ -125,26 +166,99 @@ class _Index:
             run = np.minimum.accumulate(best - col)
             first = np.maximum.accumulate(np.where(best - col == run, col, 0))
             cost, start = run + col, origin[first]
+        if bound is not None:
+            cost = np.where(_marked(bound, len(pattern) + low + col), cost, 1 << 20)
         edits = int(cost.min())
         if edits > k:
             return None
         j = int(np.flatnonzero(cost == edits)[0])
         return max(0, int(start[j])), min(len(text), len(pattern) + low + j), edits
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) over the plain form of a text: the best region of each item."""
-        best: dict[int, tuple[int, int, int]] = {}
-        codes, step = _codes(text), self.rules.slice_chars
-        for at in range(0, max(1, len(codes)), step):
-            part = codes[at : at + step + self.longest + self.rules.q]
+
+def _marked(bound: np.ndarray, at: np.ndarray) -> np.ndarray:
+    inside = (at >= 0) & (at < len(bound))
+    out = np.zeros(len(at), bool)
+    out[inside] = bound[at[inside]]
+    return out
+
+
+class _Taken:
+    """The regions of each item so far, none over another."""
+
+    def __init__(self):
+        self.by: dict[int, list[tuple[int, int, int]]] = {}
+
+    def meets(self, item: int, start: int, end: int, edits: int | None = None) -> bool:
+        """Whether a region of the item, of at most so many edits, has a place in common with start to end."""
+        return any(start < e and s < end and (edits is None or n <= edits) for s, e, n in self.by.get(item, ()))
+
+    def add(self, found: list[tuple[int, int, int, int]]) -> None:
+        """(edits, start, end, item): the best first."""
+        for edits, start, end, item in sorted(set(found)):
+            if not self.meets(item, start, end):
+                self.by.setdefault(item, []).append((start, end, edits))
+
+
+class _Matcher:
+    """A block of items: long ones whole, their windows, and short ones on word bounds."""
+
+    def __init__(self, items: list[tuple[int, str]], rules: LeakRules):
+        self.rules = rules
+        long = [x for x in items if len(x[1]) >= rules.min_chars]
+        short = [x for x in items if len(x[1]) < rules.min_chars]
+        fuzzy = [x for x in short if int(len(x[1]) * rules.rate) and len(x[1]) >= rules.short_q]
+        self.whole, self.parts = _Index(long, rules, rules.q), _Index([w for x in long for w in _windows(x, rules)], rules, rules.q)
+        self.short = _Index(fuzzy, rules, rules.short_q)
+        self.bounded = bool(short)
+        self.exact: dict[int, dict[str, list[int]]] = {}
+        for i, x in short:
+            if not int(len(x) * rules.rate) or len(x) < rules.short_q:
+                self.exact.setdefault(len(x), {}).setdefault(x, []).append(i)
+        self.hashes = {n: np.unique(np.concatenate([_grams(_codes(x), n) for x in known])) for n, known in self.exact.items()}
+
+    def _found(self, index: _Index, text: str, codes: np.ndarray, taken: _Taken, bound: np.ndarray | None) -> list:
+        """All verified regions (edits, start, end, item id) of an index, but those over a region that goes before them."""
+        out, best, step = [], _Taken(), self.rules.slice_chars
+        for at in range(0, max(1, len(codes)) if index.items else 0, step):
+            part = codes[at : at + step + index.longest + index.q]
             said = text if len(part) == len(text) else text[at : at + len(part)]
-            for item, diagonal in self.regions(_grams(part, self.rules.q)):
-                if item in best and best[item][2] == 0:
+            near = None if bound is None else bound[at : at + len(part) + 1]
+            for item, diagonal in index.regions(_grams(part, index.q)):
+                name, (a, b) = index.items[item][0], index.inner(item, diagonal)
+                if a < b and (taken.meets(name, a + at, b + at) or best.meets(name, a + at, b + at, 0)):
                     continue
-                found = self.verified(said, part, item, diagonal)
-                if found and (item not in best or found[2] < best[item][2]):
-                    best[item] = (found[0] + at, found[1] + at, found[2])
-        return [(self.items[i][0], *v) for i, v in sorted(best.items())]
+                found = index.verified(said, part, item, diagonal, near)
+                if found:
+                    start, end, edits = found[0] + at, found[1] + at, found[2]
+                    out.append((edits, start, end, name))
+                    if edits == 0 and not best.meets(name, start, end):
+                        best.by.setdefault(name, []).append((start, end, 0))
+        return out
+
+    def _looked_up(self, text: str, codes: np.ndarray, bound: np.ndarray) -> list:
+        out = []
+        for n, known in self.exact.items():
+            at = np.flatnonzero(bound[: max(0, len(codes) - n + 1)] & bound[n:]) if len(codes) >= n else np.zeros(0, "int64")
+            for i in at[np.isin(_grams(codes, n)[at], self.hashes[n])].tolist():
+                out += [(0, i, i + n, item) for item in known.get(text[i : i + n], ())]
+        return out
+
+    def matches(self, said: str | None) -> list[tuple[int, int, int, int]]:
+        """(item id, start, end, edits) over the plain form of a text: every region that overlaps no better one of its item."""
+        text, taken = plain(said), _Taken()
+        codes = _codes(text)
+        taken.add(self._found(self.whole, text, codes, taken, None))
+        taken.add(self._found(self.parts, text, codes, taken, None))
+        if self.bounded:
+            bound = word_bounds(said)
+            taken.add(self._found(self.short, text, codes, taken, bound) + self._looked_up(text, codes, bound))
+        return [(item, *region) for item, regions in sorted(taken.by.items()) for region in sorted(regions)]
+
+
+def _windows(item: tuple[int, str], rules: LeakRules) -> list[tuple[int, str]]:
+    last = len(item[1]) - rules.window
+    starts = sorted({*range(0, last, rules.step), last}) if last > 0 else []
+    return [(item[0], item[1][i : i + rules.window]) for i in starts]
 
 
 def _blocks(benchmark: DataFrame, rules: LeakRules) -> Iterator[list[tuple[int, str]]]:
@@ -152,13 +266,14 @@ def _blocks(benchmark: DataFrame, rules: LeakRules) -> Iterator[list[tuple[int,
     block, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
         x = plain(r["text"])
-        if len(x) < rules.min_chars:
+        if not x:
             continue
-        if block and size + len(x) > rules.block_chars:
+        held = len(x) + sum(len(w) for _, w in _windows((r["item_id"], x), rules))
+        if block and size + held > rules.block_chars:
             yield block
             block, size = [], 0
         block.append((r["item_id"], x))
-        size += len(x)
+        size += held
     if block:
         yield block
 
@@ -171,12 +286,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules())
         shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_chars
 
         def scan(batches, shared=shared):
-            index = _Index(shared.value, rules)
+            index = _Matcher(shared.value, rules)
             for batch in batches:
                 rows = [
                     (d, *m)
                     for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"))
-                    for m in index.matches(plain(t.as_py()))
+                    for m in index.matches(t.as_py())
                 ]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 names = ["doc_id", "item_id", "start", "end", "edits"]
