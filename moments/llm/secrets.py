@@ -2,9 +2,11 @@
 
 Every long token of key-like characters gets an encoding (hex, lower-case or mixed alphanumeric, base64) and three p-values
 under the null of uniform random characters: chi-squared of the alphabet, runs about the middle of the alphabet, and lag-1
-serial correlation. Fisher's rule joins them. Tokens made of letters alone are taken as decoys: within each band of lengths
-the least combined p-value is accepted at which decoys / candidates stays below the false-discovery rate, so short tokens,
-on which the tests have little power, need a better score. The counts behind that are one small table: bands by bins.
+serial correlation. Fisher's rule joins them. Tokens made of letters alone are taken as decoys, together with a fixed reference
+of identifiers made of words and numbers: a candidate's error is the share of decoys of its band of lengths that score as well.
+A band with few decoys borrows from the next shorter ones, on which the tests have less power, so the share is not too low.
+Benjamini-Hochberg over the candidates of all bands sets how large an error is accepted. So a lone key of a rare length, or in
+a table without decoys, can be accepted; short tokens need a better score. The counts behind that are bands by levels.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans; an empty table gives no rows.
 Positions are code points, end exclusive; the span is the whole match.
@@ -12,7 +14,9 @@ Positions are code points, end exclusive; the span is the whole match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moments.llm.common import let, save
@@ -32,7 +36,28 @@ ALPHABETS = {
     "mixed": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
-BINS = 50
+#: Levels of scores, in half powers of 2 of the combined p-value; beyond the last level everything is alike.
+LEVELS = 100
+#: The battery rejects randomness at this combined p-value, whatever the decoys.
+REJECTED = 0.001
+#: Words of the reference, its bands of lengths, and the tokens in each; also the decoys a band needs before it stops borrowing.
+REFERENCE_WORDS = (
+    "user name file path index value table data config server client request response handler service manager default internal "
+    "version update release summary report customer account order product image upload download session message language "
+    "north south river mountain history question answer general science department benutzer datei verzeichnis antwort rechnung "
+    "fichier utilisateur reponse commande archivo usuario respuesta pedido 2024 2019 01 10 v2 007 1 3 64 12"
+).split()
+REFERENCE_BANDS = range(8, 14)
+REFERENCE_EACH = 2000
+#: Tokens of reference() by band and level; a test holds them against it.
+REFERENCE = {
+    8: [10, 35, 43, 51, 52, 64, 71, 91, 53, 80, 74, 66, 67, 66, 51, 53, 58, 54, 49, 25, 43, 32, 44, 37, 23, 40, 43, 43, 34, 24, 25, 21, 28, 31, 14, 22, 14, 21, 29, 14, 14, 19, 25, 13, 24, 43, 25, 25, 20, 15, 15, 6, 7, 3, 3, 5, 5, 1, 3, 2, 3, 7, 3, 3, 0, 3, 3, 0, 0, 1, 1, 2, 0, 1, 1, 0, 1, 0, 0, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0],
+    9: [4, 5, 16, 16, 29, 46, 36, 38, 41, 43, 38, 50, 47, 45, 41, 42, 43, 35, 34, 41, 49, 35, 36, 37, 33, 37, 36, 28, 27, 29, 33, 31, 35, 32, 33, 23, 22, 17, 37, 24, 27, 19, 26, 19, 35, 70, 65, 50, 40, 30, 26, 27, 17, 16, 15, 8, 8, 9, 9, 10, 11, 9, 9, 6, 13, 3, 11, 11, 5, 9, 5, 6, 4, 4, 2, 4, 3, 3, 4, 3, 0, 5, 1, 1, 1, 0, 2, 2, 1, 2, 1, 3, 1, 0, 1, 0, 1, 1, 0, 2],
+    10: [0, 0, 3, 2, 4, 4, 10, 7, 14, 13, 17, 15, 15, 17, 15, 17, 33, 21, 16, 23, 16, 19, 15, 15, 22, 13, 11, 25, 20, 11, 28, 21, 15, 15, 18, 16, 23, 19, 16, 22, 17, 16, 19, 18, 74, 93, 105, 131, 88, 85, 60, 45, 38, 39, 29, 16, 27, 16, 19, 22, 16, 17, 16, 11, 12, 10, 11, 10, 16, 13, 16, 6, 12, 7, 15, 16, 13, 9, 12, 9, 13, 11, 6, 4, 7, 6, 3, 2, 6, 2, 7, 5, 7, 4, 9, 8, 7, 5, 6, 72],
+    11: [0, 0, 0, 0, 0, 1, 2, 0, 0, 0, 0, 1, 2, 1, 4, 5, 1, 3, 2, 6, 4, 7, 5, 10, 7, 11, 4, 8, 14, 8, 11, 4, 11, 6, 4, 10, 14, 18, 11, 11, 5, 8, 12, 11, 71, 109, 118, 152, 121, 113, 97, 90, 67, 58, 37, 30, 19, 22, 24, 16, 19, 18, 21, 15, 18, 25, 15, 17, 19, 10, 11, 11, 13, 7, 10, 19, 9, 11, 9, 10, 11, 10, 8, 8, 13, 13, 10, 14, 8, 5, 7, 11, 9, 6, 4, 4, 4, 7, 5, 170],
+    12: [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 0, 0, 3, 1, 0, 0, 2, 2, 1, 3, 1, 2, 4, 1, 4, 2, 3, 3, 3, 2, 4, 0, 68, 81, 110, 119, 108, 108, 110, 80, 64, 63, 52, 37, 52, 33, 27, 25, 23, 22, 18, 23, 19, 21, 19, 19, 19, 16, 13, 21, 15, 18, 11, 9, 21, 18, 17, 8, 11, 8, 10, 12, 9, 5, 10, 8, 10, 8, 12, 7, 6, 15, 9, 9, 12, 10, 9, 290],
+    13: [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 39, 75, 100, 95, 97, 76, 85, 70, 58, 64, 70, 53, 63, 39, 38, 36, 30, 21, 28, 16, 21, 16, 14, 17, 21, 14, 13, 20, 17, 28, 8, 20, 13, 11, 12, 11, 20, 11, 12, 12, 14, 10, 5, 11, 9, 7, 14, 6, 2, 7, 7, 4, 5, 11, 6, 417],
+}
 SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -118,8 +143,34 @@ def randomness(token: Column) -> Column:
         half = -sum(F.ln(F.greatest(F.lit(1e-9), F.least(F.lit(1.0), p))) for p in ps)
         return let(half, lambda x: F.exp(-x) * (1 + x + x * x / 2))  # chi-squared with 6 degrees, closed form
 
-    codes = F.transform(F.split(token, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
-    return let(F.struct(codes.alias("codes"), alphabet.alias("alphabet")), with_codes)
+    def coded(a):  # the alphabet once a token, not once a character
+        codes = F.transform(F.split(token, ""), lambda c: F.call_function("instr", a, c) - 1)
+        return F.struct(codes.alias("codes"), a.alias("alphabet"))
+
+    return let(let(alphabet, coded), with_codes)
+
+
+def level(token: Column) -> Column:
+    """0 for the best scores; one more for each factor of sqrt(2) by which the combined p-value is lower."""
+    return F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log2(randomness(token)) * -2))).cast("int")
+
+
+def band(length: Column) -> Column:
+    return F.floor(F.log2(length.cast("double")) * 2).cast("int")
+
+
+def reference(spark: SparkSession) -> DataFrame:
+    """(token): identifiers of words and numbers, run together, with capitals, or with a mark between; the same in every run."""
+    group, form = F.floor(F.col("id") / REFERENCE_EACH) + REFERENCE_BANDS[0], (F.col("id") % 4).cast("int")
+    chosen = lambda i: F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(REFERENCE_WORDS))).cast("int")
+    word = lambda i: F.get(F.array(*map(F.lit, REFERENCE_WORDS)), chosen(i))
+    mark = F.get(F.array(*map(F.lit, ["", "_", "-", ""])), form)
+    told = lambda i: F.concat(F.when(form == 3, F.initcap(word(i))).otherwise(word(i)), mark)
+    low, high = F.greatest(F.lit(20.0), F.pow(F.lit(2.0), group / 2)), F.pow(F.lit(2.0), (group + 1) / 2)
+    size = F.ceil(low + (high - low - 1) * (F.pmod(F.xxhash64(F.lit("size"), F.col("id")), F.lit(1000)) / 1000)).cast("int")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), told), "")
+    rows = spark.range(REFERENCE_EACH * len(REFERENCE_BANDS))
+    return save(rows.select(F.substring(text, F.lit(1), size).alias("token")))  # written, so that each token is made once
 
 
 def scanned(docs: DataFrame, *carry: str) -> DataFrame:
@@ -138,8 +189,8 @@ def scanned(docs: DataFrame, *carry: str) -> DataFrame:
         lambda x: F.struct(
             x.s.alias("s"),
             x.e.alias("e"),
-            F.least(F.lit(BINS - 1), F.floor(randomness(x.m) * BINS)).cast("int").alias("bin"),
-            F.floor(F.log2((x.e - x.s).cast("double")) * 2).cast("int").alias("band"),
+            level(x.m).alias("level"),
+            band(x.e - x.s).alias("band"),
             letters(x).alias("decoy"),
         ),
     )
@@ -148,27 +199,46 @@ def scanned(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def thresholds(scans: DataFrame, rate: float = 0.05) -> dict[int, int]:
-    """By band, the least bin of scores from which decoys stay below rate times candidates. One row a band and bin."""
+    """By band, the last level that is accepted. One row a band and level reaches the driver."""
     counts = (
         scans.select(F.explode("tokens").alias("x"))
-        .groupBy("x.band", "x.bin")
+        .groupBy("x.band", "x.level")
         .agg(F.count_if("x.decoy").alias("decoys"), F.count_if(~F.col("x.decoy")).alias("candidates"))
         .collect()
     )
-    best: dict[int, int] = {}
-    for band in {r.band for r in counts}:
-        decoys = candidates = 0
-        for r in sorted((r for r in counts if r.band == band), key=lambda r: -r.bin):
-            decoys, candidates = decoys + r.decoys, candidates + r.candidates
-            if decoys + 1 <= rate * candidates and r.bin >= 1:  # bin 0: the battery rejects randomness
-                best[band] = r.bin
-    return best
+    decoys = {b: list(n) for b, n in REFERENCE.items()}
+    for r in counts:
+        decoys.setdefault(r.band, [0] * LEVELS)[r.level] += r.decoys
+    return accepted(decoys, {(r.band, r.level): r.candidates for r in counts if r.candidates}, rate)
+
+
+def accepted(decoys: dict[int, list[int]], candidates: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
+    """Benjamini-Hochberg over the candidates by (band, level), each with the share of decoys at its level or better."""
+    error = {}
+    for b in {b for b, _ in candidates}:
+        near = [0] * LEVELS
+        for other in sorted((x for x in decoys if x <= b), reverse=True):
+            near = [x + y for x, y in zip(near, decoys[other])]
+            if sum(near) >= REFERENCE_EACH:
+                break
+        better = 0
+        for at in range(LEVELS):
+            better += near[at]
+            error[b, at] = (1 + better) / (1 + sum(near))
+    total, found, limit = sum(candidates.values()), 0, 0.0
+    for x in sorted(candidates, key=error.get):
+        found += candidates[x]
+        if error[x] * total <= rate * found:
+            limit = max(limit, error[x])
+    last = math.floor(-2 * math.log2(REJECTED))
+    return {b: max(at for x, at in candidates if x == b and at < last and error[b, at] <= limit)
+            for b in {x for x, at in candidates if at < last and error[x, at] <= limit}}
 
 
-def find_secrets(scans: DataFrame, least: dict[int, int]) -> DataFrame:
+def find_secrets(scans: DataFrame, last: dict[int, int]) -> DataFrame:
     """Adds ``random``: the tokens that pass in their band."""
     passes = lambda x: F.coalesce(
-        *[F.when(x.band == band, x.bin >= b) for band, b in sorted(least.items())], F.lit(False)
+        *[F.when(x.band == b, x.level <= at) for b, at in sorted(last.items())], F.lit(False)
     )
     chosen = F.transform(F.filter("tokens", passes), lambda x: F.struct(x.s.alias("s"), x.e.alias("e")))
     return scans.withColumn("random", chosen).drop("tokens")
