@@ -1,11 +1,13 @@
 """Line deduplication by levelled sorted runs of line hashes, in DataFrame functions only.
 
 Batches arrive in order of doc_id. The line keys seen so far lie in runs, each sorted by hash; a new batch anti-joins every
-run by merge join, and what is new becomes a run of its own. When a level holds ``fanout`` runs they are merged into one of
-the next level, so the number of runs grows with the logarithm of the batches.
+run by merge join, and what is new becomes a run of its own. When a level holds ``fanout`` runs they are compacted into one of
+the next level, so the number of runs grows with the logarithm of the batches. A table is taken in four batches: the runs of
+the first two are compacted before the third arrives.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts as one document after all others; rows with
-the same doc_id are one document; keys shorter than ``min_chars`` are kept; an empty table gives no rows.
+the same doc_id are one document; keys shorter than ``min_chars`` are kept; an empty table gives no rows; columns of docs
+named like those that are added are replaced by them.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def line_hashes(docs: DataFrame, bounds: list[int], min_chars: int = 10) -> Data
 class LineRuns:
     """The runs by level; each is a table of key hashes sorted within its files."""
 
-    fanout: int = 3
+    fanout: int = 2
     levels: list[list[DataFrame]] = field(default_factory=list)
 
     def unseen(self, keys: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ class LineRuns:
         return save(keys.select(*KEY).repartition(*KEY).sortWithinPartitions(*KEY))
 
 
-def duplicate_lines(docs: DataFrame, batches: int = 3, min_chars: int = 10, runs: LineRuns | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, runs: LineRuns | None = None) -> DataFrame:
     """The lines to drop: (owner, version, pos). ``runs`` may hold the keys of earlier tables."""
     runs = LineRuns() if runs is None else runs
     marks = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0]
@@ -86,12 +88,12 @@ def duplicate_lines(docs: DataFrame, batches: int = 3, min_chars: int = 10, runs
         keys = save(batch.groupBy(*KEY).agg(F.min("owner").alias("first"), F.max("owner").alias("last")))
         if runs.levels:
             new = save(runs.unseen(keys))
-            old = keys.join(new, KEY, "left_anti").select(*KEY, F.lit(-1).cast("long").alias("keeper"))
+            old = keys.join(new, KEY, "left_anti").select(*KEY, F.lit(None).cast("long").alias("keeper"))  # an earlier batch
         else:
             new, old = keys, None
         twice = new.filter(F.col("first") < F.col("last")).select(*KEY, F.col("first").alias("keeper"))
         keepers = save(twice if old is None else twice.unionByName(old))
-        found = batch.join(keepers, KEY).filter(F.col("owner") > F.col("keeper")).select("owner", "version", "pos")
+        found = batch.join(keepers, KEY).filter("keeper is null or owner > keeper").select("owner", "version", "pos")
         out = found if out is None else out.unionByName(found)
         if b < len(bounds):
             runs.add(new)

@@ -52,6 +52,16 @@ def test_line_runs(docs, batches, fanout):
     assert line_runs.drop_lines(docs.limit(0)).count() == 0
 
 
+def test_line_runs_by_default_compact_and_take_negative_ids(spark):
+    shared = "a line that all of them share"
+    rows = [(-i, f"{shared}\nown line number {i} of many") for i in range(1, 31)] + [(i, f"late {i} of its own kind\n{shared}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = line_runs.LineRuns()
+    got = line_runs.drop_lines(df, runs=runs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("s")).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_lines(rows))
+    assert len(runs.levels) >= 2 and len(runs.levels[1]) == 1  # two runs were compacted
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)
