@@ -1,24 +1,26 @@
 """Secret scans: fixed patterns, and a battery of randomness tests, in DataFrame functions only.
 
-Every long token of key-like characters gets an encoding (hex, lower-case or mixed alphanumeric, base64) and three p-values
-under the null of uniform random characters: chi-squared of the alphabet, runs about the middle of the alphabet, and lag-1
-serial correlation. Fisher's rule joins them. Tokens made of letters alone are taken as decoys, together with a fixed reference
-of identifiers made of words and numbers: a candidate's error is the share of decoys of its band of lengths that score as well.
-A band with few decoys borrows from the next shorter ones, on which the tests have less power, so the share is not too low.
-Benjamini-Hochberg over the candidates of all bands sets how large an error is accepted. So a lone key of a rare length, or in
-a table without decoys, can be accepted; short tokens need a better score. The counts behind that are bands by levels.
+Every long token of key-like characters gets an encoding, the smallest alphabet that holds it (hex, letters or alphanumeric of
+one or both cases, base64), and three p-values under the null of uniform random characters: chi-squared of the alphabet, runs
+about the middle of the alphabet, and lag-1 serial correlation. Fisher's rule joins them; a token that it rejects at
+``REJECTED`` is no key. Whether the rest are keys depends on what such a token could score without being one: a reference of
+identifiers made of words and numbers is scored by the same battery, and its mean and spread by encoding and length give each
+token the chance that a natural one of its length looks as random. Short tokens, on which the tests have little power, so
+need a better score than long ones. Benjamini-Hochberg over these chances, for all tokens of all lengths of the table, holds
+the share of false discoveries at ``rate``: a lone key of a rare length, or in a small table, can be accepted.
+
+Tokens of digits alone are left out: serial numbers, times and amounts are as even as random digits.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans; an empty table gives no rows.
-Positions are code points, end exclusive; the span is the whole match.
+Positions are code points, end exclusive; the span is the whole match. Work is linear in the length of a text.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moments.functions.arrays import running_sums
 from moments.llm.common import let, save
 
 ASSIGN = (
@@ -26,38 +28,38 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Characters of the encodings, in the order in which they are tried.
+_DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The encodings in the order in which they are tried; base64 of either form is read as the one with + and /.
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "mixed": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
+    "hex": _DIGITS + _LOW[:6],
+    "HEX": _DIGITS + _UP[:6],
+    "low": _LOW,
+    "up": _UP,
+    "low36": _DIGITS + _LOW,
+    "up36": _DIGITS + _UP,
+    "letters": _UP + _LOW,
+    "mixed": _DIGITS + _UP + _LOW,
+    "base64": "+/" + _DIGITS + _UP + _LOW,
 }
-#: Levels of scores, in half powers of 2 of the combined p-value; beyond the last level everything is alike.
-LEVELS = 100
-#: The battery rejects randomness at this combined p-value, whatever the decoys.
+#: The battery rejects randomness at this combined p-value, whatever the reference says.
 REJECTED = 0.001
-#: Words of the reference, its bands of lengths, and the tokens in each; also the decoys a band needs before it stops borrowing.
-REFERENCE_WORDS = (
+#: Chances are kept as whole steps of a quarter power of 2; the last step holds all lower ones.
+STEPS = 400
+#: Words and numbers of the reference, its bands of lengths (quarter octaves from 16 to 128), the tokens in each, and the least
+#: spread of a band.
+WORDS = (
     "user name file path index value table data config server client request response handler service manager default internal "
     "version update release summary report customer account order product image upload download session message language "
     "north south river mountain history question answer general science department benutzer datei verzeichnis antwort rechnung "
-    "fichier utilisateur reponse commande archivo usuario respuesta pedido 2024 2019 01 10 v2 007 1 3 64 12"
+    "fichier utilisateur reponse commande archivo usuario respuesta pedido"
 ).split()
-REFERENCE_BANDS = range(8, 14)
-REFERENCE_EACH = 2000
-#: Tokens of reference() by band and level; a test holds them against it.
-REFERENCE = {
-    8: [10, 35, 43, 51, 52, 64, 71, 91, 53, 80, 74, 66, 67, 66, 51, 53, 58, 54, 49, 25, 43, 32, 44, 37, 23, 40, 43, 43, 34, 24, 25, 21, 28, 31, 14, 22, 14, 21, 29, 14, 14, 19, 25, 13, 24, 43, 25, 25, 20, 15, 15, 6, 7, 3, 3, 5, 5, 1, 3, 2, 3, 7, 3, 3, 0, 3, 3, 0, 0, 1, 1, 2, 0, 1, 1, 0, 1, 0, 0, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0],
-    9: [4, 5, 16, 16, 29, 46, 36, 38, 41, 43, 38, 50, 47, 45, 41, 42, 43, 35, 34, 41, 49, 35, 36, 37, 33, 37, 36, 28, 27, 29, 33, 31, 35, 32, 33, 23, 22, 17, 37, 24, 27, 19, 26, 19, 35, 70, 65, 50, 40, 30, 26, 27, 17, 16, 15, 8, 8, 9, 9, 10, 11, 9, 9, 6, 13, 3, 11, 11, 5, 9, 5, 6, 4, 4, 2, 4, 3, 3, 4, 3, 0, 5, 1, 1, 1, 0, 2, 2, 1, 2, 1, 3, 1, 0, 1, 0, 1, 1, 0, 2],
-    10: [0, 0, 3, 2, 4, 4, 10, 7, 14, 13, 17, 15, 15, 17, 15, 17, 33, 21, 16, 23, 16, 19, 15, 15, 22, 13, 11, 25, 20, 11, 28, 21, 15, 15, 18, 16, 23, 19, 16, 22, 17, 16, 19, 18, 74, 93, 105, 131, 88, 85, 60, 45, 38, 39, 29, 16, 27, 16, 19, 22, 16, 17, 16, 11, 12, 10, 11, 10, 16, 13, 16, 6, 12, 7, 15, 16, 13, 9, 12, 9, 13, 11, 6, 4, 7, 6, 3, 2, 6, 2, 7, 5, 7, 4, 9, 8, 7, 5, 6, 72],
-    11: [0, 0, 0, 0, 0, 1, 2, 0, 0, 0, 0, 1, 2, 1, 4, 5, 1, 3, 2, 6, 4, 7, 5, 10, 7, 11, 4, 8, 14, 8, 11, 4, 11, 6, 4, 10, 14, 18, 11, 11, 5, 8, 12, 11, 71, 109, 118, 152, 121, 113, 97, 90, 67, 58, 37, 30, 19, 22, 24, 16, 19, 18, 21, 15, 18, 25, 15, 17, 19, 10, 11, 11, 13, 7, 10, 19, 9, 11, 9, 10, 11, 10, 8, 8, 13, 13, 10, 14, 8, 5, 7, 11, 9, 6, 4, 4, 4, 7, 5, 170],
-    12: [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 0, 0, 3, 1, 0, 0, 2, 2, 1, 3, 1, 2, 4, 1, 4, 2, 3, 3, 3, 2, 4, 0, 68, 81, 110, 119, 108, 108, 110, 80, 64, 63, 52, 37, 52, 33, 27, 25, 23, 22, 18, 23, 19, 21, 19, 19, 19, 16, 13, 21, 15, 18, 11, 9, 21, 18, 17, 8, 11, 8, 10, 12, 9, 5, 10, 8, 10, 8, 12, 7, 6, 15, 9, 9, 12, 10, 9, 290],
-    13: [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 39, 75, 100, 95, 97, 76, 85, 70, 58, 64, 70, 53, 63, 39, 38, 36, 30, 21, 28, 16, 21, 16, 14, 17, 21, 14, 13, 20, 17, 28, 8, 20, 13, 11, 12, 11, 20, 11, 12, 12, 14, 10, 5, 11, 9, 7, 14, 6, 2, 7, 7, 4, 5, 11, 6, 417],
-}
+NUMBERS = "2024 2019 01 10 2 007 1 3 64 12 1999 365 80 443".split()
+HEX_WORDS = "ab cafe face add bad dead beef fade".split()
+BANDS = range(16, 28)
+EACH = 150
+LEAST_SPREAD = 0.3
 SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -66,27 +68,20 @@ def located(text: Column, pattern: str) -> Column:
     none = F.array().cast(SPAN)
 
     def placed(found):
-        return let(
-            F.split(text, pattern, -1),
-            lambda between: F.aggregate(
-                F.sequence(F.lit(0), F.size(found) - 1),
-                F.struct(F.lit(0).alias("at"), none.alias("out")),
-                lambda acc, i: F.struct(
-                    (acc.at + F.length(F.get(between, i)) + F.length(F.get(found, i))).alias("at"),
-                    F.concat(
-                        acc.out,
-                        F.array(
-                            F.struct(
-                                (acc.at + F.length(F.get(between, i))).alias("s"),
-                                (acc.at + F.length(F.get(between, i)) + F.length(F.get(found, i))).alias("e"),
-                                F.get(found, i).alias("m"),
-                            )
-                        ),
-                    ).alias("out"),
+        def ends(between):
+            steps = F.zip_with(
+                F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.length(b) + F.length(m)
+            )
+            return let(
+                running_sums(steps),
+                lambda end: F.zip_with(
+                    end,
+                    found,
+                    lambda e, m: F.struct((e - F.length(m)).cast("int").alias("s"), e.cast("int").alias("e"), m.alias("m")),
                 ),
-                lambda acc: acc.out,
-            ),
-        )
+            )
+
+        return let(F.split(text, pattern, -1), ends)
 
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -109,14 +104,22 @@ def _above(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(x * x * x * 0.07056 + x * 1.5976))
 
 
-def randomness(token: Column) -> Column:
-    """Combined p-value of the battery under the null that the characters are uniform and independent."""
-    alphabet = F.coalesce(
-        *[F.when(F.translate(token, a, "") == "", F.lit(a)) for a in ALPHABETS.values()], F.lit(ALPHABETS["base64"])
-    )
+def encoding(token: Column) -> Column:
+    """The name of the first alphabet that holds the token."""
+    return F.coalesce(*[F.when(F.translate(token, a, "") == "", F.lit(k)) for k, a in ALPHABETS.items()])
+
+
+def told(token: Column) -> Column:
+    """The token as the alphabets spell it: one form of base64, no padding."""
+    return F.regexp_replace(F.translate(token, "-_", "+/"), "=+", "")
+
+
+def battery(token: Column) -> Column:
+    """Struct of encoding, n and half: minus the sum of the logs of the three p-values under the null that the characters are
+    uniform and independent, half of Fisher's statistic."""
 
     def with_codes(t):
-        n, k = F.size(t.codes).cast("double"), F.length(t.alphabet).cast("double")
+        n, k = F.size(t.codes).cast("double"), t.k.cast("double")
         counts = F.transform(F.array_distinct(t.codes), lambda c: F.size(F.filter(t.codes, lambda x: x == c)))
         chi = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) * k / n - n
         df = k - 1
@@ -124,11 +127,11 @@ def randomness(token: Column) -> Column:
         mean = F.aggregate(t.codes, F.lit(0.0), lambda a, c: a + c) / n
         next_ = F.slice(t.codes, 2, F.size(t.codes) - 1)
         runs = F.aggregate(
-            F.zip_with(t.codes, next_, lambda a, b: ((a * 2 > k) != (b * 2 > k)).cast("int")),
+            F.zip_with(t.codes, next_, lambda a, b: ((a * 2 >= k) != (b * 2 >= k)).cast("int")),
             F.lit(1),
             lambda a, x: a + F.coalesce(x, F.lit(0)),
         )
-        high = F.size(F.filter(t.codes, lambda c: c * 2 > k)).cast("double")
+        high = F.size(F.filter(t.codes, lambda c: c * 2 >= k)).cast("double")
         pairs = high * (n - high) * 2
         expected = pairs / n + 1
         spread = F.sqrt(F.greatest(F.lit(0.05), pairs * (pairs - n) / (n * n * (n - 1))))
@@ -140,107 +143,125 @@ def randomness(token: Column) -> Column:
         )
         serial = F.when(variance > 0, covariance / variance + 1 / n).otherwise(1.0) * F.sqrt(n)
         ps = [_above(chi_z), 2 * _above(F.abs((runs - expected) / spread)), 2 * _above(F.abs(serial))]
-        half = -sum(F.ln(F.greatest(F.lit(1e-9), F.least(F.lit(1.0), p))) for p in ps)
-        return let(half, lambda x: F.exp(-x) * (1 + x + x * x / 2))  # chi-squared with 6 degrees, closed form
+        half = -sum(F.ln(F.least(F.lit(1.0), p)) for p in ps)
+        return F.struct(t["name"].alias("encoding"), F.size(t.codes).alias("n"), half.alias("half"))
 
-    def coded(a):  # the alphabet once a token, not once a character
-        codes = F.transform(F.split(token, ""), lambda c: F.call_function("instr", a, c) - 1)
-        return F.struct(codes.alias("codes"), a.alias("alphabet"))
+    def coded(x):  # the alphabet once a token, not once a character
+        alphabet = F.try_element_at(F.create_map(*[F.lit(y) for kv in ALPHABETS.items() for y in kv]), x["name"])
+        codes = lambda a: F.transform(F.split(x.token, ""), lambda c: F.call_function("instr", a, c) - 1)
+        return let(alphabet, lambda a: F.struct(codes(a).alias("codes"), F.length(a).alias("k"), x["name"].alias("name")))
 
-    return let(let(alphabet, coded), with_codes)
+    named = let(told(token), lambda t: F.struct(t.alias("token"), encoding(t).alias("name")))
+    return let(let(named, coded), with_codes)
 
 
-def level(token: Column) -> Column:
-    """0 for the best scores; one more for each factor of sqrt(2) by which the combined p-value is lower."""
-    return F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log2(randomness(token)) * -2))).cast("int")
+def combined(half: Column) -> Column:
+    """Fisher's combined p-value: chi-squared with 6 degrees, closed form."""
+    return F.exp(-half) * (1 + half + half * half / 2)
 
 
-def band(length: Column) -> Column:
-    return F.floor(F.log2(length.cast("double")) * 2).cast("int")
+def band(n: Column) -> Column:
+    return F.least(F.lit(BANDS[-1]), F.greatest(F.lit(BANDS[0]), F.floor(F.log2(n.cast("double")) * 4))).cast("int")
 
 
 def reference(spark: SparkSession) -> DataFrame:
-    """(token): identifiers of words and numbers, run together, with capitals, or with a mark between; the same in every run."""
-    group, form = F.floor(F.col("id") / REFERENCE_EACH) + REFERENCE_BANDS[0], (F.col("id") % 4).cast("int")
-    chosen = lambda i: F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(REFERENCE_WORDS))).cast("int")
-    word = lambda i: F.get(F.array(*map(F.lit, REFERENCE_WORDS)), chosen(i))
-    mark = F.get(F.array(*map(F.lit, ["", "_", "-", ""])), form)
-    told = lambda i: F.concat(F.when(form == 3, F.initcap(word(i))).otherwise(word(i)), mark)
-    low, high = F.greatest(F.lit(20.0), F.pow(F.lit(2.0), group / 2)), F.pow(F.lit(2.0), (group + 1) / 2)
-    size = F.ceil(low + (high - low - 1) * (F.pmod(F.xxhash64(F.lit("size"), F.col("id")), F.lit(1000)) / 1000)).cast("int")
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), told), "")
-    rows = spark.range(REFERENCE_EACH * len(REFERENCE_BANDS))
-    return save(rows.select(F.substring(text, F.lit(1), size).alias("token")))  # written, so that each token is made once
+    """(encoding, token): run-together words and numbers in the spelling of each encoding; the same in every run."""
+    names = [k for k in ALPHABETS if k not in ("HEX", "up", "up36")]  # these are as hex, low and low36
+    of = F.get(F.array(*map(F.lit, names)), (F.col("id") % len(names)).cast("int"))
+    group = (F.floor(F.col("id") / len(names)) % len(BANDS) + BANDS[0]).cast("double")
+    drawn = lambda seed, i, n: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(n)).cast("int")
+    pick = lambda seed, i, values: F.get(F.array(*map(F.lit, values)), drawn(seed, i, len(values)))
+
+    def piece(i):
+        word, number, mixed = pick("w", i, WORDS), pick("n", i, NUMBERS), drawn("m", i, 4) == 0
+        capital = F.initcap(word)
+        return (
+            F.when(of == "hex", F.when(drawn("h", i, 5) < 2, pick("x", i, HEX_WORDS)).otherwise(number))
+            .when(of == "low", word)
+            .when(of == "low36", F.when(mixed, number).otherwise(word))
+            .when(of == "letters", capital)
+            .when(of == "mixed", F.when(mixed, number).otherwise(capital))
+            .otherwise(F.concat(F.when(mixed, number).otherwise(capital), pick("k", i, ["+", "/"])))
+        )
+
+    low, high = F.pow(F.lit(2.0), group / 4), F.pow(F.lit(2.0), (group + 1) / 4)
+    size = F.ceil(low + (high - low - 1) * (drawn("size", F.lit(0), 1000) / 1000)).cast("int")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(140)), piece), "")
+    rows = spark.range(EACH * len(BANDS) * len(names))
+    return save(rows.select(of.alias("encoding"), F.substring(text, F.lit(1), size).alias("token")))
+
+
+def norms(spark: SparkSession) -> dict[tuple[str, int], tuple[float, float]]:
+    """By encoding and band of length, mean and spread of ln(1 + half) over the reference: a fixed number of rows."""
+    t = reference(spark).select("encoding", battery(F.col("token")).alias("b"))
+    score = F.ln(1 + F.col("b.half"))
+    rows = (
+        t.groupBy("encoding", band(F.col("b.n")).alias("band"))
+        .agg(F.avg(score).alias("m"), F.stddev_pop(score).alias("s"), F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") >= EACH // 2)
+        .collect()
+    )
+    out = {(r.encoding, r.band): (r.m, max(r.s, LEAST_SPREAD)) for r in rows}
+    alike = {"HEX": "hex", "up": "low", "up36": "low36"}
+    return out | {(k, b): out[v, b] for k, v in alike.items() for b in BANDS if (v, b) in out}
+
+
+def step(half: Column, of: Column, n: Column, known: dict) -> Column:
+    """How unlikely a natural token of the encoding and length is to look as random: -4 log2 of the chance, rounded down."""
+    table = F.create_map(
+        *[F.lit(x) for (k, b), (m, s) in sorted(known.items()) for x in (f"{k}:{b}", f"{m!r}:{s!r}")]
+    )
+
+    def chance(found):
+        m, s = F.split(found, ":")[0].cast("double"), F.split(found, ":")[1].cast("double")
+        return _above((m - F.ln(1 + half)) / s)
+
+    p = F.coalesce(let(F.try_element_at(table, F.concat_ws(":", of, band(n).cast("string"))), chance), F.lit(1.0))
+    return F.least(F.lit(STEPS), F.floor(F.log2(p) * -4)).cast("int")
 
 
 def scanned(docs: DataFrame, *carry: str) -> DataFrame:
-    """carry, the base spans, and every candidate token with score, band of length and whether it is a decoy."""
+    """carry, the base spans, and every candidate token with its place and the result of the battery."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(*carry, text.alias("t"), *[x.alias(k) for x, k in zip(base_spans(text), KINDS)])
     spans = F.concat("assign", "access", "hex")
-    letters = lambda x: F.regexp_replace(x.m, "[A-Za-z]+", "") == ""
     free = F.filter(
         located(F.col("t"), TOKEN),
-        lambda x: (letters(x) | (x.m.rlike("[0-9]") & x.m.rlike("[A-Za-z]")))
-        & ~F.exists(spans, lambda b: (b.s < x.e) & (x.s < b.e)),
-    )
-    scored = F.transform(
-        free,
-        lambda x: F.struct(
-            x.s.alias("s"),
-            x.e.alias("e"),
-            level(x.m).alias("level"),
-            band(x.e - x.s).alias("band"),
-            letters(x).alias("decoy"),
-        ),
+        lambda x: x.m.rlike("[A-Za-z]") & (F.length(told(x.m)) >= 16) & ~F.exists(spans, lambda b: (b.s < x.e) & (x.s < b.e)),
     )
+    scored = F.transform(free, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), battery(x.m).alias("b")))
     narrow = [F.transform(k, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"))).alias(k) for k in KINDS[:3]]
     return base.select(*carry, *narrow, scored.alias("tokens"))
 
 
-def thresholds(scans: DataFrame, rate: float = 0.05) -> dict[int, int]:
-    """By band, the last level that is accepted. One row a band and level reaches the driver."""
-    counts = (
+def threshold(scans: DataFrame, known: dict, rate: float = 0.05) -> int | None:
+    """The least step that is accepted, None where none is. One row a step reaches the driver, at most STEPS + 1."""
+    x = F.col("x.b")
+    rows = (
         scans.select(F.explode("tokens").alias("x"))
-        .groupBy("x.band", "x.level")
-        .agg(F.count_if("x.decoy").alias("decoys"), F.count_if(~F.col("x.decoy")).alias("candidates"))
+        .groupBy(step(x.half, x.encoding, x.n, known).alias("step"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(combined(x.half) >= REJECTED).alias("random"))
         .collect()
     )
-    decoys = {b: list(n) for b, n in REFERENCE.items()}
-    for r in counts:
-        decoys.setdefault(r.band, [0] * LEVELS)[r.level] += r.decoys
-    return accepted(decoys, {(r.band, r.level): r.candidates for r in counts if r.candidates}, rate)
-
-
-def accepted(decoys: dict[int, list[int]], candidates: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
-    """Benjamini-Hochberg over the candidates by (band, level), each with the share of decoys at its level or better."""
-    error = {}
-    for b in {b for b, _ in candidates}:
-        near = [0] * LEVELS
-        for other in sorted((x for x in decoys if x <= b), reverse=True):
-            near = [x + y for x, y in zip(near, decoys[other])]
-            if sum(near) >= REFERENCE_EACH:
-                break
-        better = 0
-        for at in range(LEVELS):
-            better += near[at]
-            error[b, at] = (1 + better) / (1 + sum(near))
-    total, found, limit = sum(candidates.values()), 0, 0.0
-    for x in sorted(candidates, key=error.get):
-        found += candidates[x]
-        if error[x] * total <= rate * found:
-            limit = max(limit, error[x])
-    last = math.floor(-2 * math.log2(REJECTED))
-    return {b: max(at for x, at in candidates if x == b and at < last and error[b, at] <= limit)
-            for b in {x for x, at in candidates if at < last and error[x, at] <= limit}}
-
-
-def find_secrets(scans: DataFrame, last: dict[int, int]) -> DataFrame:
-    """Adds ``random``: the tokens that pass in their band."""
-    passes = lambda x: F.coalesce(
-        *[F.when(x.band == b, x.level <= at) for b, at in sorted(last.items())], F.lit(False)
-    )
-    chosen = F.transform(F.filter("tokens", passes), lambda x: F.struct(x.s.alias("s"), x.e.alias("e")))
+    return accepted({r.step: (r.n, r.random) for r in rows}, rate)
+
+
+def accepted(counts: dict[int, tuple[int, int]], rate: float) -> int | None:
+    """Benjamini-Hochberg over tokens by step: the least step at which the false discoveries to be expected among all tokens
+    are at most the rate times the tokens found there or beyond."""
+    total, found, least = sum(n for n, _ in counts.values()), 0, None
+    for at in sorted(counts, reverse=True):
+        found += counts[at][1]
+        if total * 2.0 ** (-at / 4) <= rate * found:
+            least = at
+    return least
+
+
+def find_secrets(scans: DataFrame, known: dict, least: int | None) -> DataFrame:
+    """Adds ``random``: the tokens from that step on which the battery does not reject."""
+    passes = lambda x: (combined(x.b.half) >= REJECTED) & (step(x.b.half, x.b.encoding, x.b.n, known) >= least)
+    kept = F.filter("tokens", passes) if least is not None else F.filter("tokens", lambda x: F.lit(False))
+    chosen = F.transform(kept, lambda x: F.struct(x.s.alias("s"), x.e.alias("e")))
     return scans.withColumn("random", chosen).drop("tokens")
 
 
@@ -260,7 +281,8 @@ def joined(*kinds: str) -> Column:
 
 def secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     scans = save(scanned(docs, "doc_id"))
-    found = find_secrets(scans, thresholds(scans, rate))
+    known = norms(docs.sparkSession)
+    found = find_secrets(scans, known, threshold(scans, known, rate))
     return found.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
