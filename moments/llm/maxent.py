@@ -1,14 +1,20 @@
 """Language-model scores: a smoothed unigram base and a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). A word's class is a hash of its last characters; the history
-gives hashed features: the previous word (bigram), the word before it (skip) and both together (trigram). The weights are
-fitted by gradient rounds: every round is a Spark job in which tasks send the gradient of their share of the data. The
-gradient needs the data only as counts of (previous, before, class), so those are gathered once from all training texts;
-every training word adds to them and to the word counts, which are shuffled by word and grow with the corpus.
-
-Scoring runs over batches of texts in numpy: one gather of log P(class | history) a word. The counts of the ``frequent``
-most frequent words (a bounded list) travel to the tasks; all other words are joined with their counts by shuffle, so the
-join has no hot key and its vocabulary no bound.
+P(word | history) = P(class | history) * P(word | class). The history gives hashed features: the previous word (bigram), the
+class of the word before it (skip) and both together (trigram). The weights are fitted by gradient rounds: every round is a
+Spark job in which tasks send the gradient of their share of the data. The gradient needs the data only as counts of
+(previous, before, class), so those are gathered once from all training texts.
+
+Classes are learned from all training texts too: each of the ``frequent`` most frequent words, and each ending of three bytes
+for all other words, has a histogram of its neighbours; the histograms are clustered by k-means (square roots, so that distance
+is Hellinger's). The end of a text is a class of its own. Inside a class every known word gives up the same discount of its
+count, estimated from the words that occur once and twice; what they give up is the chance of an unseen word, which is one
+symbol of its class as it is one in the base. So the probabilities of all known words, of the end, and of an unseen word of
+each class add up to 1 after every history.
+
+Word counts are shuffled by word and grow with the corpus. Scoring runs over batches of texts in numpy: one gather of log
+P(class | history) a word. The counts of the frequent words (a bounded list) travel to the tasks; all other words are joined
+with their counts by shuffle, so the join has no hot key and its vocabulary no bound.
 
 Defined results: a null text counts as empty and has the end token only; a null doc_id takes part in training; repeated rows
 are scored alike; with no training text every probability is that of an unseen token; an empty table gives no rows.
@@ -32,15 +38,20 @@ END = np.uint64(0x5EED0F00D5EED0F1)
 
 @dataclass(frozen=True)
 class MaxentRules:
-    previous: int = 256
-    before: int = 64
+    frequent: int = 1 << 16
+    endings: int = 1 << 12
     classes: int = 64
-    trigrams: int = 2048
-    rounds: int = 24
+    #: Columns of a histogram of neighbours: the most frequent words, and hashed endings for the rest.
+    contexts: int = 64
+    own_contexts: int = 48
+    #: Buckets of the previous word: the most frequent words have one each, the rest one for each class and hash.
+    own_previous: int = 3072
+    previous: int = 4096
+    trigrams: int = 4096
+    rounds: int = 30
     rate: float = 0.5
     #: Strength of the Gaussian prior of each weight, in tokens.
-    prior: float = 8.0
-    frequent: int = 1 << 16
+    prior: float = 2.0
     fold: int = 5
     held_out: int = 1
 
@@ -50,8 +61,8 @@ def held_out(doc_id, rules: MaxentRules = MaxentRules()):
     return F.crc32(text.cast("binary")) % rules.fold == rules.held_out
 
 
-def _word_stream(texts: list[bytes], rules: MaxentRules):
-    """For each slice of texts: (first text, hashes with one end a text, end positions, previous, before, class)."""
+def _stream(texts: list[bytes], rules: MaxentRules):
+    """For each slice of texts: (first text, word hashes with one end a text, end positions, endings)."""
     for first, h, counts, data, start, end in hashed_texts(texts):
         size = counts + 1
         stop = np.cumsum(size) - 1
@@ -60,82 +71,189 @@ def _word_stream(texts: list[bytes], rules: MaxentRules):
         is_end[stop] = True
         words[is_end] = END
         words[~is_end] = h
-        # classes by the last two bytes; the end has class 0 to itself
-        tail = np.zeros(len(words), "int64")
-        last = data[end - 1].astype("int64")
-        tail[~is_end] = last * 256 + np.where(end - start > 1, data[np.maximum(end - 2, 0)], 0)
-        cls = (mix(tail.astype("uint64")) % np.uint64(rules.classes - 1)).astype("int64") + 1
-        cls[is_end] = 0
-        prev = np.empty_like(words)
-        prev[1:], prev[0] = words[:-1], END
-        prev2 = np.empty_like(words)
-        prev2[2:], prev2[:2] = words[:-2], END
-        prev2[np.concatenate([[0], stop[:-1] + 1])] = END  # nothing of the text before
-        p = (prev % np.uint64(rules.previous)).astype("int64")
-        b = (mix(prev2) % np.uint64(rules.before)).astype("int64")
-        yield first, words, stop, p, b, cls
-
-
-def gather(docs: DataFrame, rules: MaxentRules) -> DataFrame:
-    """(kind, key, n, counts): kind 0 is a word hash with its count, kind 1 a previous-word bucket with its table of
-    counts by (before, class). One pass over the training texts; each task sends each of its words once."""
-    cells = rules.previous * rules.before * rules.classes
+        tail = np.zeros(len(h), "uint64")
+        for back in (1, 2, 3):
+            tail = tail * np.uint64(256) + np.where(end - start >= back, data[np.maximum(end - back, 0)], 0).astype("uint64")
+        ending = np.full(len(words), rules.endings)  # the end has one of its own
+        ending[~is_end] = (mix(tail) % np.uint64(rules.endings)).astype("int64")
+        yield first, words, stop, ending
+
+
+class _Ranks:
+    """Ranks of the frequent words, by a table of the low bits of their hashes; other words have none (-1)."""
+
+    BITS = 19
+
+    def __init__(self, words: np.ndarray):
+        rank = np.argsort(words, kind="stable")
+        self.words, self.rank = words[rank], rank
+        low = (self.words & np.uint64((1 << self.BITS) - 1)).astype("int64")
+        self.slots = np.full(1 << self.BITS, -1, "int32")
+        self.slots[low] = np.arange(len(words))
+        self.crowded = np.bincount(low, minlength=1 << self.BITS) > 1  # words that share a slot are searched
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), -1)
+        slot = (words & np.uint64((1 << self.BITS) - 1)).astype("int64")
+        at = self.slots[slot].astype("int64")
+        more = np.flatnonzero(self.crowded[slot])
+        at[more] = np.minimum(np.searchsorted(self.words, words[more]), len(self.words) - 1)
+        hit = (at >= 0) & (self.words[at] == words)
+        return np.where(hit, self.rank[at], -1)
+
+
+def _rows(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=names)
+
+
+def _longs(x) -> pa.Array:
+    return pa.array(np.asarray(x, "int64"))
+
+
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """Rows of counts, each compressed by itself."""
+    return pa.array([zlib.compress(np.ascontiguousarray(r).tobytes(), 1) for r in rows], pa.binary())
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), "int32").astype("int64")
+
+
+def word_counts(docs: DataFrame, rules: MaxentRules) -> DataFrame:
+    """(word, ending, c) of all tokens; each task sends each of its words once for a run of about a million."""
 
     def scan(batches):
-        table = np.zeros(cells, "int64")
-        keys, counts, held = [], [], 0
+        keys, ends, counts, held = [], [], [], 0
+        names = ["word", "ending", "n"]
 
         def packed():
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inverse, weights=np.concatenate(counts)).astype("int64")
-
-        def rows(kind, key, n, blobs):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(key), pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())],
-                names=["kind", "key", "n", "counts"],
-            )
+            k, at, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            return k, np.concatenate(ends)[at], np.bincount(inverse, weights=np.concatenate(counts)).astype("int64")
 
         for batch in batches:
-            for _, words, _, p, b, c in _word_stream(raw(batch.column("text")), rules):
-                k, n = np.unique(words, return_counts=True)
+            for _, words, _, ending in _stream(raw(batch.column("text")), rules):
+                k, at, n = np.unique(words, return_index=True, return_counts=True)
                 keys.append(k)
+                ends.append(ending[at])
                 counts.append(n)
                 held += len(k)
-                at, n = np.unique((p * rules.before + b) * rules.classes + c, return_counts=True)
-                table[at] += n
             if held > 2_000_000:
-                k, n = packed()
-                keys, counts, held = [k], [n], len(k)
+                k, e, n = packed()
+                keys, ends, counts, held = [k], [e], [n], len(k)
                 if held > 1_000_000:
-                    yield rows(0, k.view("int64"), n, [None] * len(k))
-                    keys, counts, held = [], [], 0
+                    yield _rows(names, pa.array(k.view("int64")), _longs(e), _longs(n))
+                    keys, ends, counts, held = [], [], [], 0
         if keys:
-            k, n = packed()
-            yield rows(0, k.view("int64"), n, [None] * len(k))
-        if table.any():
-            part = table.reshape(rules.previous, -1)
-            used = np.flatnonzero(part.any(axis=1))
-            yield rows(1, used, part[used].sum(axis=1), [zlib.compress(part[i].tobytes(), 1) for i in used])
+            k, e, n = packed()
+            yield _rows(names, pa.array(k.view("int64")), _longs(e), _longs(n))
 
-    return docs.select("text").mapInArrow(scan, "kind int, key long, n long, counts binary")
+    found = docs.select("text").mapInArrow(scan, "word long, ending long, n long")
+    return found.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("c"))
 
 
-def _summed(tables: DataFrame, rules: MaxentRules) -> DataFrame:
-    """One table for each previous-word bucket: the tables of all tasks, added as they stream by."""
+def _added(tables: DataFrame, width: int) -> DataFrame:
+    """(key, counts): the rows of all tasks, added by key as they stream by."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column("key").to_pylist(), batch.column("counts").to_pylist()):
-                one = np.frombuffer(zlib.decompress(blob), "int64")
-                total[k] = total[k] + one if k in total else one
+                if k not in total:
+                    total[k] = np.zeros(width, "int64")
+                total[k] += _counts(blob)
         keys = sorted(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array([zlib.compress(total[k].tobytes(), 1) for k in keys], pa.binary())],
-            names=["key", "counts"],
+        blobs = [zlib.compress(np.minimum(total[k], 2**31 - 1).astype("int32").tobytes(), 1) for k in keys]
+        yield _rows(["key", "counts"], _longs(keys), pa.array(blobs, pa.binary()))
+
+    return tables.repartition(8, "key").mapInArrow(add, "key long, counts binary")  # bounded: a row a key
+
+
+def neighbours(docs: DataFrame, ranks, rules: MaxentRules) -> DataFrame:
+    """(key, counts): for each form (rank of a frequent word, or its number plus an ending) the contexts before and after it."""
+    forms, width = rules.frequent + rules.endings + 1, rules.contexts
+    spare = width - rules.own_contexts
+
+    def scan(batches):
+        known, table = _Ranks(ranks.value), np.zeros((forms, width), "int32")
+        for batch in batches:
+            for _, words, _, ending in _stream(raw(batch.column("text")), rules):
+                rank = known.of(words)
+                form = np.where(rank >= 0, rank, rules.frequent + ending)
+                context = np.where((rank >= 0) & (rank < rules.own_contexts), rank, rules.own_contexts + ending % spare)
+                cell = np.concatenate([form[1:] * width + context[:-1], form[:-1] * width + context[1:]])
+                at, n = np.unique(cell, return_counts=True)
+                table.ravel()[at] += n.astype("int32")
+        used = np.flatnonzero(table.any(axis=1))
+        yield _rows(["key", "counts"], _longs(used), _blobs(table[used]))
+
+    return docs.select("text").mapInArrow(scan, "key long, counts binary")
+
+
+def clustered(keys: np.ndarray, table: np.ndarray, rules: MaxentRules, steps: int = 15) -> np.ndarray:
+    """The class (1 or more) of each form, by k-means on the square roots of the shares of its neighbours; forms count by the
+    square root of their tokens, so neither the few frequent nor the many rare ones decide alone."""
+    out = np.ones(rules.frequent + rules.endings + 1, "int64")
+    out[-1] = 0
+    if not len(keys):
+        return out
+    mass = table.sum(axis=1).astype("float64")
+    x, weight = np.sqrt(table / np.maximum(mass, 1)[:, None]), np.sqrt(mass)
+    rng, k = np.random.default_rng(17), min(rules.classes - 1, len(keys))
+    centres = [x[int(np.argmax(weight))]]
+    far = ((x - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k and (far * weight).sum() > 1e-9:
+        centres.append(x[rng.choice(len(x), p=far * weight / (far * weight).sum())])
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(axis=1))
+    c = np.array(centres)
+    for _ in range(steps):
+        near = np.argmax(2 * x @ c.T - (c**2).sum(axis=1), axis=1)
+        for i in range(len(c)):
+            mine = near == i
+            if mine.any():
+                c[i] = np.average(x[mine], axis=0, weights=weight[mine])
+    out[keys] = near + 1
+    out[-1] = 0
+    return out
+
+
+class _Histories:
+    """Previous bucket, class before and class of every token of a slice."""
+
+    def __init__(self, words: np.ndarray, classes: np.ndarray, rules: MaxentRules):
+        self.known, self.classes, self.rules = _Ranks(words), classes, rules
+
+    def of(self, words: np.ndarray, stop: np.ndarray, ending: np.ndarray):
+        r = self.rules
+        rank = self.known.of(words)
+        cls = self.classes[np.where(rank >= 0, rank, r.frequent + ending)]
+        spread = (r.previous - r.own_previous) // r.classes
+        own = np.where(
+            (rank >= 0) & (rank < r.own_previous), rank, r.own_previous + cls * spread + (mix(words) % np.uint64(spread)).astype("int64")
         )
+        own[stop] = r.own_previous  # the end, which stands before every text: class 0
+        p = np.concatenate([[r.own_previous], own[:-1]])
+        b = np.concatenate([[0, 0], cls[:-2]])[: len(words)]
+        first = np.concatenate([[0], stop[:-1] + 1])
+        b[first] = 0  # nothing of the text before
+        return rank, p, b, cls
 
-    return tables.select("key", "counts").repartition("key").mapInArrow(add, "key long, counts binary")
+
+def histories(docs: DataFrame, shared, rules: MaxentRules) -> DataFrame:
+    """(key, counts): for each previous bucket its tokens by (class before, class)."""
+    width = rules.classes * rules.classes
+
+    def scan(batches):
+        of, table = _Histories(*shared.value[:2], rules), np.zeros((rules.previous, width), "int32")
+        for batch in batches:
+            for _, words, stop, ending in _stream(raw(batch.column("text")), rules):
+                _, p, b, c = of.of(words, stop, ending)
+                at, n = np.unique((p * rules.classes + b) * rules.classes + c, return_counts=True)
+                table.ravel()[at] += n.astype("int32")
+        used = np.flatnonzero(table.any(axis=1))
+        yield _rows(["key", "counts"], _longs(used), _blobs(table[used]))
+
+    return docs.select("text").mapInArrow(scan, "key long, counts binary")
 
 
 def _hashed_pair(p: np.ndarray, b: np.ndarray, rules: MaxentRules) -> np.ndarray:
@@ -152,160 +270,180 @@ class Maxent:
 
     def __init__(self, rules: MaxentRules):
         self.rules, c = rules, rules.classes
-        self.weights = [np.zeros((n, c)) for n in (1, rules.previous, rules.before, rules.trigrams)]
+        self.weights = [np.zeros((n, c), "float32") for n in (1, rules.previous, c, rules.trigrams)]
 
     def logits(self, p: np.ndarray, b: np.ndarray) -> np.ndarray:
         bias, wp, wb, wt = self.weights
         return bias[0] + wp[p] + wb[b] + wt[_hashed_pair(p, b, self.rules)]
 
-    def gradient(self, p: int, counts: np.ndarray) -> tuple[list, float, float]:
-        """Of the log-likelihood of the counts (before, class) after bucket p; also the likelihood and the mass."""
-        b = np.arange(self.rules.before)
-        log_p = _log_softmax(self.logits(np.full_like(b, p), b))
-        seen = counts.sum(axis=1, keepdims=True)
-        return [b, counts - seen * np.exp(log_p)], float((counts * log_p).sum()), float(seen.sum())
+    def gradient(self, p: np.ndarray, b: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of the log-likelihood of the counts by class after each history, with respect to its logits."""
+        return counts - counts.sum(axis=1, keepdims=True) * np.exp(_log_softmax(self.logits(p, b)))
 
     def log_table(self) -> np.ndarray:
-        """log10 P(class | previous, before)."""
+        """log10 P(class | previous, before), by previous, before and class."""
         r = self.rules
-        p, b = np.divmod(np.arange(r.previous * r.before), r.before)
-        return (_log_softmax(self.logits(p, b)) / np.log(10)).astype("float32").ravel()
+        out = np.empty((r.previous, r.classes, r.classes), "float32")
+        b = np.arange(r.classes)
+        for p in range(r.previous):
+            out[p] = _log_softmax(self.logits(np.full_like(b, p), b)) / np.log(10)
+        return out.ravel()
 
 
 def train(tables: DataFrame, rules: MaxentRules) -> Maxent:
     """Gradient rounds with AdaGrad steps; a task sends one row of summed gradients a round."""
     model, r = Maxent(rules), rules
-    squares = [np.zeros_like(w) for w in model.weights]
-    parts = tables.coalesce(8)
+    squares = [np.zeros(w.shape) for w in model.weights]
+    parts = tables.coalesce(8)  # read in as many parts as were written, at most 8
     for _ in range(rules.rounds):
 
         def part(batches, model=model):
-            grads = [np.zeros_like(w) for w in model.weights]
+            grads = [np.zeros(w.shape) for w in model.weights]
             mass = 0.0
             for batch in batches:
-                for p, blob in zip(batch.column("key").to_pylist(), batch.column("counts").to_pylist()):
-                    counts = np.frombuffer(zlib.decompress(blob), "int64").reshape(r.before, r.classes)
-                    (b, g), _, n = model.gradient(p, counts)
-                    mass += n
+                keys, blobs = batch.column("key").to_numpy(), batch.column("counts").to_pylist()
+                for at in range(0, len(keys), 64):  # a few thousand histories at a time
+                    counts = np.array([_counts(x) for x in blobs[at : at + 64]]).reshape(-1, r.classes)
+                    rows = np.flatnonzero(counts.any(axis=1))
+                    p, b = keys[at + rows // r.classes], rows % r.classes
+                    g = model.gradient(p, b, counts[rows])
+                    mass += float(counts.sum())
                     grads[0][0] += g.sum(axis=0)
-                    grads[1][p] += g.sum(axis=0)
-                    grads[2] += g
-                    np.add.at(grads[3], _hashed_pair(np.full_like(b, p), b, r), g)
-            flat = np.concatenate([g.ravel() for g in grads])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([flat.astype("float64").tobytes()], pa.binary()), pa.array([mass])], names=["g", "mass"]
-            )
+                    for table, feature in zip(grads[1:], (p, b, _hashed_pair(p, b, r))):
+                        order = np.argsort(feature, kind="stable")
+                        names, first = np.unique(feature[order], return_index=True)
+                        table[names] += np.add.reduceat(g[order], first, axis=0)
+            flat = np.concatenate([g.ravel() for g in grads]).astype("float32")
+            yield _rows(["g", "mass"], pa.array([flat.tobytes()], pa.binary()), pa.array([mass]))
 
         rows = parts.mapInArrow(part, "g binary, mass double").collect()  # at most 8 rows of the model's size
-        if not rows:
+        mass = sum(x["mass"] for x in rows)
+        if not mass:
             break
-        mass = sum(x["mass"] for x in rows) or 1.0
-        flat = sum(np.frombuffer(x["g"], "float64") for x in sorted(rows, key=lambda x: x["mass"])) / mass
+        flat = sum(np.frombuffer(x["g"], "float32").astype("float64") for x in sorted(rows, key=lambda x: (x["mass"], x["g"]))) / mass
         at = 0
         for w, s in zip(model.weights, squares):
             g = flat[at : at + w.size].reshape(w.shape) - rules.prior * w / mass
             at += w.size
             s += g * g
-            w += rules.rate * g / np.sqrt(s + 1e-16)
+            w += (rules.rate * g / np.sqrt(s + 1e-16)).astype("float32")
     return model
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """What scoring needs beside the word counts: a bounded model."""
+
+    words: np.ndarray
+    classes: np.ndarray
+    counts: np.ndarray
+    model: Maxent
+    #: What a known word gives up, and by class the log10 of the chance of an unseen word and of the whole mass.
+    discount: float
+    log_unseen: np.ndarray
+    log_mass: np.ndarray
+    tokens: int
+    types: int
+
+
+def fit(docs: DataFrame, counts: DataFrame, rules: MaxentRules) -> Fitted:
+    """The model of the training texts ``docs`` with their word counts."""
+    spark = docs.sparkSession
+    total = counts.agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")
+    ).first()
+    top = counts.orderBy(F.desc("c"), "word").limit(rules.frequent).toPandas()  # bounded by the rules
+    words, c = top["word"].to_numpy("int64").view("uint64"), top["c"].to_numpy("int64")
+    ranks = spark.sparkContext.broadcast(words)
+    near = _added(neighbours(docs, ranks, rules), rules.contexts).toPandas()  # at most a row for each form
+    near = near.sort_values("key")
+    table = np.array([_counts(x) for x in near["counts"]]).reshape(len(near), rules.contexts)
+    classes = clustered(near["key"].to_numpy("int64"), table, rules)
+    classes[np.flatnonzero(words == END)] = 0
+    shared = spark.sparkContext.broadcast((words, classes))
+    model = train(save(_added(histories(docs, shared, rules), rules.classes**2)), rules)
+
+    # tokens and types of each class: the frequent words by themselves, all others by their ending
+    tokens, types = np.zeros(rules.classes), np.zeros(rules.classes)
+    own = classes[np.arange(len(words))]
+    np.add.at(tokens, own, c)
+    np.add.at(types, own, 1)
+    ends = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()  # a row an ending
+    by_ending, e = np.zeros((2, rules.endings + 1)), top["ending"].to_numpy("int64")
+    at = ends["ending"].to_numpy("int64")
+    by_ending[0, at], by_ending[1, at] = ends["c"], ends["v"]
+    np.subtract.at(by_ending[0], e, c)
+    np.subtract.at(by_ending[1], e, 1)
+    np.add.at(tokens, classes[rules.frequent :], by_ending[0])
+    np.add.at(types, classes[rules.frequent :], by_ending[1])
+    # Ney's estimate; of the half that is added, so that a class without words has a chance too, all goes to the unseen
+    discount = min(0.9, max(0.1, total["once"] / max(1, total["once"] + 2 * total["twice"])))
+    log_unseen, log_mass = np.log10(discount * types + 0.5), np.log10(tokens + 0.5)
+    log_unseen[0] = log_mass[0] = np.log10(max(tokens[0], 1) - discount)  # no other token ends a text
+    return Fitted(words, classes, c, model, discount, log_unseen, log_mass, int(total["n"] or 0), int(total["v"] or 0))
+
+
 def score(docs: DataFrame, rules: MaxentRules = MaxentRules()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs."""
     spark = docs.sparkSession
-    gathered = save(gather(docs.filter(~held_out(F.col("doc_id"), rules)), rules))
-    counts = save(gathered.filter("kind = 0").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")))
-    tables = save(_summed(gathered.filter("kind = 1"), rules))
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total["n"] or 0, total["v"] or 0
-    model = train(tables, rules)
-    table = model.log_table()
-
-    # mass of each class: all its training tokens, and the smoothing of its share of the vocabulary
-    by_class = np.zeros(rules.classes)
-    for row in tables.mapInArrow(_class_sums(rules), "sums binary").collect():
-        by_class += np.frombuffer(row["sums"], "float64")
-    log_mass = np.log10(by_class + 0.5 * (v + 1) * (by_class + 1) / (by_class + 1).sum())
-
-    top = counts.orderBy(F.desc("c"), "word").limit(rules.frequent).toPandas()  # bounded by the rules
-    order = np.argsort(top["word"].to_numpy("int64").view("uint64"), kind="stable")
-    top_word, top_count = top["word"].to_numpy("int64").view("uint64")[order], top["c"].to_numpy("int64")[order]
-    shared = spark.sparkContext.broadcast((table, log_mass, top_word, np.log10(top_count + 0.5)))
-    schema = "doc_id long, n_tokens long, known long, logs double, model double, rare array<long>"
+    training = docs.filter(~held_out(F.col("doc_id"), rules)).select("text")
+    counts = save(word_counts(training, rules))
+    fitted = fit(training, counts, rules)
+    shared = spark.sparkContext.broadcast(fitted)
+    schema = "doc_id long, n_tokens long, known long, logs double, model double, rare array<struct<word:long,c:int>>"
+    kind = pa.struct([("word", pa.int64()), ("c", pa.int32())])
 
     def scan(batches):
-        table, log_mass, top_word, top_log = shared.value
-        slots = np.full(1 << 19, -1, "int32")  # first look by low bits; words that share a slot are searched
-        low = (top_word & np.uint64((1 << 19) - 1)).astype("int64")
-        slots[low] = np.arange(len(top_word))
-        crowded = np.bincount(low, minlength=1 << 19) > 1
+        f = shared.value
+        of, table = _Histories(f.words, f.classes, rules), f.model.log_table()
+        base_log = np.append(np.log10(f.counts + 0.5), 0.0)  # rank -1, a word to be joined, adds nothing here
+        own_log = np.append(np.log10(np.maximum(f.counts - f.discount, 1e-9)), 0.0)
         for batch in batches:
             texts = raw(batch.column("text"))
             out = [np.zeros(len(texts)) for _ in range(4)]
-            rare = [None] * len(texts)
-            for first, words, stop, p, b, c in _word_stream(texts, rules):
-                k = len(stop)
+            left, lengths = [], []
+            for first, tokens, stop, ending in _stream(texts, rules):
                 begin = np.concatenate([[0], stop[:-1] + 1])
-                slot = (words & np.uint64((1 << 19) - 1)).astype("int64")
-                at = slots[slot].astype("int64")
-                if len(top_word):
-                    more = np.flatnonzero(crowded[slot])
-                    at[more] = np.minimum(np.searchsorted(top_word, words[more]), len(top_word) - 1)
-                    hit = (at >= 0) & (top_word[at] == words)
-                    logs = np.where(hit, top_log[at], 0.0)
-                else:
-                    hit, logs = np.zeros(len(words), bool), np.zeros(len(words))
-                fit = table[(p * rules.before + b) * rules.classes + c] - log_mass[c]
-                for o, x in zip(out, (np.ones(len(words)), hit, logs, fit)):
-                    o[first : first + k] = np.add.reduceat(x, begin)
-                left = words[~hit].view("int64")
-                cuts = np.concatenate([[0], np.add.reduceat((~hit).astype("int64"), begin).cumsum()])
-                for i in range(k):
-                    rare[first + i] = left[cuts[i] : cuts[i + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(out[0].astype("int64")),
-                    pa.array(out[1].astype("int64")),
-                    pa.array(out[2]),
-                    pa.array(out[3]),
-                    pa.array(rare, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_tokens", "known", "logs", "model", "rare"],
-            )
+                rank, p, b, c = of.of(tokens, stop, ending)
+                gained = table[(p * rules.classes + b) * rules.classes + c] + own_log[rank] - f.log_mass[c]
+                for o, x in zip(out, (np.ones(len(tokens)), rank >= 0, base_log[rank], gained)):
+                    o[first : first + len(stop)] = np.add.reduceat(x, begin)
+                rare = rank < 0
+                left.append((tokens[rare].view("int64"), c[rare].astype("int32")))
+                lengths.append(np.add.reduceat(rare.astype("int64"), begin))
+            ends = np.concatenate([[0], *lengths]).cumsum().astype("int32")
+            names, of_class = (np.concatenate(x) for x in zip(*left)) if left else (np.zeros(0, "int64"), np.zeros(0, "int32"))
+            both = pa.StructArray.from_arrays([pa.array(names), pa.array(of_class)], fields=list(kind))
+            yield _rows(
+                ["doc_id", "n_tokens", "known", "logs", "model", "rare"],
+                batch.column("doc_id"), _longs(out[0]), _longs(out[1]), pa.array(out[2]), pa.array(out[3]),
+                pa.ListArray.from_arrays(pa.array(ends), both),
+            )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = save(keyed.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()))
+    unseen = F.get(F.array(*[F.lit(float(x)) for x in fitted.log_unseen]), F.col("of_class"))
+    known = F.col("c").isNotNull()
     met = (
-        rows.select("row", F.explode("rare").alias("word"))
-        .groupBy("row", "word")
-        .agg(F.count(F.lit(1)).alias("times"))
+        rows.select("row", F.explode("rare").alias("x"))
+        .groupBy("row", "x.word")
+        .agg(F.count(F.lit(1)).alias("times"), F.min("x.c").alias("of_class"))
         .join(counts, "word", "left")
         .groupBy("row")
         .agg(
-            F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+            F.sum(F.when(known, F.col("times")).otherwise(0)).alias("rare_known"),
             F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs"),
+            F.sum(F.col("times") * F.when(known, F.log10(F.col("c") - fitted.discount)).otherwise(unseen)).alias("rare_model"),
         )
     )
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
-    base = float(np.log10(n + 0.5 * (v + 1)))
+    base = float(np.log10(fitted.tokens + 0.5 * (fitted.types + 1)))
     return rows.drop("rare").join(met, "row", "left").select(
         "doc_id",
         held_out(F.col("doc_id"), rules).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
+        F.lit(fitted.tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * base).alias("base_score"),
-        (logs + F.col("model")).alias("score"),
+        (F.col("model") + F.coalesce("rare_model", F.lit(0.0))).alias("score"),
     )
-
-
-def _class_sums(rules: MaxentRules):
-    def add(batches):
-        total = np.zeros(rules.classes)
-        for batch in batches:
-            for blob in batch.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(blob), "int64").reshape(-1, rules.classes).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    return add

@@ -246,6 +246,40 @@ def test_language_model(spark, frequent):
     assert sum(r.score for r in away) > sum(r.base_score for r in away)  # the history helps on texts it has not seen
 
 
+def test_language_model_probabilities_add_up_to_one(spark):
+    import numpy as np
+
+    rnd = random.Random(5)
+    words = [f"w{i}{e}" for i in range(60) for e in ("ing", "ed", "s")]
+    rows = [(i, " ".join(rnd.choice(words[:20] if rnd.random() < 0.7 else words) for _ in range(30))) for i in range(120)]
+    rules = maxent.MaxentRules(frequent=50, rounds=5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = maxent.word_counts(df, rules)
+    f = maxent.fit(df, counts, rules)
+    known = counts.toPandas()
+    hashes = known["word"].to_numpy("int64").view("uint64")
+    rank = maxent._Ranks(f.words).of(hashes)
+    c = f.classes[np.where(rank >= 0, rank, rules.frequent + known["ending"].to_numpy())]
+    inside = np.zeros(rules.classes)
+    np.add.at(inside, c, 10 ** (np.log10(known["c"].to_numpy() - f.discount) - f.log_mass[c]))
+    inside[1:] += 10 ** (f.log_unseen[1:] - f.log_mass[1:])
+    assert np.allclose(inside, 1, atol=1e-9)
+    table = 10 ** f.model.log_table().reshape(-1, rules.classes).astype("float64")
+    assert np.abs(table @ inside - 1).max() < 1e-5  # a history's table is kept in single precision
+    assert (c[hashes == maxent.END] == 0).all() and (c == 0).sum() == 1
+
+
+def test_language_model_of_nothing_and_of_long_texts(spark):
+    rules = maxent.MaxentRules(rounds=2)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert maxent.score(none, rules).count() == 0
+    only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    alone = maxent.score(spark.createDataFrame([(only, "a b")], "doc_id long, text string"), rules).first()
+    assert (alone.n_tokens, alone.n_known, alone.train_tokens) == (3, 0, 0) and alone.score <= 0
+    long = spark.createDataFrame([(0, "word " * 400_000), (only, "word other " * 200_000)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in maxent.score(long, rules).collect()} == {0: 400_001, only: 400_001}
+
+
 def test_stages_hand_on_documents(spark):
     import corpus_pipeline
 
