@@ -7,15 +7,19 @@ pseudonym has the format of the value, two values never share one, and equal val
 digits are computed anew. Dates are permuted as days of 1900-2099, whatever the notation.
 
 Defined results: null texts stay null and empty ones empty; unvalidated candidates are left as they are; repeated rows get
-the same pseudonyms; an empty table gives no rows. Work is proportional to the length of the text and its candidates.
+the same pseudonyms; an empty table gives no rows; the kinds go to a column ``pii``, with underscores behind where docs has one.
+Dates are read day first, and month first where that gives none; a pseudonym is spelled as the value was read. Work is
+proportional to the length of the text and its candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from secrets import token_hex
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm.common import let
+from moments.llm.common import free_name, let
 
 DIGITS, LOW, UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PARTS = {
@@ -78,6 +82,15 @@ def _spelled(number: Column, sets: Column) -> Column:
 def permuted(chars: Column, sets: Column, key: str, tweak: Column) -> Column:
     """The characters, each from its own alphabet, as another string over the same alphabets; 20 at a time."""
 
+    def alone(t):
+        """One character: the alphabet in the order of its keyed hashes; a network of one half would only shift it."""
+        own = F.get(t.s, 0)
+        hashed = F.transform(
+            F.split(own, ""),
+            lambda c: F.struct(F.sha2(F.concat_ws("|", F.lit(key), tweak, F.lit("one"), own, c), 256).alias("h"), c.alias("c")),
+        )
+        return F.get(F.array_sort(hashed), F.call_function("instr", own, F.get(t.c, 0)) - 1).c
+
     def chunk(at):
         part = lambda x: F.slice(x, at * 20 + 1, F.lit(20))
 
@@ -91,7 +104,9 @@ def permuted(chars: Column, sets: Column, key: str, tweak: Column) -> Column:
                 lambda x: F.concat(_spelled(x.l, sl), _spelled(x.r, sr)),
             )
 
-        return let(F.struct(part(chars).alias("c"), part(sets).alias("s")), both)
+        return let(
+            F.struct(part(chars).alias("c"), part(sets).alias("s")), lambda t: F.when(F.size(t.c) == 1, alone(t)).otherwise(both(t))
+        )
 
     last = F.call_function("div", F.size(chars) - 1, F.lit(20)).cast("int")
     return F.when(F.size(chars) == 0, F.lit("")).otherwise(
@@ -152,8 +167,10 @@ def _date_form(v: Column) -> list[tuple[Column, str]]:
         (v.rlike("^[0-9]{4}-"), "yyyy-MM-dd"),
         (v.rlike("^[0-9]{2}/[0-9]{2}/"), "dd/MM/yyyy"),
         (v.rlike(r"^[0-9]{2}\.[0-9]{2}\."), "dd.MM.yyyy"),
-        (v.contains("/"), "d/M/yyyy"),
+        (v.rlike("^[0-9]{1,2}/[0-9]{1,2}/"), "d/M/yyyy"),
         (v.contains("."), "d.M.yyyy"),
+        (v.rlike("^[0-9]{2}/[0-9]{2}/"), "MM/dd/yyyy"),
+        (v.contains("/"), "M/d/yyyy"),
     ]
 
 
@@ -228,7 +245,7 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
                 lambda x: F.date_add(start, (x.l * b + x.r).cast("int")),
             ),
         )
-        return let(moved, lambda m: F.coalesce(*[F.when(c, F.date_format(m, f)) for c, f in _date_form(v)]))
+        return let(moved, lambda m: F.coalesce(*[F.when(c & F.try_to_date(v, f).isNotNull(), F.date_format(m, f)) for c, f in _date_form(v)]))
 
     def phone():
         own = F.greatest(F.lit(0), F.size(chars) - 10)  # the country code stays
@@ -257,8 +274,20 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "set-your-own-key") -> DataFrame:
-    """docs with the text pseudonymised and ``pii``: the kinds found, in order."""
+def session_key(spark: SparkSession) -> str:
+    """The secret of ``moments.pii.key``; where it is unset, a random one that lasts as long as the session."""
+    found = spark.conf.get("moments.pii.key", None)
+    if not found:
+        found = token_hex(32)
+        spark.conf.set("moments.pii.key", found)
+    return found
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs with the text pseudonymised and ``pii``: the kinds found, in order. Who has the key can undo the pseudonyms."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    into, held_in = free_name(docs, "pii"), free_name(docs, "pii_found")
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     judged = F.transform(found, lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
@@ -269,15 +298,15 @@ def pseudonymise(docs: DataFrame, key: str = "set-your-own-key") -> DataFrame:
         F.zip_with(F.split(text, CANDIDATE, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )
     held = F.when(text.rlike("[0-9@]"), judged)
-    any_found = F.exists("pii_found", lambda x: x.k.isNotNull())
+    any_found = F.exists(held_in, lambda x: x.k.isNotNull())
     return (
-        docs.withColumn("pii_found", held)
-        .withColumn("text", F.when(any_found, let(changed(F.col("pii_found")), filled)).otherwise(text))
+        docs.withColumn(held_in, held)
+        .withColumn("text", F.when(any_found, let(changed(F.col(held_in)), filled)).otherwise(text))
         .withColumn(
-            "pii",
+            into,
             F.coalesce(
-                F.transform(F.filter("pii_found", lambda x: x.k.isNotNull()), lambda x: x.k), F.array().cast("array<string>")
+                F.transform(F.filter(held_in, lambda x: x.k.isNotNull()), lambda x: x.k), F.array().cast("array<string>")
             ),
         )
-        .drop("pii_found")
+        .drop(held_in)
     )

@@ -53,7 +53,7 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark)).select(
         "doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_join("pii", ",").alias("kinds")
     )
 
