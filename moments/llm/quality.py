@@ -40,9 +40,24 @@ class QualityRules:
     word_min_words: int = 100
 
 
-def _repeat_words(w: Column) -> Column:
+def _low(x: Column, bits: int) -> Column:
+    return x if bits == 64 else x.bitwiseAND(2**bits - 1)
+
+
+def _repeat_words(w: Column, hash_bits: int = 64) -> Column:
     """Words inside 3-word windows that occur twice or more. Hash and position share one number, so that a sort of plain
-    numbers brings equal windows together: n log n, for texts of any length."""
+    numbers brings equal windows together: n log n, for texts of any length. Neighbours of equal hashes are compared by their
+    words; a text in which two of them differ is counted by a sort of the windows themselves."""
+
+    def exact(w, n):
+        at = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(*[F.get(w, i + k).alias(f"w{k}") for k in range(3)], i.alias("i")))
+        same = lambda x, y: (x.w0 == y.w0) & (x.w1 == y.w1) & (x.w2 == y.w2)
+        none = F.lit(False)
+        found = let(
+            F.array_sort(at),
+            lambda s: F.filter(s, lambda x, j: F.coalesce(same(x, F.get(s, j + 1)), none) | F.coalesce(same(x, F.get(s, j - 1)), none)),
+        )
+        return F.transform(found, lambda x: x.i.cast("long"))
 
     def counted(w):
         n = F.size(w)
@@ -50,7 +65,7 @@ def _repeat_words(w: Column) -> Column:
         windows = F.transform(
             F.sequence(F.lit(0), n - 3),
             lambda i: F.call_function(
-                "shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits
+                "shiftleft", _low(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), hash_bits), bits
             ).bitwiseOR(i.cast("long")),
         )
         high = lambda x: F.call_function("shiftright", x, bits)
@@ -63,9 +78,18 @@ def _repeat_words(w: Column) -> Column:
                 | F.coalesce(high(x) == high(F.get(s, j - 1)), F.lit(False)),
             ),
         )
-        at = F.transform(found, lambda x: x.bitwiseAND(mask))
-        covered = F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2))))
-        return F.when(n < 3, F.lit(0)).otherwise(F.size(covered)).cast("long")
+        place = lambda x: x.bitwiseAND(mask).cast("int")
+        differ = lambda x, y: F.coalesce(
+            (high(x) == high(y)) & ((F.get(w, place(x)) != F.get(w, place(y))) | (F.get(w, place(x) + 1) != F.get(w, place(y) + 1)) | (F.get(w, place(x) + 2) != F.get(w, place(y) + 2))),
+            F.lit(False),
+        )
+
+        def counted_at(s):
+            clash = F.exists(F.zip_with(s, F.slice(s, 2, F.size(s)), differ), lambda x: x)
+            at = F.when(clash, exact(w, n)).otherwise(F.transform(s, lambda x: x.bitwiseAND(mask)))
+            return F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2)))))
+
+        return F.when(n < 3, F.lit(0)).otherwise(let(found, counted_at)).cast("long")
 
     return counted(w)
 

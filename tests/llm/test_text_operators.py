@@ -77,6 +77,17 @@ def test_quality_base(docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(r.text)
 
 
+def test_repeat_words_with_clashing_hashes(spark):
+    import random
+
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcde") for _ in range(n)) for n in (0, 1, 2, 3, 4, 10, 40, 200)] + ["a b c d e f g h i j k", "x y z " * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for bits in (1, 4, 64):
+        for r in df.select("t", quality._repeat_words(quality.words(F.col("t")), bits).alias("n")).collect():
+            assert r.n == brute_quality(r.t)[4], (bits, r.t)
+
+
 def test_quality_keeps_prose_and_drops_noise(spark):
     import random
 
@@ -153,6 +164,26 @@ def test_pseudonyms_keep_form_and_links(spark):
     assert out[3].text is None and out[4].text == "" and out[5].text == "4715744394561981 999.1.1.1 no" and out[5].pii == []
 
 
+def test_keys_dates_names_and_clashing_columns(spark):
+    rows = [(1, "x@a.example y@a.example z@b.example 12/31/2020 3/14/1999 13/13/2020 31.12.2020", "mine"), (2, "a.b " * 50_000 + "x@a.example", "mine"), (1, "x@a.example", "mine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii string")
+    out = pii.pseudonymise(df, "k").collect()
+    new = out[0].text.split()
+    assert out[0].pii == "mine" and out[0].pii_ == ["email"] * 3 + ["date"] * 3
+    locals_ = [x.split("@")[0] for x in new[:3]]
+    assert len(set(locals_)) == 3 and all(len(x) == 1 for x in locals_) and [x.split("@")[1] for x in new[:3]] == ["a.example", "a.example", "b.example"]
+    assert re.fullmatch(r"\d\d/\d\d/\d{4}", new[3]) and new[3] != "12/31/2020" and re.fullmatch(r"\d\d?/\d\d?/\d{4}", new[4]) and new[5] == "13/13/2020"
+    assert out[1].text.endswith(" " + new[0]) and out[2].text == new[0]
+    other = pii.pseudonymise(df.filter("doc_id = 1"), "another").collect()
+    assert other[0].text.split()[3] != new[3]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
+    assert pii.pseudonymise(df.limit(0), "k").columns == ["doc_id", "text", "pii", "pii_"] and pii.pseudonymise(df.limit(0), "k").count() == 0
+    ones = spark.range(26).select(F.expr("substr('abcdefghijklmnopqrstuvwxyz', int(id) + 1, 1)").alias("c"))
+    shifted = {r.c: r.p for r in ones.select("c", pii.permuted(F.split("c", ""), F.array(F.lit(pii.LOW)), "k", F.lit("t")).alias("p")).collect()}
+    assert sorted(shifted.values()) == sorted(shifted) and len({(ord(shifted[c]) - ord(c)) % 26 for c in shifted}) > 5
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(319 * 229).select("id", pii.feistel(F.expr("id div 229"), F.expr("id % 229"), F.lit(319), F.lit(229), "k", F.lit("t")).alias("x"))
     assert df.select(F.expr("x.l * 229 + x.r").alias("y")).distinct().count() == 319 * 229
