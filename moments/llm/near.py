@@ -26,12 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moments.llm.common import save
 from moments.llm.tokens import hashed_texts, mix, raw
 
 
+_CHECK = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 @dataclass(frozen=True)
 class NearRules:
     similarity: float = 0.8
@@ -41,8 +45,9 @@ class NearRules:
     depth: int = 5
     small: int = 128
     block: int = 512
-    #: Estimates of similarity from the coordinates that still count as candidates: four standard deviations below.
-    slack: float = 0.2
+    #: Estimates of similarity from the coordinates that still count as candidates: six standard deviations below, so a pair at
+    #: the similarity fails it with a chance of about 1e-8.
+    slack: float = 0.3
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -80,27 +85,28 @@ def _signature(s: np.ndarray, odd: np.ndarray) -> np.ndarray:
 def _first_coordinates(rules: NearRules) -> list[tuple[int, int]]:
     """(run, coordinate) at the roots: one for certain, others with the chance that makes 1 / similarity in all."""
     rng, out = np.random.default_rng(11), []
-    for run in range(rules.runs):
-        sure = int(rng.integers(rules.coordinates))
+    for run, sure in enumerate(map(int, rng.permutation(rules.coordinates)[: rules.runs])):
         more = np.flatnonzero(rng.random(rules.coordinates) < (1 / rules.similarity - 1) / rules.coordinates)
         out += [(run, i) for i in {sure, *map(int, more)}]
     return out
 
 
 def nodes_of(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """(doc_id, text_hash, node, size, signature, paths) of each document: one pass, no shuffle."""
+    """(doc_id, text_hash, set_hash, check, size, signature, paths) of each document: one pass, no shuffle. set_hash and check
+    are two independent hashes of the set, 128 bits together."""
     odd, roots = _odd(rules.coordinates, 5), _first_coordinates(rules)
     run_of = np.array([r for r, _ in roots], "uint64")
     place = np.array([i for _, i in roots])
-    schema = "doc_id long, text_hash long, node long, size int, signature binary, paths array<long>"
+    schema = "doc_id long, text_hash long, set_hash long, check long, size int, signature binary, paths array<long>"
 
     def scan(batches):
         for batch in batches:
             texts = raw(batch.column("text"))
-            node, size, sig, paths = [], [], [], []
+            node, check, size, sig, paths = [], [], [], [], []
             for s in shingle_sets(texts, rules.shingle):
                 m = _signature(s, odd)
                 node.append(int(mix(np.array([s.sum() + np.uint64(len(s))], "uint64"))[0].astype("int64")))
+                check.append(int(mix(np.array([mix(s ^ _CHECK).sum()], "uint64"))[0].astype("int64")))
                 size.append(len(s))
                 sig.append((m & np.uint64(0xFFFF)).astype("uint16").tobytes())
                 p = mix(mix(run_of * np.uint64(1 << 20) + place.astype("uint64")) ^ m[place])
@@ -110,11 +116,12 @@ def nodes_of(docs: DataFrame, rules: NearRules) -> DataFrame:
                     batch.column("doc_id"),
                     batch.column("text_hash"),
                     pa.array(node, pa.int64()),
+                    pa.array(check, pa.int64()),
                     pa.array(size, pa.int32()),
                     pa.array(sig, pa.binary()),
                     pa.array(paths, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_hash", "node", "size", "signature", "paths"],
+                names=["doc_id", "text_hash", "set_hash", "check", "size", "signature", "paths"],
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -248,11 +255,13 @@ def candidate_edges(reps: DataFrame, rules: NearRules) -> DataFrame:
     return save(out.distinct())
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(node, label): the least node of each component, by alternating large-star and small-star steps."""
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(node, label): the least node of each component, by alternating large-star and small-star steps, until a step changes
+    nothing. The steps grow with the logarithm of the nodes; raises if ``most`` are not enough."""
     now = save(edges.filter("src <> dst").select("src", "dst").distinct())
-    before = None
+    mark = None
     for _ in range(most):
+        last, before = now, mark
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
         large = save(both.join(save(least), "src").filter("dst > src and dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
@@ -260,10 +269,11 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         least = save(down.groupBy("src").agg(F.min("dst").alias("m")))
         small = down.join(least, "src").select(F.explode(F.array("src", "dst")).alias("x"), "m").filter("x <> m")
         now = save(small.select(F.col("x").alias("src"), F.col("m").alias("dst")).distinct())
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst") % 1000003)).first()
-        if mark == before:
+        mark = now.count()
+        if mark == before and now.join(last, ["src", "dst"], "left_anti").isEmpty():
             break
-        before = mark
+    else:
+        raise RuntimeError(f"components not found in {most} steps")
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("label")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("label")).unionByName(roots)
 
@@ -367,26 +377,32 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
 
     text_hash tells rows of one doc_id apart, and class_node classes without any doc_id."""
     seen = save(nodes_of(docs, rules))
-    texts = seen.groupBy("node", "text_hash").agg(F.min("doc_id").alias("d"), F.max("size").alias("size"))
+    both = ["set_hash", "check"]
+    texts = seen.groupBy(*both, "text_hash").agg(F.min("doc_id").alias("d"), F.max("size").alias("size"))
+    # sets that share one of their two hashes get ids of their own
+    node = F.col("set_hash") + F.row_number().over(W.partitionBy("set_hash").orderBy("check")) - 1
     nodes = save(
-        texts.groupBy("node").agg(
+        texts.groupBy(*both).agg(
             F.count(F.lit(1)).alias("weight"),
             F.min("d").alias("least"),
             F.min(F.struct(F.coalesce("d", F.lit(2**63 - 1)).alias("o"), "d", "text_hash")).alias("rep"),
             F.max("size").alias("size"),
-        ).select("node", "weight", "least", F.col("rep.d").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "size")
+        )
+        .withColumn("node", node)
+        .select("node", *both, "weight", "least", F.col("rep.d").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "size")
     )
-    chosen = nodes.select("node", F.col("rep_id").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
+    chosen = nodes.select("node", *both, F.col("rep_id").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
     first = (
         seen.filter("size > 0")
         .alias("s")
         .join(
             chosen.alias("c"),
-            (F.col("s.node") == F.col("c.node"))
+            (F.col("s.set_hash") == F.col("c.set_hash"))
+            & (F.col("s.check") == F.col("c.check"))
             & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))
             & (F.col("s.text_hash") == F.col("c.text_hash")),
         )
-        .select("s.node", "s.signature", "s.paths")
+        .select("c.node", "s.signature", "s.paths")
         .dropDuplicates(["node"])
     )
     edges = candidate_edges(first, rules)
@@ -414,14 +430,14 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
         nodes.join(links, "node", "left")
         .join(classes, "node", "left")
         .select(
-            "node", "weight", "least", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label")
+            "node", *both, "weight", "least", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label")
         )
     )
     of = save(of)
     names = of.groupBy("label").agg(F.min("least").alias("class_id"))
     own = F.when(F.col("size_of") > 0, F.col("weight") - 1).otherwise(0)
-    joined = of.join(names, "label").select("node", "label", "class_id", "weight", "links", F.col("size").alias("size_of"))
-    return seen.select("doc_id", "text_hash", "node").join(joined, "node").select(
+    joined = of.join(names, "label").select(*both, "label", "class_id", "weight", "links", F.col("size").alias("size_of"))
+    return seen.select("doc_id", "text_hash", *both).join(joined, both).select(
         "doc_id", "text_hash", F.col("label").alias("class_node"), "class_id", (F.col("links") + own).cast("long").alias("n_links")
     )
 
