@@ -5,8 +5,11 @@ seats: the sources get them by the highest quotients target / (2k + 1), and the
 Inside a shard the documents stand in seeded order and their words are cut into blocks; every block is taken once for each
 whole round of the quota, and the rest are the blocks that follow a seeded start.
 
-Shards grow in number with their source, so that no window holds more than about ``shard_words`` words of documents, and
-only the seats that are in doubt (about three for each party) are ranked.
+Shards grow in number with their source, so that no window holds more than about ``shard_words`` words of documents; documents
+without words take nothing and enter no window. Only the seats that are in doubt (about three for each party) are ranked, by
+ranges of quotients and the counts of the ranges before, so the shards of the largest source need not meet in one task. The
+sources themselves, whose number is that of a catalogue, do. A shard takes each of its blocks twice at most; what rounding
+gives it beyond that (less than a block) is not taken.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, after all others; repeated rows
 are separate documents of the same order; an empty table gives no rows.
@@ -23,32 +26,36 @@ from moments.llm.common import hex_long, n_words, save
 WEIGHTS = (5, 2, 1)
 
 
+def ranked(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """Adds column out: the rank of each row inside its group under a total order. Rows are dealt by ranges of (group, order);
+    a rank is the one in its range plus the rows of the group in the ranges before, so no task holds a large group."""
+    parts = save(df.repartitionByRange(*[F.col(c) for c in group], *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each range and group in it
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*group, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))
+    met = parts.withColumn("_inside", inside).join(before, [*group, "_part"])
+    return met.withColumn(out, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+
+
 def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, tie: list[str], out: str) -> DataFrame:
     """Adds column out: the seats of each party, by highest quotients votes / (2k + 1) inside its group.
 
     A party's seats lie within its quota times 1 +- parties / (2 seats), so only those are ranked."""
-    whole = W.partitionBy(*group)
-    n, total = F.count(F.lit(1)).over(whole), F.sum(votes).over(whole)
     quota = F.when(F.col("_total") > 0, F.col(votes) * F.col(seats) / F.col("_total")).otherwise(0.0)
     play = F.when(F.col(seats) > 0, F.col("_n") / (2.0 * F.col(seats))).otherwise(0.0)
     low = F.greatest(F.lit(0), F.floor(quota * (1 - play)) - 1).cast("long")
     high = (F.ceil(quota * (1 + play)) + 1).cast("long")
-    sized = (
-        parties.withColumn("_n", n)
-        .withColumn("_total", total.cast("double"))
-        .withColumn("_low", low)
-        .withColumn("_high", high)
-        .withColumn("_free", F.col(seats) - F.sum("_low").over(whole))
-    )
-    ranked = sized.withColumn("_k", F.explode(F.sequence("_low", "_high"))).withColumn(
-        "_rank",
-        F.row_number().over(
-            W.partitionBy(*group).orderBy((F.col(votes) / (2.0 * F.col("_k") + 1)).desc(), *[F.col(c) for c in tie], "_k")
-        ),
-    )
-    won = (F.col("_rank") <= F.col("_free")) & (F.col(votes) > 0)
+    columns = parties.columns
+    parties = save(parties)
+    whole = parties.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(votes).cast("double").alias("_total"))
+    sized = parties.join(whole, group).withColumn("_low", low).withColumn("_high", high)
+    given = sized.groupBy(*group).agg(F.sum("_low").alias("_given"))
+    doubtful = sized.withColumn("_k", F.explode(F.sequence("_low", "_high"))).withColumn("_quotient", F.col(votes) / (2.0 * F.col("_k") + 1))
+    order = [F.col("_quotient").desc(), *[F.col(c) for c in tie], F.col("_k")]
+    won = (F.col("_rank") <= F.col(seats) - F.col("_given")) & (F.col(votes) > 0)
     return (
-        ranked.groupBy(*parties.columns)
+        ranked(doubtful, group, order, "_rank").join(given, group).groupBy(*columns)
         .agg((F.first("_low") + F.sum(F.when(won, 1).otherwise(0))).cast("long").alias(out))
     )
 
@@ -103,7 +110,8 @@ def mix(
         .withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
         .select(*source, "source_size", "target", "source_seats", "n_shards")
     )
-    placed = sizes.join(quotas, source).withColumn("shard", hex_long(F.col("draw")) % F.col("n_shards"))
+    met = sizes.join(quotas, source)
+    placed = met.filter("size > 0").withColumn("shard", hex_long(F.col("draw")) % F.col("n_shards"))
     shards = apportion(
         placed.groupBy(*source, "shard").agg(
             F.sum("size").alias("shard_words"), F.first("source_seats").alias("source_seats")
@@ -130,9 +138,9 @@ def mix(
 
     first, last = F.col("start") * block, (F.col("start") + F.col("rest")) * block
     taken = F.col("rounds") * F.col("size") + within(first, last) + within(F.lit(0), last - F.col("n") * block)
-    return laid.join(shards, [*source, "shard"]).select(
-        "doc_id", "size", *source, "source_size", "target", taken.cast("long").alias("taken"), *carry
-    )
+    columns = ["doc_id", "size", *source, "source_size", "target"]
+    some = laid.join(shards, [*source, "shard"]).select(*columns, taken.cast("long").alias("taken"), *carry)
+    return some.unionByName(met.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"), *carry))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
