@@ -5,7 +5,10 @@ quantile splitters for many fine ranges. All records are then counted by range:
 by a second hash of the record, and the ranges are dealt to shards in key order by their exact bytes. A slot is the rank in
 the range plus the records of the shard's ranges before it, so no sort holds a whole shard.
 
-What reaches the driver is bounded by parameters: about ``oversample`` keys and one count for each of the fine ranges.
+Records of one key and doc_id are one entry of the sample, whatever their number, and where such an entry alone overfills a range
+(repeated rows, or one text under many null ids) its rows are divided by their place in the table; they are equal, so it does
+not matter which goes where. What reaches the driver is bounded by parameters: about ``oversample`` keys and one count for each
+of the fine ranges.
 
 Defined results: a null text has no bytes and goes with the empty ones; a null doc_id sorts first; repeated rows take
 neighbouring slots; an empty table gives no rows.
@@ -25,7 +28,7 @@ HEAD = 16
 
 
 def record_keys(docs: DataFrame, *carry: str) -> DataFrame:
-    """Size, checksum, key and second hash of each record; no text goes further."""
+    """Size, checksum, key and second hash of each record, and a hash of its place in the table; no text goes further."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         *carry,
@@ -34,6 +37,7 @@ def record_keys(docs: DataFrame, *carry: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         hex_long(F.md5(text), 15).alias("key"),
         hex_long(F.md5(F.concat_ws(":", F.lit("spread"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 8).alias("spread"),
+        F.pmod(F.xxhash64(F.lit("place"), F.monotonically_increasing_id()), F.lit(2**32)).alias("place"),
     )
 
 
@@ -45,13 +49,15 @@ def _weighted_splitters(keys: np.ndarray, weights: np.ndarray, n: int) -> np.nda
 
 
 def shard_by_bytes(records: DataFrame, shards: int = 40, ranges_per_shard: int = 64, oversample: int = 16) -> DataFrame:
-    """records (key, spread, size, ...) with shard and slot."""
+    """records (key, spread, place, size, ...), which are written, with shard and slot."""
     spark = records.sparkSession
     n = shards * ranges_per_shard
     total = records.agg(F.sum("size")).first()[0] or 0
     rate = n * oversample / max(total, 1)
-    sample = (
-        records.filter(F.col("spread") < F.least(F.lit(1.0), F.col("size") * rate) * 2.0**32)
+    entries = records.groupBy("key", "spread").agg(F.sum("size").alias("size"))
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "key", "spread"), F.lit(2**32))
+    sample = (  # the weights of all entries add up to n * oversample
+        entries.filter(chance < F.least(F.lit(1.0), F.col("size") * rate) * 2.0**32)
         .select("key", F.greatest(F.lit(1.0), F.col("size") * rate).alias("w"))
         .toPandas()
     )
@@ -73,6 +79,8 @@ def shard_by_bytes(records: DataFrame, shards: int = 40, ranges_per_shard: int =
         .toPandas()
     )
     hot_keys = hot["key"].to_numpy("int64")
+    alone = records.groupBy("key", "spread").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > limit / 4)
+    alone_keys = np.sort(alone.select("key").distinct().toPandas()["key"].to_numpy("int64"))  # at most 4 total / limit
     parts = np.ceil(hot["bytes"].to_numpy("float64") / max(limit / 4, 1)).astype("int64")
     # a hot key cuts its range in two: fine ranges are numbered in key order, with a hot key's parts between
     cuts = np.unique(np.concatenate([splitters, hot_keys, hot_keys - 1])) if len(hot_keys) else splitters
@@ -81,11 +89,12 @@ def shard_by_bytes(records: DataFrame, shards: int = 40, ranges_per_shard: int =
     first = np.concatenate([[0], np.cumsum(width)[:-1]])
 
     @F.pandas_udf("int")
-    def fine_of(key: pd.Series, spread: pd.Series) -> pd.Series:
+    def fine_of(key: pd.Series, spread: pd.Series, place: pd.Series) -> pd.Series:
         at = np.searchsorted(cuts, key.to_numpy(), side="left")
-        return pd.Series((first[at] + spread.to_numpy() * width[at] // 2**32).astype("int32"))
+        by = np.where(np.isin(key.to_numpy(), alone_keys), place.to_numpy(), spread.to_numpy())
+        return pd.Series((first[at] + by * width[at] // 2**32).astype("int32"))
 
-    fine = records.withColumn("fine", fine_of("key", "spread"))
+    fine = records.withColumn("fine", fine_of("key", "spread", "place"))
     counts = fine.groupBy("fine").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).orderBy("fine").toPandas()
     if counts.empty:
         return records.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
