@@ -5,8 +5,8 @@ class of the word before it (skip) and both together (trigram). The weights are
 Spark job in which tasks send the gradient of their share of the data. The gradient needs the data only as counts of
 (previous, before, class), so those are gathered once from all training texts.
 
-Classes are learned from all training texts too: each of the ``frequent`` most frequent words, and each ending of three bytes
-for all other words, has a histogram of its neighbours; the histograms are clustered by k-means (square roots, so that distance
+Classes are learned from all training texts too: each of the ``own_forms`` most frequent words, and each ending of three
+bytes for all other words, has a histogram of its neighbours; the histograms are clustered by k-means (square roots, so that distance
 is Hellinger's). The end of a text is a class of its own. Inside a class every known word gives up the same discount of its
 count, estimated from the words that occur once and twice; what they give up is the chance of an unseen word, which is one
 symbol of its class as it is one in the base. So the probabilities of all known words, of the end, and of an unseen word of
@@ -38,7 +38,9 @@ END = np.uint64(0x5EED0F00D5EED0F1)
 
 @dataclass(frozen=True)
 class MaxentRules:
+    #: At most so many words, the most frequent ones, have their counts sent to the tasks; all others are joined.
     frequent: int = 1 << 16
+    own_forms: int = 1 << 14
     endings: int = 1 << 12
     classes: int = 64
     #: Columns of a histogram of neighbours: the most frequent words, and hashed endings for the rest.
@@ -169,9 +171,13 @@ def _added(tables: DataFrame, width: int) -> DataFrame:
     return tables.repartition(8, "key").mapInArrow(add, "key long, counts binary")  # bounded: a row a key
 
 
+def _form(rank: np.ndarray, ending: np.ndarray, rules: MaxentRules) -> np.ndarray:
+    return np.where((rank >= 0) & (rank < rules.own_forms), rank, rules.own_forms + ending)
+
+
 def neighbours(docs: DataFrame, ranks, rules: MaxentRules) -> DataFrame:
-    """(key, counts): for each form (rank of a frequent word, or its number plus an ending) the contexts before and after it."""
-    forms, width = rules.frequent + rules.endings + 1, rules.contexts
+    """(key, counts): for each form (rank of a frequent word, or their number plus an ending) the contexts before and after it."""
+    forms, width = rules.own_forms + rules.endings + 1, rules.contexts
     spare = width - rules.own_contexts
 
     def scan(batches):
@@ -179,7 +185,7 @@ def neighbours(docs: DataFrame, ranks, rules: MaxentRules) -> DataFrame:
         for batch in batches:
             for _, words, _, ending in _stream(raw(batch.column("text")), rules):
                 rank = known.of(words)
-                form = np.where(rank >= 0, rank, rules.frequent + ending)
+                form = _form(rank, ending, rules)
                 context = np.where((rank >= 0) & (rank < rules.own_contexts), rank, rules.own_contexts + ending % spare)
                 cell = np.concatenate([form[1:] * width + context[:-1], form[:-1] * width + context[1:]])
                 at, n = np.unique(cell, return_counts=True)
@@ -193,12 +199,12 @@ def neighbours(docs: DataFrame, ranks, rules: MaxentRules) -> DataFrame:
 def clustered(keys: np.ndarray, table: np.ndarray, rules: MaxentRules, steps: int = 15) -> np.ndarray:
     """The class (1 or more) of each form, by k-means on the square roots of the shares of its neighbours; forms count by the
     square root of their tokens, so neither the few frequent nor the many rare ones decide alone."""
-    out = np.ones(rules.frequent + rules.endings + 1, "int64")
+    out = np.ones(rules.own_forms + rules.endings + 1, "int64")
     out[-1] = 0
     if not len(keys):
         return out
     mass = table.sum(axis=1).astype("float64")
-    x, weight = np.sqrt(table / np.maximum(mass, 1)[:, None]), np.sqrt(mass)
+    x, weight = np.sqrt(table / np.maximum(mass, 1)[:, None]).astype("float32"), np.sqrt(mass)
     rng, k = np.random.default_rng(17), min(rules.classes - 1, len(keys))
     centres = [x[int(np.argmax(weight))]]
     far = ((x - centres[0]) ** 2).sum(axis=1)
@@ -226,7 +232,7 @@ class _Histories:
     def of(self, words: np.ndarray, stop: np.ndarray, ending: np.ndarray):
         r = self.rules
         rank = self.known.of(words)
-        cls = self.classes[np.where(rank >= 0, rank, r.frequent + ending)]
+        cls = self.classes[_form(rank, ending, r)]
         spread = (r.previous - r.own_previous) // r.classes
         own = np.where(
             (rank >= 0) & (rank < r.own_previous), rank, r.own_previous + cls * spread + (mix(words) % np.uint64(spread)).astype("int64")
@@ -296,8 +302,10 @@ def train(tables: DataFrame, rules: MaxentRules) -> Maxent:
     squares = [np.zeros(w.shape) for w in model.weights]
     parts = tables.coalesce(8)  # read in as many parts as were written, at most 8
     for _ in range(rules.rounds):
+        now = tables.sparkSession.sparkContext.broadcast(model)
 
-        def part(batches, model=model):
+        def part(batches, now=now):
+            model = now.value
             grads = [np.zeros(w.shape) for w in model.weights]
             mass = 0.0
             for batch in batches:
@@ -317,6 +325,7 @@ def train(tables: DataFrame, rules: MaxentRules) -> Maxent:
             yield _rows(["g", "mass"], pa.array([flat.tobytes()], pa.binary()), pa.array([mass]))
 
         rows = parts.mapInArrow(part, "g binary, mass double").collect()  # at most 8 rows of the model's size
+        now.destroy()
         mass = sum(x["mass"] for x in rows)
         if not mass:
             break
@@ -346,36 +355,50 @@ class Fitted:
     types: int
 
 
+def most_frequent(counts: DataFrame, rules: MaxentRules) -> DataFrame:
+    """The words of the highest counts, as many whole eighths of octaves of counts as hold at most ``frequent`` words."""
+    of = F.floor(F.log2(F.col("c")) * 8)
+    sizes = {r.b: r.n for r in counts.groupBy(of.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # some hundred rows
+    held, least = 0, None
+    for b in sorted(sizes, reverse=True):
+        held += sizes[b]
+        if held > rules.frequent:
+            break
+        least = b
+    return counts.filter(F.lit(False) if least is None else of >= least)
+
+
 def fit(docs: DataFrame, counts: DataFrame, rules: MaxentRules) -> Fitted:
     """The model of the training texts ``docs`` with their word counts."""
     spark = docs.sparkSession
     total = counts.agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")
     ).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(rules.frequent).toPandas()  # bounded by the rules
+    top = most_frequent(counts, rules).toPandas().sort_values(["c", "word"], ascending=[False, True])
     words, c = top["word"].to_numpy("int64").view("uint64"), top["c"].to_numpy("int64")
     ranks = spark.sparkContext.broadcast(words)
     near = _added(neighbours(docs, ranks, rules), rules.contexts).toPandas()  # at most a row for each form
     near = near.sort_values("key")
     table = np.array([_counts(x) for x in near["counts"]]).reshape(len(near), rules.contexts)
     classes = clustered(near["key"].to_numpy("int64"), table, rules)
-    classes[np.flatnonzero(words == END)] = 0
+    classes[np.flatnonzero(words[: rules.own_forms] == END)] = 0
     shared = spark.sparkContext.broadcast((words, classes))
     model = train(save(_added(histories(docs, shared, rules), rules.classes**2)), rules)
 
     # tokens and types of each class: the frequent words by themselves, all others by their ending
     tokens, types = np.zeros(rules.classes), np.zeros(rules.classes)
-    own = classes[np.arange(len(words))]
+    ending = top["ending"].to_numpy("int64")
+    own = classes[_form(np.arange(len(words)), ending, rules)]
     np.add.at(tokens, own, c)
     np.add.at(types, own, 1)
     ends = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()  # a row an ending
-    by_ending, e = np.zeros((2, rules.endings + 1)), top["ending"].to_numpy("int64")
+    by_ending = np.zeros((2, rules.endings + 1))
     at = ends["ending"].to_numpy("int64")
     by_ending[0, at], by_ending[1, at] = ends["c"], ends["v"]
-    np.subtract.at(by_ending[0], e, c)
-    np.subtract.at(by_ending[1], e, 1)
-    np.add.at(tokens, classes[rules.frequent :], by_ending[0])
-    np.add.at(types, classes[rules.frequent :], by_ending[1])
+    np.subtract.at(by_ending[0], ending, c)
+    np.subtract.at(by_ending[1], ending, 1)
+    np.add.at(tokens, classes[rules.own_forms :], by_ending[0])
+    np.add.at(types, classes[rules.own_forms :], by_ending[1])
     # Ney's estimate; of the half that is added, so that a class without words has a chance too, all goes to the unseen
     discount = min(0.9, max(0.1, total["once"] / max(1, total["once"] + 2 * total["twice"])))
     log_unseen, log_mass = np.log10(discount * types + 0.5), np.log10(tokens + 0.5)

@@ -75,6 +75,28 @@ def test_near_duplicates(spark, copies, block, small):
     assert near.one_of_each(df, rules).count() == n
 
 
+def test_components_of_paths_and_failure_to_converge(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {r.node: r.label for r in near.components(df).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    with pytest.raises(RuntimeError):
+        near.components(df, most=2)
+
+
+def test_recall_of_links_of_every_fiftieth_document(spark):
+    """Documents of ids divisible by 50 against all rows, by brute force over the sets."""
+    rnd = random.Random(21)
+    rows = []
+    for b in range(60):
+        base = [f"b{b}w{rnd.randrange(4000)}" for _ in range(rnd.randrange(60, 300))]
+        rows += [(50 * b + i, noisy(rnd, base, rnd.randrange(0, 1 + len(base) // 45))) for i in range(12)]
+    sets = [shingles(t) for _, t in rows]
+    expected = {d: sum(1 for t in {rows[j][1] for j in range(len(rows)) if rows[j][1] != rows[i][1] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}) for i, (d, _) in enumerate(rows) if d % 50 == 0}
+    got = {r.doc_id: r.n_links for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id % 50 = 0").collect()}
+    assert sum(expected.values()) > 150
+    assert sum(min(got[d], expected[d]) for d in expected) >= 0.99 * sum(expected.values()) and all(got[d] <= expected[d] for d in expected)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near.near_duplicates(df).count() == 0
@@ -196,6 +218,24 @@ def test_sharding(spark):
     assert sharding.assign_shards(df.limit(0)).count() == 0
 
 
+def test_sharding_of_one_repeated_row_and_of_null_ids(spark):
+    for doc_id in (None, 7):
+        df = spark.range(3000, numPartitions=5).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"))
+        out = sharding.assign_shards(df).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).collect()
+        assert len(out) == 40 and all(r.last == r.n - 1 and 55 < r.n < 95 for r in out)
+    long = spark.createDataFrame([(1, "x" * 3_000_000), (2, "short"), (3, None)], "doc_id long, text string")
+    got = sharding.assign_shards(long).collect()
+    assert sorted((r.doc_id, r["size"]) for r in got) == [(1, 3_000_016), (2, 21), (3, 16)] and all(r.slot >= 0 for r in got)
+
+
+def test_ranks_without_one_task_for_a_group(spark):
+    df = spark.range(2000).select((F.col("id") % 3 == 0).cast("int").alias("g"), (F.col("id") * 7919 % 50).alias("v"), "id")
+    got = mixing.ranked(df.repartition(9), ["g"], [F.col("v").desc(), F.col("id")], "r").collect()
+    for g in (0, 1):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: (-r.v, r.id))
+        assert [r.r for r in mine] == list(range(1, len(mine) + 1))
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><style>x</style></head><body><header>Top</header><div id="cookie-banner">We use cookies</div><nav><a>Home</a></nav>
 <main><h1>T &amp; t&nbsp;x</h1><p>One <b>two</b>
@@ -252,21 +292,21 @@ def test_language_model_probabilities_add_up_to_one(spark):
     rnd = random.Random(5)
     words = [f"w{i}{e}" for i in range(60) for e in ("ing", "ed", "s")]
     rows = [(i, " ".join(rnd.choice(words[:20] if rnd.random() < 0.7 else words) for _ in range(30))) for i in range(120)]
-    rules = maxent.MaxentRules(frequent=50, rounds=5)
+    rules = maxent.MaxentRules(frequent=100, own_forms=40, rounds=5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     counts = maxent.word_counts(df, rules)
     f = maxent.fit(df, counts, rules)
     known = counts.toPandas()
     hashes = known["word"].to_numpy("int64").view("uint64")
     rank = maxent._Ranks(f.words).of(hashes)
-    c = f.classes[np.where(rank >= 0, rank, rules.frequent + known["ending"].to_numpy())]
+    c = f.classes[maxent._form(rank, known["ending"].to_numpy(), rules)]
     inside = np.zeros(rules.classes)
     np.add.at(inside, c, 10 ** (np.log10(known["c"].to_numpy() - f.discount) - f.log_mass[c]))
     inside[1:] += 10 ** (f.log_unseen[1:] - f.log_mass[1:])
     assert np.allclose(inside, 1, atol=1e-9)
     table = 10 ** f.model.log_table().reshape(-1, rules.classes).astype("float64")
     assert np.abs(table @ inside - 1).max() < 1e-5  # a history's table is kept in single precision
-    assert (c[hashes == maxent.END] == 0).all() and (c == 0).sum() == 1
+    assert 0 < len(f.words) <= 100 and (c[hashes == maxent.END] == 0).all() and (c == 0).sum() == 1
 
 
 def test_language_model_of_nothing_and_of_long_texts(spark):
