@@ -123,6 +123,33 @@ def entities(grouped: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumn("entity_id", F.format_string("e%03d", F.col("place") - 1))
 
 
+def link_answer(mentions: DataFrame, chunks: DataFrame, profile: LinkProfile = LinkProfile(), top: int = 50) -> DataFrame:
+    """The whole answer of a profile, one row a video: how many mentions, entities, linked and narrated ones, the threshold with
+    the pairs that calibrated it, the candidate pairs, and the entities that share most chunks. mentions carry chunk_id and
+    signature beside the columns of linking; a video of one mention has counts of one and no pair."""
+    paired = pairs(mentions)
+    linked = candidates(paired, profile)
+    grouped = greedy_groups(mentions, linked)
+    found = entities(mentions.select("video_id", "mention", "chunk_id", "signature").join(grouped, ["video_id", "mention"]), chunks)
+    often = found.filter(F.col("appearances") >= profile.min_appearances)
+    seen = often.select("video_id", "entity_id", F.explode("chunk_ids").alias("chunk_id"))
+    a, b = seen.withColumnRenamed("entity_id", "a"), seen.withColumnRenamed("entity_id", "b")
+    met = a.join(b, ["video_id", "chunk_id"]).filter("a < b").groupBy("video_id", "a", "b").agg(F.count(F.lit(1)).alias("count"))
+    place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("count"), "a", "b"))
+    best = met.withColumn("place", place).filter(F.col("place") <= top).groupBy("video_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "a", "b", "count"))), lambda x: F.concat_ws(":", x.a, x.b, x["count"].cast("string"))).alias("together")
+    )
+    count = lambda df, name: df.groupBy("video_id").agg(F.count(F.lit(1)).alias(name))
+    out = count(mentions, "mentions")
+    for part in (
+        count(found, "count"), count(often, "linked"), count(narrated(found, profile), "narrated"), thresholds(paired, profile),
+        count(cannot_link(paired), "calibration_pairs"), count(linked, "candidate_pairs"), best,
+    ):
+        out = out.join(part, "video_id", "left")
+    none = F.array().cast("array<string>")
+    return out.fillna(0, ["count", "linked", "narrated", "calibration_pairs", "candidate_pairs"]).withColumn("together", F.coalesce("together", none))
+
+
 def narrated(found: DataFrame, profile: LinkProfile) -> DataFrame:
     """The first entities of each video that appear often enough."""
     often = found.filter(F.col("appearances") >= profile.min_appearances)
@@ -155,18 +182,26 @@ def fixed_link(mentions: DataFrame, same: float = 0.95, link_at: float = 0.88, g
 # evaluation
 
 
-def pair_score(grouped: DataFrame, truth: DataFrame) -> DataFrame:
-    """Pairwise precision, recall and F1 by video. grouped (video_id, mention, group), truth (mention, subject); pairs with an
-    unlabelled mention are ``unchecked`` where linked. Counted from group sizes, so no pair is made."""
+def pair_score(grouped: DataFrame, truth: DataFrame, unsure: DataFrame | None = None, different: DataFrame | None = None) -> DataFrame:
+    """Pairwise precision, recall and F1 by video. grouped (video_id, mention, group), truth (mention, subject). A link of an
+    ``unsure`` (mention) is ``unchecked``, but wrong where ``different`` (mention, subject) knows the other mention's subject to
+    be someone else; a sure mention without a label is nobody else's. Counted from group sizes, so no pair is made."""
 
     def chosen(n):
         return F.col(n) * (F.col(n) - 1) / 2
 
-    known = grouped.join(truth, "mention", "left")
-    both = known.groupBy("video_id", "group", "subject").agg(F.count(F.lit(1)).alias("n"))
+    doubted = grouped.select("mention").limit(0) if unsure is None else unsure.select("mention").distinct()
+    known = grouped.join(truth, "mention", "left").join(doubted.withColumn("doubt", F.lit(True)), "mention", "left")
+    known = known.withColumn("sure", F.col("doubt").isNull()).withColumn("subject", F.when(F.col("sure"), F.col("subject")))
+    both = known.filter("sure").groupBy("video_id", "group", "subject").agg(F.count(F.lit(1)).alias("n"))
     tp = both.filter("subject is not null").groupBy("video_id").agg(F.sum(chosen("n")).alias("tp"))
-    by_group = known.groupBy("video_id", "group").agg(F.count(F.lit(1)).alias("n"), F.count("subject").alias("k"))
+    by_group = known.groupBy("video_id", "group").agg(F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("k"))
     linked = by_group.groupBy("video_id").agg(F.sum(chosen("k")).alias("linked"), F.sum(chosen("n") - chosen("k")).alias("unchecked"))
+    if different is not None:
+        other = known.filter("not sure").select("video_id", "group", "mention").join(different.distinct(), "mention")
+        wrong = other.join(both, ["video_id", "group", "subject"]).groupBy("video_id").agg(F.sum("n").alias("wrong"))
+        linked = linked.join(wrong, "video_id", "left").fillna(0, ["wrong"])
+        linked = linked.withColumn("linked", F.col("linked") + F.col("wrong")).withColumn("unchecked", F.col("unchecked") - F.col("wrong")).drop("wrong")
     same = both.filter("subject is not null").groupBy("video_id", "subject").agg(F.sum("n").alias("n")).groupBy("video_id").agg(F.sum(chosen("n")).alias("same"))
     out = linked.join(tp, "video_id", "left").join(same, "video_id", "left").fillna(0.0, ["tp", "same"])
     p = F.when(F.col("linked") > 0, F.col("tp") / F.col("linked")).otherwise(1.0)
@@ -177,6 +212,18 @@ def pair_score(grouped: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def choose_config(scores: DataFrame, tuned_on: str, least: float = 0.9) -> DataFrame:
+    """scores (embedder, rule, mutual, video_id, precision, f1) to the configurations of each embedder in order: those whose
+    precision on the tuning video reaches ``least`` first, then by F1 and precision there. ``others`` is the mean F1 of the
+    other videos, ``safe`` whether every embedder keeps the precision with that configuration."""
+    by = ["embedder", "rule", "mutual"]
+    tune = scores.filter(F.col("video_id") == tuned_on).select(*by, "precision", "f1")
+    rest = scores.filter(F.col("video_id") != tuned_on).groupBy(*by).agg(F.round(F.avg("f1"), 9).alias("others"))
+    safe = tune.groupBy("rule", "mutual").agg((F.min("precision") >= least).alias("safe"))
+    order = W.partitionBy("embedder").orderBy((F.col("precision") >= least).desc(), F.desc("f1"), F.desc("precision"), "rule", "mutual")
+    return tune.withColumn("place", F.row_number().over(order)).join(rest, by, "left").join(safe, ["rule", "mutual"])
+
+
 def auc(scored: DataFrame) -> DataFrame:
     """How often a same pair outscores a different one, ties a half: by ranks of distinct scores, never by pairs of pairs."""
     by = scored.groupBy("video_id", "sim").agg(F.count_if("same").alias("s"), F.count_if(~F.col("same")).alias("d"))
@@ -201,10 +248,17 @@ def track_costs(distances: DataFrame) -> DataFrame:
 def merge_tracks(costs: DataFrame, threshold: float, how: str = "min") -> DataFrame:
     """(video_id, mention, track): the closest compatible pair of tracks joins, until no cost is below the threshold. costs:
     (video_id, mention_i, mention_j, answer_i, answer_j, cost) of all pairs; tracks that share an answer never join. Each merge
-    depends on the one before, so a video's pairs meet in one task; videos run in parallel."""
+    depends on the one before, so a video's pairs meet in one task; videos run in parallel. Under the least cost only pairs below
+    the threshold can ever join two tracks, so only they go to the tasks and a merge is a walk over them in order."""
     import numpy as np
 
-    combine = {"min": np.minimum, "max": np.maximum, "mean": None}
+    if how == "min":
+        i, j = (F.col(f"mention_{k}") for k in "ij")
+        ends = costs.select("video_id", F.explode(F.array(i, j)).alias("mention")).distinct()
+        near = costs.filter((F.col("cost") < threshold) & (F.col("answer_i") != F.col("answer_j"))).withColumn("sim", -F.col("cost"))
+        return greedy_groups(ends, near).withColumnRenamed("group", "track")
+
+    combine = {"max": np.maximum, "mean": None}
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["mention_i"], pdf["mention_j"]]))
@@ -271,8 +325,20 @@ NEAR = [
 ]
 
 
-def attribute_distance(x, y, weights=None):
-    """Weighted attribute distance of two structs: unknown costs nothing, near values half, shared accessories give 2 back."""
+#: Accessories that are carried, and words that do not distinguish.
+CARRIED = ["shopping_bag", "basket", "box", "stroller"]
+PLAIN_WORDS = "a an the and with of on in none nothing no".split()
+
+
+def _marks(text):
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(PLAIN_WORDS)))
+
+
+def attribute_distance(x, y, weights=None, carried: bool = True, marks: bool = False):
+    """Weighted attribute distance of two structs: unknown costs nothing, near values half, shared accessories give 2 back each
+    (those that are carried only if ``carried``), and so does a shared description of marks (``distinguishing``, word Jaccard
+    of 0.3 or more)."""
     total = F.lit(0.0)
     near = [f"{min(p)}|{max(p)}" for p in NEAR]
     for name, w in (weights or WEIGHTS).items():
@@ -280,4 +346,11 @@ def attribute_distance(x, y, weights=None):
         both = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
         cost = F.when(a.isin(UNKNOWN) | b.isin(UNKNOWN) | (a == b), 0.0).when(both.isin(near), 0.5).otherwise(1.0)
         total = total + w * cost
-    return total - 2.0 * F.size(F.array_intersect(x["accessories"], y["accessories"]))
+    shared = F.array_intersect(x["accessories"], y["accessories"])
+    shared = shared if carried else F.filter(shared, lambda a: ~a.isin(CARRIED))
+    total = total - 2.0 * F.size(shared)
+    if not marks:
+        return total
+    a, b = _marks(x["distinguishing"]), _marks(y["distinguishing"])
+    alike = (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) >= 0.3)
+    return total - F.when(alike, 2.0).otherwise(0.0)

@@ -24,6 +24,31 @@ cand AS (SELECT pr.video_id, mention_i, mention_j, answer_i, answer_j, sim FROM
 Q90 = ln.LinkProfile(rule="q90")
 
 
+def _cand(bar: str = "sim > q90", mutual: bool = True) -> str:
+    """The candidate pairs under a bar, with or without mutual best."""
+    best = """ AND EXISTS (SELECT 1 FROM best b WHERE b.video_id = pr.video_id AND b.m = mention_i AND b.a = answer_j AND b.o = mention_j)
+  AND EXISTS (SELECT 1 FROM best b WHERE b.video_id = pr.video_id AND b.m = mention_j AND b.a = answer_i AND b.o = mention_i)"""
+    return f"""cand AS (SELECT pr.video_id, mention_i, mention_j, answer_i, answer_j, sim FROM pr LEFT JOIN th USING (video_id)
+  WHERE answer_i <> answer_j AND {bar}{best if mutual else ''})"""
+
+
+#: One step of the recursion takes one pair: the groups of all mentions of a video are a list, changed where the pair may join.
+_GROW = """op AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY sim DESC, mention_i, mention_j) AS k,
+  mention_i - video_id::BIGINT * 50 + 1 AS i, mention_j - video_id::BIGINT * 50 + 1 AS j FROM cand),
+st AS (SELECT video_id, 0::BIGINT AS k, list(mention ORDER BY mention) AS g, list(answer ORDER BY mention) AS an FROM men GROUP BY video_id
+  UNION ALL SELECT st.video_id, st.k + 1, CASE WHEN g[i] = g[j] OR list_has_any(list_filter(an, lambda a, x: g[x] = g[i]), list_filter(an, lambda a, x: g[x] = g[j])) THEN g
+    ELSE list_transform(g, lambda v: CASE WHEN v = g[j] THEN g[i] ELSE v END) END, an FROM st JOIN op ON op.video_id = st.video_id AND op.k = st.k + 1),
+fin AS (SELECT video_id, unnest(g) AS gr, unnest(range(len(g))) + video_id::BIGINT * 50 AS mention FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY k DESC) = 1)),
+grp AS (SELECT video_id, mention, min(mention) OVER (PARTITION BY video_id, gr) AS "group" FROM fin)"""
+
+
+def linked(body: str, bar: str = "sim > q90", mutual: bool = True, vector: str = "embedding", only: str = "true", more: str = "") -> str:
+    """DuckDB SQL over grp, the groups of greedy linking."""
+    head = LINK[: LINK.index(",\ncand AS")].replace("WITH men", "WITH RECURSIVE men").replace("CAST(embedding AS", f"CAST({vector} AS")
+    head = head.replace("FROM embeddings)", f"FROM embeddings WHERE {only})", 1)
+    return f"{head},\n{_cand(bar, mutual)},\n{_GROW}{more} {body}"
+
+
 def _mentions(spark, sf):
     e = table(spark, sf, "embeddings")
     return e.select(
@@ -67,31 +92,63 @@ def l4_mutual_best(spark, sf):
     return ln.candidates(_pairs(spark, sf), Q90).select("video_id", "mention_i", "mention_j", "sim")
 
 
-@query()
+@query(linked('SELECT video_id, mention, "group" FROM grp'))
 def l5_greedy_groups(spark, sf):
     return ln.link(_mentions(spark, sf), Q90)
 
 
+def UNSURE(c):
+    return f"({c}.mention % 11 = 0)"
+
+
+ENT = """, grid AS (SELECT DISTINCT video_id, k AS chunk_id, k * 20.0::DOUBLE AS start_ts, k * 20.0::DOUBLE + 20 AS end_ts FROM grp, range(10) r(k)),
+sn AS (SELECT video_id, "group", mention // 5 % 10 AS chunk_id, 'm' || mention AS signature FROM grp),
+tm AS (SELECT video_id, "group", list_sort(list(chunk_id)) AS chunk_ids, count(*) AS appearances, min(start_ts) AS start_ts, max(end_ts) AS end_ts, round(sum(end_ts - start_ts), 3) AS observed_s
+  FROM (SELECT DISTINCT video_id, "group", chunk_id FROM sn) JOIN grid USING (video_id, chunk_id) GROUP BY ALL),
+nm AS (SELECT video_id, "group", arg_max(signature, (length(signature), -chunk_id)) AS label, count(*) AS mentions FROM sn GROUP BY ALL),
+ent0 AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY appearances DESC, start_ts, "group") AS place FROM nm JOIN tm USING (video_id, "group")),
+ent AS (SELECT *, printf('e%03d', place - 1) AS entity_id FROM ent0),
+nar AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY place) AS turn FROM ent WHERE appearances >= 2 QUALIFY turn <= 12)"""
+
+
 def _entities(spark, sf):
     grouped = l5_greedy_groups(spark, sf)
     chunk = (F.floor(F.col("mention") / 5) % 10).cast("long")
     seen = grouped.select("video_id", "group", chunk.alias("chunk_id"), F.concat(F.lit("m"), F.col("mention").cast("string")).alias("signature"))
+    return ln.entities(seen, _link_grid(seen))
+
+
+def _link_grid(seen):
+    """Ten chunks of 20 seconds of each video."""
     grid = seen.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("chunk_id"))
-    grid = grid.select("*", (F.col("chunk_id") * 20.0).alias("start_ts"), (F.col("chunk_id") * 20.0 + 20).alias("end_ts"))
-    return ln.entities(seen, grid)
+    return grid.select("*", (F.col("chunk_id") * 20.0).alias("start_ts"), (F.col("chunk_id") * 20.0 + 20).alias("end_ts"))
 
 
-@query()
+@query(linked('SELECT video_id, "group", label, mentions, chunk_ids, appearances, start_ts, end_ts, observed_s, place, entity_id FROM ent', more=ENT))
 def l6_linked_entities(spark, sf):
     return _entities(spark, sf)
 
 
-@query()
+@query(linked("""SELECT m.video_id, m.mentions, count(e.entity_id) AS count, count(e.entity_id) FILTER (appearances >= 2) AS linked,
+  (SELECT count(*) FROM nar n WHERE n.video_id = m.video_id) AS narrated, any_value(th.q90) AS threshold,
+  (SELECT count(*) FROM pr WHERE pr.video_id = m.video_id AND answer_i = answer_j) AS calibration_pairs, (SELECT count(*) FROM cand c WHERE c.video_id = m.video_id) AS candidate_pairs,
+  coalesce((SELECT list(a || ':' || b || ':' || n ORDER BY n DESC, a, b) FROM (SELECT * FROM tg WHERE tg.video_id = m.video_id ORDER BY n DESC, a, b LIMIT 50)), []) AS together
+  FROM (SELECT video_id, count(*) AS mentions FROM men GROUP BY 1) m JOIN ent e USING (video_id) LEFT JOIN th USING (video_id) GROUP BY m.video_id, m.mentions""", more=ENT + """,
+  os AS (SELECT video_id, entity_id, unnest(chunk_ids) AS chunk_id FROM ent WHERE appearances >= 2),
+  tg AS (SELECT x.video_id, x.entity_id AS a, y.entity_id AS b, count(*) AS n FROM os x JOIN os y ON x.video_id = y.video_id AND x.chunk_id = y.chunk_id AND x.entity_id < y.entity_id GROUP BY ALL)"""))
+def l6_link_answer(spark, sf):
+    """Counts, calibration, candidates and shared presence of a profile's answer."""
+    m = _mentions(spark, sf).withColumn("chunk_id", (F.floor(F.col("mention") / 5) % 10).cast("long"))
+    m = m.withColumn("signature", F.concat(F.lit("m"), F.col("mention").cast("string")))
+    return ln.link_answer(m, _link_grid(m), Q90)
+
+
+@query(linked("SELECT video_id, entity_id, label, appearances, start_ts, end_ts, observed_s FROM ent", more=ENT))
 def a9_entity_assembly(spark, sf):
     return _entities(spark, sf).select("video_id", "entity_id", "label", "appearances", "start_ts", "end_ts", "observed_s")
 
 
-@query()
+@query(linked("SELECT video_id, entity_id, turn FROM nar", more=ENT))
 def k6_narrated_entities(spark, sf):
     return ln.narrated(_entities(spark, sf), ln.LinkProfile()).select("video_id", "entity_id", "turn")
 
@@ -105,9 +162,23 @@ def l7_fixed_threshold_pairs(spark, sf):
     return ln.fixed_link(_mentions(spark, sf), same=0.6, link_at=0.4, generic=0.3)
 
 
-@query()
+def _score_sql(where: str = "true") -> str:
+    """Precision, recall and F1 of grp by video, over all pairs."""
+    return f"""SELECT video_id, coalesce(tp / nullif(tp + fp, 0), 1.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 1.0) AS recall, tp, fp, fn, unchecked,
+  coalesce(2 * coalesce(tp / nullif(tp + fp, 0), 1.0) * coalesce(tp / nullif(tp + fn, 0), 1.0) / nullif(coalesce(tp / nullif(tp + fp, 0), 1.0) + coalesce(tp / nullif(tp + fn, 0), 1.0), 0), 0.0) AS f1 FROM
+  (SELECT video_id, (count(*) FILTER (sure AND same AND linked))::DOUBLE AS tp, (count(*) FILTER (linked AND (sure AND NOT same OR known)))::DOUBLE AS fp,
+    (count(*) FILTER (sure AND same AND NOT linked))::DOUBLE AS fn, (count(*) FILTER (linked AND NOT sure AND NOT known))::DOUBLE AS unchecked FROM
+    (SELECT a.video_id, a."group" = b."group" AS linked, x.label = y.label AS same, NOT ({UNSURE('a')} OR {UNSURE('b')}) AS sure,
+      {UNSURE('a')} <> {UNSURE('b')} AND CASE WHEN {UNSURE('a')} THEN y.label = (x.label + 1) % 8 ELSE x.label = (y.label + 1) % 8 END AS known
+     FROM grp a JOIN grp b ON a.video_id = b.video_id AND a.mention < b.mention JOIN embeddings x ON x.vec_id = a.mention JOIN embeddings y ON y.vec_id = b.mention) GROUP BY video_id) WHERE {where}"""
+
+
+@query(linked(_score_sql()))
 def e5_pairwise_score(spark, sf):
-    return ln.pair_score(l5_greedy_groups(spark, sf), _truth(spark, sf))
+    """Every eleventh mention is unsure; of each of these the next subject is known to be someone else."""
+    truth, unsure = _truth(spark, sf), _truth(spark, sf).filter("mention % 11 = 0")
+    different = unsure.select("mention", ((F.col("subject") + 1) % 8).cast("int").alias("subject"))
+    return ln.pair_score(l5_greedy_groups(spark, sf), truth, unsure, different)
 
 
 @query(LINK + """ SELECT video_id, mention_i, mention_j, answer_i, answer_j, sim FROM cand""")
@@ -128,25 +199,41 @@ def e7_auc(spark, sf):
     return ln.auc(p.select("video_id", "sim", (F.col("s_i") == F.col("s_j")).alias("same")))
 
 
-@query()
+@query(linked("""SELECT k.video_id, k.subject, count(*) AS mentions, list_sort(list(DISTINCT k."group")) AS groups, any_value(w.strangers) AS strangers FROM k JOIN
+  (SELECT o.video_id, o.subject, sum(a.n - o.n)::BIGINT AS strangers FROM o JOIN (SELECT video_id, "group", count(*) AS n FROM k GROUP BY ALL) a USING (video_id, "group") GROUP BY ALL) w
+  ON w.video_id = k.video_id AND w.subject = k.subject GROUP BY k.video_id, k.subject""",
+  more=""", k AS (SELECT video_id, "group", label AS subject FROM grp JOIN embeddings ON vec_id = mention), o AS (SELECT video_id, "group", subject, count(*) AS n FROM k GROUP BY ALL)"""))
 def e11_wrong_links(spark, sf):
     return ln.wrong_links(l5_greedy_groups(spark, sf), _truth(spark, sf))
 
 
-@query()
+#: Two embedders: the vectors, and their first half.
+EMBEDDERS = {"whole": "embedding", "half": "embedding[1:32]"}
+_BAR = {"max": "sim > mx", "q95": "sim > q95", "q90": "sim > q90"}
+_PLAIN = _score_sql().replace(UNSURE("a"), "false").replace(UNSURE("b"), "false")
+
+
+def _configs_sql() -> str:
+    one = lambda e, r, u: linked(f"SELECT '{e}' AS embedder, '{r}' AS rule, {u} AS mutual, video_id, precision, f1 FROM ({_PLAIN})", _BAR[r], u, EMBEDDERS[e])
+    rows = " UNION ALL ".join(f"SELECT * FROM ({one(e, r, u)})" for e in EMBEDDERS for r in _BAR for u in (True, False))
+    return f"""WITH c AS ({rows}), t AS (SELECT * FROM c WHERE video_id = '0') SELECT embedder, t.rule, t.mutual, precision, f1, others, safe,
+  row_number() OVER (PARTITION BY embedder ORDER BY precision >= 0.9 DESC, f1 DESC, precision DESC, t.rule, t.mutual) AS place
+  FROM t LEFT JOIN (SELECT embedder, rule, mutual, round(avg(f1), 9) AS others FROM c WHERE video_id <> '0' GROUP BY ALL) USING (embedder, rule, mutual)
+  JOIN (SELECT rule, mutual, min(precision) >= 0.9 AS safe FROM t GROUP BY ALL) USING (rule, mutual)"""
+
+
+@query(_configs_sql())
 def e6_config_grid(spark, sf):
-    """The rules by mean F1 over the videos, best first, with whether every video keeps the precision."""
+    """The rules of each embedder, tuned on the first video."""
     from functools import reduce
 
-    from pyspark.sql import Window as W
-
     m, truth = _mentions(spark, sf), _truth(spark, sf)
-    configs = [ln.LinkProfile(rule=r, mutual=u) for r in ("max", "q95", "q90") for u in (True, False)]
-    rows = [ln.pair_score(ln.link(m, c), truth).select(F.lit(c.rule).alias("rule"), F.lit(c.mutual).alias("mutual"), "precision", "f1") for c in configs]
-    mean = reduce(lambda a, b: a.unionByName(b), rows).groupBy("rule", "mutual").agg(
-        F.round(F.avg("f1"), 9).alias("f1"), (F.min("precision") >= 0.9).alias("safe")
-    )
-    return mean.withColumn("place", F.row_number().over(W.orderBy(F.desc("safe"), F.desc("f1"), "rule", "mutual")))
+    vectors = {"whole": m, "half": m.withColumn("vector", F.slice("vector", 1, 32))}
+    rows = [
+        ln.pair_score(ln.link(v, ln.LinkProfile(rule=r, mutual=u)), truth).select(F.lit(e).alias("embedder"), F.lit(r).alias("rule"), F.lit(u).alias("mutual"), "video_id", "precision", "f1")
+        for e, v in vectors.items() for r in ("max", "q95", "q90") for u in (True, False)
+    ]
+    return ln.choose_config(reduce(lambda a, b: a.unionByName(b), rows), "0")
 
 
 TRACK = """tr AS (SELECT o_custkey AS track, o_orderkey AS member, o_orderkey AS pos, o_orderkey % 7 AS detection, abs(o_totalprice % 97 - (o_orderkey % 7) * 10) AS distance,
@@ -177,6 +264,7 @@ def e8_attribute_veto(spark, sf):
     return d.join(b, "answer").filter("doc_id < other and lang <> other_lang").select("doc_id", "other", "answer")
 
 
+BAGS, SCARS, SIDES = ["basket", "hat"], ["scar", "long scar", "tattoo", "none", "nothing"], ["arm", "neck"]
 COLORS = ["black", "dark_blue", "blue", "grey", "white", "unclear"]
 
 
@@ -187,7 +275,8 @@ def _people(spark, sf):
         F.struct(
             pick(2, ["male", "female"]).alias("gender"), pick(11, ["teen", "young_adult", "adult"]).alias("age_group"), pick(13, COLORS).alias("hair_color"),
             pick(17, ["short", "long", "bun", "ponytail"]).alias("hair_style"), pick(19, COLORS).alias("top_color"), pick(23, ["jacket", "coat", "shirt"]).alias("top_type"),
-            pick(29, COLORS).alias("bottom_color"), pick(31, ["jeans", "trousers"]).alias("bottom_type"), F.array("event_type").alias("accessories"),
+            pick(29, COLORS).alias("bottom_color"), pick(31, ["jeans", "trousers"]).alias("bottom_type"), F.array("event_type", pick(7, BAGS)).alias("accessories"),
+            F.concat(F.lit("a "), pick(5, SCARS), F.lit(" on the "), pick(3, SIDES)).alias("distinguishing"),
         ).alias("p"),
     )
 
@@ -209,12 +298,21 @@ _COST = " + ".join(
 )
 
 
-@query("WITH p AS (SELECT event_id AS id, event_id // 6 AS g, event_type, " + ", ".join(f"{v} AS {k}" for k, v in _PEOPLE.items())
-  + f" FROM events) SELECT a.id, b.id AS other, ({_COST})::DOUBLE - 2.0 * (a.event_type = b.event_type)::INT AS distance FROM p a JOIN p b ON a.g = b.g AND a.id < b.id")
+_MARKS = f"list_filter(list_distinct(regexp_extract_all('a ' || {_pick(5, SCARS)} || ' on the ' || {_pick(3, SIDES)}, '[a-z]+')), lambda w: w NOT IN ({', '.join(repr(w) for w in ln.PLAIN_WORDS)}))"
+
+
+@query("WITH p AS (SELECT event_id AS id, event_id // 6 AS g, [event_type, " + _pick(7, BAGS) + "] AS acc, " + _MARKS + " AS mk, " + ", ".join(f"{v} AS {k}" for k, v in _PEOPLE.items())
+  + f""" FROM events), d AS (SELECT a.id, b.id AS other, ({_COST})::DOUBLE AS c, list_intersect(a.acc, b.acc) AS sh, len(a.mk) > 0 AND len(b.mk) > 0 AND
+    len(list_intersect(a.mk, b.mk)) / greatest(len(list_distinct(a.mk || b.mk)), 1) >= 0.3 AS alike FROM p a JOIN p b ON a.g = b.g AND a.id < b.id)
+  SELECT id, other, c - 2.0::DOUBLE * len(sh) - CASE WHEN alike THEN 2.0::DOUBLE ELSE 0 END AS distance,
+    c - 2.0::DOUBLE * len(list_filter(sh, lambda x: x NOT IN ({', '.join(repr(w) for w in ln.CARRIED)}))) AS plain FROM d""")
 def x26_attribute_distance(spark, sf):
+    """With shared marks and all accessories, and without marks and what is carried."""
     a = _people(spark, sf)
     b = a.select(F.col("id").alias("other"), "g", F.col("p").alias("q"))
-    return a.join(b, "g").filter("id < other").select("id", "other", ln.attribute_distance(F.col("p"), F.col("q")).alias("distance"))
+    p, q = F.col("p"), F.col("q")
+    distance = ln.attribute_distance(p, q, marks=True).alias("distance")
+    return a.join(b, "g").filter("id < other").select("id", "other", distance, ln.attribute_distance(p, q, carried=False).alias("plain"))
 
 
 @query("SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12), 9)) AS unit FROM embeddings")
@@ -318,7 +416,7 @@ def a10_doubts(spark, sf):
     return ln.doubts(seen, flagged)
 
 
-@query()
+@query(linked('SELECT video_id, mention, "group" AS track FROM grp', "1 - sim < 0.7", False))
 def e10_track_merge(spark, sf):
     costs = _pairs(spark, sf).select("video_id", "mention_i", "mention_j", "answer_i", "answer_j", (1 - F.col("sim")).alias("cost"))
     return ln.merge_tracks(costs, 0.7)
@@ -329,7 +427,10 @@ def x16_clipped_similarity(spark, sf):
     return x11_cosine(spark, sf).select("vec_id", F.col("clipped").alias("similarity"))
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"SELECT * FROM ({linked(f"SELECT video_id, mention, \"group\", '{k}' AS profile FROM grp", bar, u)})"
+    for k, bar, u in (("strict", "sim > mx", True), ("loose", "sim > q90", False), ("fixed", "sim > 0.5", True))
+))
 def p2_link_profiles(spark, sf):
     """Link definitions as data: each profile links the same mentions."""
     m = _mentions(spark, sf)

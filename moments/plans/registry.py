@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 #: Ranks and counts, which are reported as 64-bit numbers by every query.
-COUNTED = set("rank dense_rank text_rank moment_rank place number n shared chars least most".split())
+COUNTED = set("rank dense_rank text_rank moment_rank place turn number n shared chars least most".split())
 QUERIES: dict = {}
 ORACLES: dict = {}
 
