@@ -37,7 +37,7 @@ mo0 AS (SELECT *, row_number() OVER (PARTITION BY q, video_id, chunk_id ORDER BY
 mo1 AS (SELECT q, video_id, chunk_id, round(sum(CASE place WHEN 1 THEN 1.0::DOUBLE / (rank + 10) WHEN 2 THEN 0.5::DOUBLE / (rank + 10) END), 12) AS moment_score, count(*) AS units,
   list(sampler_id ORDER BY rank) AS samplers, count(text_rank) AS lexical_hits FROM mo0 GROUP BY ALL),
 found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY moment_score DESC, video_id, chunk_id) AS moment_rank FROM mo1) WHERE moment_rank <= 5),
-relevant AS (SELECT item_id AS q, doc_id AS chunk_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
+relevant AS (SELECT item_id AS q, doc_id AS chunk_id FROM benchmark JOIN documents ON doc_id // 25 = item_id),
 grades AS (SELECT q, coalesce(1.0::DOUBLE / min(moment_rank) FILTER (hit), 0) AS mrr, coalesce((min(moment_rank) FILTER (hit) = 1)::INT::DOUBLE, 0) AS top1,
   coalesce(count(DISTINCT chunk_id) FILTER (hit) / any_value(n)::DOUBLE, 0) AS recall, coalesce(sum(lexical_hits), 0)::BIGINT AS lexical_hits
   FROM qs LEFT JOIN (SELECT f.*, r.chunk_id IS NOT NULL AS hit FROM found f LEFT JOIN relevant r ON f.q = r.q AND f.chunk_id = r.chunk_id) USING (q)
@@ -73,7 +73,9 @@ def _found(spark, sf):
 
 def _relevant(spark, sf):
     b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    return b.join(d, F.col("doc_id") % 40 == F.col("item_id") % 40).select(F.col("item_id").alias("q"), F.col("doc_id").alias("chunk_id"))
+    """Each item asks for 25 documents in a row; a document is relevant to one item at most."""
+    of = F.floor(F.col("doc_id") / 25).cast("long")
+    return b.join(d.select("doc_id", of.alias("of")), F.col("of") == F.col("item_id")).select(F.col("item_id").alias("q"), F.col("doc_id").alias("chunk_id"))
 
 
 @query(sql(" SELECT q, video_id, chunk_id, sampler_id, sim, dense_rank FROM dense", SEARCH))
@@ -119,17 +121,71 @@ def j7_hits_with_units(spark, sf):
 
 @query(sql(" SELECT q, video_id, chunk_id, moment_score, units, moment_rank FROM found", SEARCH))
 def r4_moments(spark, sf):
-    return _found(spark, sf).drop("samplers", "lexical_hits")
+    return _found(spark, sf).drop("samplers", "lexical_hits", "hits")
 
 
-@query(sql(" SELECT q, video_id, chunk_id, samplers, lexical_hits FROM found", SEARCH))
+_PAYLOAD = """, held AS (SELECT h.q, h.video_id, h.chunk_id, string_agg(h.sampler_id, ',' ORDER BY h.rank) AS samplers, string_agg(coalesce(h.dense_rank::VARCHAR, '-'), ',' ORDER BY h.rank) AS dense,
+  string_agg(coalesce(h.text_rank::VARCHAR, '-'), ',' ORDER BY h.rank) AS text, string_agg('is it ' || h.sampler_id, ',' ORDER BY h.rank) AS questions,
+  string_agg(md5(coalesce(u.content, '')), ',' ORDER BY h.rank) AS contents, string_agg(u.n_chars::VARCHAR, ',' ORDER BY h.rank) AS structured FROM hits h JOIN units u USING (video_id, chunk_id, sampler_id) GROUP BY ALL)"""
+
+
+def _asked(spark, sf):
+    """The units with a question and a structured answer."""
+    question = F.concat(F.lit("is it "), F.col("sampler_id"))
+    return units(spark, sf).select("*", question.alias("question"), F.struct(F.col("n_chars").alias("chars")).alias("structured"))
+
+
+@query(sql(_PAYLOAD + " SELECT held.* FROM held JOIN found USING (q, video_id, chunk_id)", SEARCH))
 def r5_moment_payload(spark, sf):
-    return _found(spark, sf).select("q", "video_id", "chunk_id", "samplers", "lexical_hits")
+    """What each unit of a moment gave: sampler, question, content, structured answer and its rank in both halves."""
+    found = se.moments(se.hits(_fused(spark, sf), LIMIT).join(_asked(spark, sf), se.KEY))
+    told = lambda f: F.array_join(F.transform("hits", f), ",")
+    rank = lambda c: told(lambda x: F.coalesce(x[c].cast("string"), F.lit("-")))
+    return found.select(
+        "q", "video_id", "chunk_id", told(lambda x: x["sampler_id"]).alias("samplers"), rank("dense_rank").alias("dense"), rank("text_rank").alias("text"),
+        told(lambda x: x["question"]).alias("questions"), told(lambda x: F.md5(F.coalesce(x["content"], F.lit("")))).alias("contents"),
+        told(lambda x: x["structured"]["chars"].cast("string")).alias("structured"),
+    )
 
 
 @query(sql(" SELECT * FROM found", SEARCH))
 def r6_hybrid_search(spark, sf):
-    return se.search(units(spark, sf), _vectors(spark, sf), _queries(spark, sf), LIMIT)
+    return se.search(units(spark, sf), _vectors(spark, sf), _queries(spark, sf), LIMIT).drop("hits")
+
+
+#: A grid of 20 seconds a unit, some videos, two languages, texts of more than 300 characters, and a window with neighbours.
+def _grid_of_units(spark, sf):
+    u = units(spark, sf)
+    return u.select("video_id", "chunk_id", (F.col("chunk_id") * 20.0).alias("start_ts"), (F.col("chunk_id") * 20.0 + 20).alias("end_ts")).distinct()
+
+
+def _within(spark, sf, **more):
+    named = table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("video_id"))
+    return se.Scope(videos=named, after=1000.0, before=9000.0, widen=2, equal={"sampler_id": ["en", "fr"]}, having=F.col("structured.chars") > 300, **more)
+
+
+SCOPED = """win AS (SELECT DISTINCT video_id, chunk_id FROM units WHERE chunk_id * 20 + 20 > 1000 AND chunk_id * 20 < 9000),
+near AS (SELECT DISTINCT u.video_id, u.chunk_id FROM units u JOIN win ON win.video_id = u.video_id AND abs(win.chunk_id - u.chunk_id) <= 2),
+cands AS (SELECT * FROM units JOIN near USING (video_id, chunk_id) WHERE video_id IN (SELECT 'src' || item_id FROM benchmark) AND sampler_id IN ('en', 'fr') AND n_chars > 300)"""
+SCOPED_SEARCH = SEARCH.replace("FROM units)", "FROM cands)").replace("FROM embeddings JOIN documents ON doc_id = vec_id)", "FROM embeddings JOIN cands ON chunk_id = vec_id)").replace(
+    "SELECT source AS video_id, doc_id AS chunk_id, lang AS sampler_id, CAST(embedding", "SELECT video_id, chunk_id, sampler_id, CAST(embedding"
+)
+
+
+@query(sql(" SELECT found.*, chunk_id * 20.0::DOUBLE AS start_ts, chunk_id * 20.0::DOUBLE + 20 AS end_ts FROM found", SCOPED, SCOPED_SEARCH))
+def r6_scoped_search(spark, sf):
+    """Every filter at once, before the rankings: videos, samplers, structured answers, a time window and its neighbours."""
+    grid = _grid_of_units(spark, sf)
+    return se.search(_asked(spark, sf), _vectors(spark, sf), _queries(spark, sf), LIMIT, within=_within(spark, sf), chunks=grid).drop("hits")
+
+
+@query(sql(""" SELECT q, unnest(['filters lower scores: a chunk has fewer units', 'scope is ' || (SELECT count(DISTINCT item_id) FROM benchmark) || ' videos: a chunk id counts inside its video only']) AS note FROM qs
+  UNION ALL SELECT q, 'no lexical match' FROM qs WHERE q NOT IN (SELECT q FROM found WHERE lexical_hits > 0)""", SCOPED, SCOPED_SEARCH))
+def r6_search_notes(spark, sf):
+    grid, within = _grid_of_units(spark, sf), _within(spark, sf)
+    asked, queries = _asked(spark, sf), _queries(spark, sf)
+    found = se.search(asked, _vectors(spark, sf), queries, LIMIT, within=within, chunks=grid)
+    return se.search_notes(asked, queries, found, within, grid)
 
 
 @query(sql(" SELECT q, video_id, chunk_id, moment_rank FROM found WHERE moment_rank <= 3", SEARCH))
@@ -155,14 +211,13 @@ def f4_video_scope(spark, sf):
   (SELECT q, label, round(list_dot_product(qs.v, s.v) / (sqrt(list_dot_product(qs.v, qs.v)) * sqrt(list_dot_product(s.v, s.v))), 9) AS sim FROM qs,
    (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS v FROM embeddings GROUP BY label) s) QUALIFY rank <= 5""", SEARCH))
 def k4_whole_video_ranking(spark, sf):
-    """The first vector of each label stands for a whole video's summary; the summaries are few and known."""
-    from pyspark.sql import Window as W
-
+    """The first vector of each label stands for a whole video's summary; ranked as any vectors are, by blocks of queries."""
     whole = table(spark, sf, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-    met = _queries(spark, sf).join(F.broadcast(whole), F.lit(True))
-    sim = F.round(vx.cosine(F.col("vector"), vx.doubles(F.col("v"))), 9)
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "video"))
-    return met.select("q", F.col("label").alias("video"), sim.alias("sim")).withColumn("rank", rank).filter("rank <= 5")
+    vectors = whole.select(
+        F.format_string("%010d", "label").alias("video_id"), F.col("label").cast("long").alias("chunk_id"), F.lit("").alias("sampler_id"), vx.doubles(F.col("v")).alias("vector")
+    )
+    found = se.dense_top(vectors, _queries(spark, sf), 5)
+    return found.select("q", F.col("chunk_id").cast("int").alias("video"), "sim", F.col("dense_rank").alias("rank"))
 
 
 @query(sql(" SELECT q, mrr, top1, recall, lexical_hits FROM grades", SEARCH))
@@ -179,10 +234,21 @@ def _vocabulary(spark, sf):
     return units(spark, sf).select(F.explode(tx.tokens(F.col("content"))).alias("token")).distinct()
 
 
-@query(sql(""" SELECT band, count(*) AS n, round(avg(mrr), 4) AS mrr, round(avg(top1), 4) AS top1, round(avg(recall), 4) AS recall,
-  count(*) FILTER (lexical_hits > 0) AS lexical_fired_on FROM grades JOIN bands USING (q) GROUP BY band""", SEARCH))
+@query(sql(""" , timed AS (SELECT q, length(text) / 1000.0::DOUBLE AS elapsed_s FROM qs)
+  SELECT band, count(*) AS n, round(avg(mrr), 4) AS mrr, round(avg(top1), 4) AS top1, round(avg(recall), 4) AS recall,
+  count(*) FILTER (lexical_hits > 0) AS lexical_fired_on, round(quantile_cont(elapsed_s, 0.5), 3) AS median_s FROM grades JOIN (SELECT q, unnest([band, 'all']) AS band FROM bands) USING (q) JOIN timed USING (q) GROUP BY band""", SEARCH))
 def e3_summary(spark, sf):
-    return se.summary(e1_reciprocal_rank(spark, sf), e2_overlap_bands(spark, sf))
+    """The time of a case is given; here a millisecond a character of its text stands for it."""
+    timed = _queries(spark, sf).select("q", (F.length("text") / 1000.0).alias("elapsed_s"))
+    return se.summary(e1_reciprocal_rank(spark, sf), e2_overlap_bands(spark, sf), timed)
+
+
+@query(sql(""" SELECT q, kind, overlap, band, kind = 'paraphrase' AND overlap > 0.67 OR kind = 'literal' AND overlap < 0.34 AS disagrees FROM
+  (SELECT *, CASE WHEN q % 3 = 0 THEN 'paraphrase' ELSE 'literal' END AS kind FROM bands)""", SEARCH))
+def e4_label_check(spark, sf):
+    bands = e2_overlap_bands(spark, sf)
+    kinds = bands.select("q", F.when(F.col("q") % 3 == 0, F.lit("paraphrase")).otherwise(F.lit("literal")).alias("kind"))
+    return se.label_check(bands, kinds)
 
 
 @query(sql(""" SELECT g.q, g.mrr AS mrr_fused, coalesce(1.0::DOUBLE / d.r, 0) AS mrr_dense, g.mrr - coalesce(1.0::DOUBLE / d.r, 0) AS gain FROM grades g LEFT JOIN
