@@ -145,6 +145,31 @@ def uncovered(cited: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+KINDS = ("fold", "spans", "items")
+
+
+def apply_definition(definition: dict, rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A custom aggregate as data: {"kind", "fields", "reduce"}.
+
+    fold: rows (video_id, pos, text, chunk_ids) folded by ``reduce``, a Column function. spans: rows (video_id, item, first_chunk,
+    last_chunk) and fields to the valid chunks between them with their times. items: rows (video_id, item, chunk_id) and fields,
+    each resolved to its chunk's time and numbered in time order; items of chunks that the grid lacks are dropped."""
+    kind, fields = definition.get("kind"), list(definition.get("fields", ()))
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {', '.join(KINDS)}")
+    if kind == "fold":
+        return fold(rows, definition["reduce"], definition.get("size", 25))
+    own = {"spans": {"first_chunk", "last_chunk"}, "items": {"chunk_id"}}[kind] & set(fields)
+    if own:
+        raise ValueError(f"fields that the kind itself writes: {', '.join(sorted(own))}")
+    if kind == "spans":
+        cited = rows.select("video_id", "item", F.col("first_chunk").alias("first"), F.col("last_chunk").alias("last"))
+        return cited_spans(cited, chunks).join(rows.select("video_id", "item", *fields), ["video_id", "item"])
+    place = F.row_number().over(W.partitionBy("video_id").orderBy("start_ts", "item"))
+    met = rows.select("video_id", "item", "chunk_id", *fields).join(chunks, ["video_id", "chunk_id"])
+    return met.select("video_id", "item", "chunk_id", *fields, "start_ts", "end_ts", place.alias("place"))
+
+
 def dwell(sightings: DataFrame) -> DataFrame:
     """First and last seen, span and observed seconds of each entity. sightings: (video_id, entity, start_ts, end_ts)."""
     return sightings.groupBy("video_id", "entity").agg(

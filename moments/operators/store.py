@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from moments.operators.folder import new_folder
+
+
+def fan_out(rows: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> DataFrame:
+    """Writes rows to every sink and returns the report (sink, written, error). The rows are computed once, into the shared
+    folder. The first sink must succeed and raises if it does not; the others are best-effort."""
+    spark, at = rows.sparkSession, new_folder(rows.sparkSession, "fan-out")
+    rows.write.parquet(at)
+    once = spark.read.schema(rows.schema).parquet(at)
+    report = []
+    for n, (name, write) in enumerate(sinks.items()):
+        try:
+            write(once)
+            report.append((name, True, None))
+        except Exception as problem:  # of a user's sink, whatever it is
+            if n == 0:
+                raise
+            report.append((name, False, str(problem)))
+    return spark.createDataFrame(report, "sink string, written boolean, error string")
+
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Last write wins on the key; of several rows of the source the last by ``order``."""

@@ -5,12 +5,18 @@ frames: (video_id, sampler_id, idx, media_ts, ...), in arrival order of idx.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from moments.operators.grid import nearest_join
+
 
 def bucket(ts: Column, rate: float) -> Column:
     return F.floor(ts * rate).cast("long")
@@ -101,6 +107,59 @@ def region_sampler(frames: DataFrame, threshold: float, similarity, by: tuple =
     return frames.select(*names, "idx", "regions").groupBy(*names).applyInPandas(walk, schema)
 
 
+@dataclass(frozen=True)
+class Sampler:
+    """A frame sampler as data. ``describe`` makes a Column of a frame that ``compare`` takes twice, for a similarity; ``propose``
+    is the rule that keeps frames:
+
+    "stride": every ``every``-th offered frame of a chunk; "interval": at least ``min_interval`` seconds after the last kept, at
+    most ``most`` a chunk; "change": the first of a chunk, and those whose similarity to the frame before is below
+    ``threshold``; "drift": the same against the last kept frame (vectors by cosine)."""
+
+    sampler_id: str
+    propose: str = "stride"
+    every: int = 1
+    min_interval: float = 0.0
+    most: int | None = None
+    threshold: float = 0.5
+    describe: Callable[[], Column] | None = None
+    compare: Callable[[Column, Column], Column] | None = None
+
+    def __post_init__(self):
+        if self.propose not in ("stride", "interval", "change", "drift"):
+            raise ValueError("propose must be stride, interval, change or drift")
+        if self.propose in ("change", "drift") and self.describe is None or self.propose == "change" and self.compare is None:
+            raise ValueError("change and drift need describe, change also compare")
+
+    def kept(self, offered: DataFrame) -> DataFrame:
+        """(video_id, chunk_id, idx, score) of the offered frames that stay; score is what ``compare`` gave, if anything."""
+        by, none = ["video_id", "chunk_id"], F.lit(None).cast("double").alias("score")
+        if self.propose == "stride":
+            return stride(offered, self.every, tuple(by), "idx").select(*by, "idx", none)
+        if self.propose == "interval":
+            return rate_limit(offered, self.min_interval, self.most, tuple(by)).select(*by, "idx", none)
+        told = offered.select(*by, "idx", self.describe().alias("vector"))
+        if self.propose == "drift":
+            return change_sampler(told, self.threshold, tuple(by)).select(*by, "idx", none)
+        before = F.lag("vector").over(W.partitionBy(*by).orderBy("idx"))
+        scored = told.withColumn("before", before).withColumn("score", F.round(self.compare(F.col("vector"), F.col("before")), 4))
+        return scored.filter("before is null or score < " + repr(self.threshold)).select(*by, "idx", "score")
+
+
+def ingest(frames: DataFrame, chunks: DataFrame, samplers: list[Sampler], rate: float, width: float) -> DataFrame:
+    """Frames decimated, placed in their nearest chunk and offered to every sampler, which starts anew in each chunk: a record
+    for each frame and sampler that keeps it (video_id, chunk_id, sampler_id, idx, media_ts, chunk_local_index, score)."""
+    names = [x.sampler_id for x in samplers]
+    if not names or len(set(names)) < len(names):
+        raise ValueError("name samplers, each by its own id")
+    placed = nearest_join(decimate(frames.drop("sampler_id"), rate), chunks, "media_ts", width)
+    local = (F.row_number().over(W.partitionBy("video_id", "chunk_id").orderBy("idx")) - 1).cast("long")
+    offered = placed.withColumn("chunk_local_index", local)
+    kept = reduce(DataFrame.unionByName, [x.kept(offered).withColumn("sampler_id", F.lit(x.sampler_id)) for x in samplers])
+    met = kept.join(offered.select("video_id", "chunk_id", "idx", "media_ts", "chunk_local_index"), ["video_id", "chunk_id", "idx"])
+    return met.select("video_id", "chunk_id", "sampler_id", "idx", F.round("media_ts", 3).alias("media_ts"), "chunk_local_index", "score")
+
+
 def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Matrix of intersection over union of boxes (x1, y1, x2, y2)."""
     w = np.maximum(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0)

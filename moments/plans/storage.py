@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from moments.functions import text as tx
 from moments.operators import grid as g
 from moments.operators import store as so
+from moments.operators.folder import new_folder
 from moments.plans.grid import PLACED, _grid
 from moments.plans.registry import query
 from moments.plans.views import DAY, GRID, frames, sql, table
-from moments.streaming.stream import shared_folder
 
 ORD = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
 
@@ -31,9 +31,7 @@ def s1_context_with_missing(spark, sf):
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders")
 def s2_partition_overwrite(spark, sf):
     """Atomic rewrite of one partition: dynamic overwrite leaves the others alone."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/moments-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     o.write.partitionBy("o_orderstatus").parquet(path)
     again = o.filter("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1)
@@ -41,20 +39,23 @@ def s2_partition_overwrite(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("SELECT 'parquet' AS sink, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM orders UNION ALL SELECT 'json', count(*), sum(o_orderkey)::BIGINT FROM orders")
+@query("""SELECT 'parquet' AS sink, true AS written, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM orders UNION ALL SELECT 'json', true, count(*), sum(o_orderkey)::BIGINT FROM orders
+  UNION ALL SELECT 'broken', false, 0, 0""")
 def s3_fan_out(spark, sf):
-    """One result to several sinks, computed once; the report counts what each holds."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/moments-{uuid.uuid4().hex}"
-    o = _orders(spark, sf)
-    out = None
-    for kind in ("parquet", "json"):
-        o.write.format(kind).save(f"{path}/{kind}")
-        back = spark.read.format(kind).schema(o.schema).load(f"{path}/{kind}")
-        one = back.agg(F.lit(kind).alias("sink"), F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One result to several sinks, computed once: the first must succeed, the others are best-effort; the report counts what
+    each holds."""
+    o, at = _orders(spark, sf), new_folder(spark, "sinks")
+
+    def broken(df):
+        raise OSError("no such store")
+
+    sinks = {k: (lambda df, k=k: df.write.format(k).save(f"{at}/{k}")) for k in ("parquet", "json")} | {"broken": broken}
+    report = so.fan_out(o, sinks)
+    held = [
+        spark.read.format(k).schema(o.schema).load(f"{at}/{k}").agg(F.lit(k).alias("sink"), F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"))
+        for k in ("parquet", "json")
+    ]
+    return report.select("sink", "written").join(held[0].unionByName(held[1]), "sink", "left").fillna(0, ["rows", "keys"])
 
 
 def _timelines(spark, sf):

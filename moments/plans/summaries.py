@@ -221,4 +221,21 @@ def p1_custom_fold(spark, sf):
     """A fold as data: the reducer is a Column function, here the longest turn."""
     c = table(spark, sf, "conversations")
     rows = c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("pos"), F.length("text").cast("string").alias("text"), F.array("turn").alias("chunk_ids"))
-    return st.fold(rows, lambda t: F.array_max(F.transform(t, lambda x: x.cast("long"))).cast("string")).select("video_id", "layer", "pos", "text")
+    longest = {"kind": "fold", "reduce": lambda t: F.array_max(F.transform(t, lambda x: x.cast("long"))).cast("string")}
+    return st.apply_definition(longest, rows, None).select("video_id", "layer", "pos", "text")
+
+
+@query(sql(""" SELECT video_id, item, list_sort(list(DISTINCT chunk_id)) AS chunk_ids, min(start_ts) AS start_ts, max(end_ts) AS end_ts, 'part ' || item AS title FROM cited
+  JOIN chunks USING (video_id) WHERE chunk_id BETWEEN "first" AND "last" GROUP BY video_id, item""", GRID, CITED))
+def p1_custom_spans(spark, sf):
+    """Spans as data: cited chunks with a field of the answer."""
+    rows = _cited(spark, sf).withColumnsRenamed({"first": "first_chunk", "last": "last_chunk"}).withColumn("title", F.concat(F.lit("part "), F.col("item").cast("string")))
+    return st.apply_definition({"kind": "spans", "fields": ["title"]}, rows, _grid(spark, sf))
+
+
+@query(sql(""" SELECT f.video_id, idx AS item, chunk_id, sampler_id AS what, start_ts, end_ts, row_number() OVER (PARTITION BY f.video_id ORDER BY start_ts, idx) AS place FROM frames f
+  JOIN chunks c ON c.video_id = f.video_id AND chunk_id = idx % 40""", GRID))
+def p1_custom_items(spark, sf):
+    """Items as data: each cites one chunk and carries a field."""
+    rows = frames(spark, sf).select("video_id", F.col("idx").alias("item"), (F.col("idx") % 40).alias("chunk_id"), F.col("sampler_id").alias("what"))
+    return st.apply_definition({"kind": "items", "fields": ["what"]}, rows, _grid(spark, sf))

@@ -46,7 +46,20 @@ def _placed(spark, sf):
     return g.point_join(frames(spark, sf), _grid(spark, sf), "media_ts", DAY)
 
 
-@query()
+def RATED(rows: str, apart: float, most: int, by: str) -> str:
+    """Frames of rows kept by a rate limit: each step of the recursion finds the next frame of every group."""
+    same = " AND ".join(f"p.{c} = r.{c}" for c in by.split(", "))
+    cols = ", ".join(f"p.{c}" for c in by.split(", "))
+    return f"""rl AS (SELECT * FROM (SELECT {by}, idx, media_ts, 1 AS n FROM {rows} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY media_ts, idx) = 1)
+  UNION ALL SELECT * FROM (SELECT {cols}, p.idx, p.media_ts, r.n + 1 AS n FROM rl r JOIN {rows} p ON {same} AND p.media_ts - r.media_ts >= {apart!r}::DOUBLE
+    WHERE r.n < {most} QUALIFY row_number() OVER (PARTITION BY {cols} ORDER BY p.media_ts, p.idx) = 1))"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(recursive(sql(" SELECT video_id, sampler_id, chunk_id, idx FROM rl", GRID, PLACED, RATED("placed", 7200.0, 5, "video_id, sampler_id, chunk_id"))))
 def t2_rate_limit(spark, sf):
     return th.rate_limit(_placed(spark, sf), 7200.0, 5)
 
@@ -63,7 +76,13 @@ def _vectors(spark, sf):
     )
 
 
-@query()
+_COSINE = "round(list_dot_product(p.v, r.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(r.v, r.v))), 9)"
+
+
+@query(f"""WITH RECURSIVE fr AS (SELECT CAST(vec_id // 50 AS VARCHAR) AS video_id, vec_id // 10 AS chunk_id, vec_id AS idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  kp AS (SELECT * FROM (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY idx) = 1) UNION ALL
+    SELECT * FROM (SELECT p.* FROM kp r JOIN fr p ON p.chunk_id = r.chunk_id AND p.idx > r.idx AND {_COSINE} < 0.2 QUALIFY row_number() OVER (PARTITION BY p.chunk_id ORDER BY p.idx) = 1))
+  SELECT video_id, chunk_id, idx FROM kp""")
 def t4_change_reference(spark, sf):
     return th.change_sampler(_vectors(spark, sf), 0.2)
 
@@ -74,7 +93,16 @@ def t5_change_consecutive(spark, sf):
     return th.consecutive_changes(_vectors(spark, sf), vx.cosine, 0.2)
 
 
-@query()
+_W = "greatest(least(a[3], b[3]) - greatest(a[1], b[1]), 0) * greatest(least(a[4], b[4]) - greatest(a[2], b[2]), 0)"
+_IOU = f"({_W}) / ((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - {_W})"
+
+
+@query(f"""WITH RECURSIVE fr AS (SELECT * FROM (SELECT l_orderkey % 500 AS video_id, l_orderkey AS idx,
+    list([l_quantity, l_discount * 100, l_quantity + 10, l_discount * 100 + 5]) FILTER (l_returnflag <> 'N') AS g FROM lineitem GROUP BY l_orderkey) WHERE len(g) > 0),
+  kp AS (SELECT * FROM (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY idx) = 1) UNION ALL
+    SELECT * FROM (SELECT p.* FROM kp r JOIN fr p ON p.video_id = r.video_id AND p.idx > r.idx
+      AND list_min(list_transform(p.g, lambda a: list_max(list_transform(r.g, lambda b: {_IOU})))) < 0.3 QUALIFY row_number() OVER (PARTITION BY p.video_id ORDER BY p.idx) = 1))
+  SELECT video_id, idx FROM kp""")
 def t6_region_change(spark, sf):
     li = table(spark, sf, "lineitem")
     box = F.array(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_quantity") + 10, F.col("l_discount") * 100 + 5)
@@ -84,19 +112,38 @@ def t6_region_change(spark, sf):
     return th.region_sampler(seen, 0.3, th.box_iou)
 
 
-@query()
+def _closeness(a, b):
+    return 1 / (1 + F.abs(a - b))
+
+
+SAMPLERS = [
+    th.Sampler("stride", every=2),
+    th.Sampler("interval", "interval", min_interval=3600.0, most=10),
+    th.Sampler("change", "change", threshold=0.05, describe=lambda: F.col("score"), compare=_closeness),
+]
+
+_INGEST = """dec7 AS (SELECT video_id, idx, media_ts, score FROM (SELECT *, max(b) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM
+  (SELECT *, floor(media_ts * %r::DOUBLE)::BIGINT AS b FROM frames)) WHERE top IS NULL OR b > top),
+off7 AS (SELECT d.*, c.chunk_id, row_number() OVER (PARTITION BY d.video_id, c.chunk_id ORDER BY idx) - 1 AS chunk_local_index FROM dec7 d JOIN
+  (SELECT *, max(chunk_id) OVER (PARTITION BY video_id) AS last FROM chunks) c ON c.video_id = d.video_id AND d.media_ts >= start_ts AND (d.media_ts < end_ts OR c.chunk_id = last))""" % RATE
+_CHANGE = "round(1 / (1 + abs(score - lag(score) OVER (PARTITION BY video_id, chunk_id ORDER BY idx))), 4)"
+
+
+@query(recursive(sql(f""", rec AS (SELECT video_id, chunk_id, 'stride' AS sampler_id, idx, NULL::DOUBLE AS score FROM off7 WHERE chunk_local_index % 2 = 0
+    UNION ALL SELECT video_id, chunk_id, 'interval', idx, NULL FROM rl
+    UNION ALL SELECT video_id, chunk_id, 'change', idx, s FROM (SELECT *, {_CHANGE} AS s FROM off7) WHERE s IS NULL OR s < 0.05)
+  SELECT rec.video_id, rec.chunk_id, sampler_id, rec.idx, round(media_ts, 3) AS media_ts, chunk_local_index, coalesce(rec.score, -1) AS score FROM rec JOIN off7 o USING (video_id, chunk_id, idx)""",
+  GRID, _INGEST, RATED("off7", 3600.0, 10, "video_id, chunk_id"))))
 def t7_ingest(spark, sf):
-    """Decimate, place by nearest chunk, offer to a stride and a rate limit; records by sampler."""
-    kept = th.decimate(frames(spark, sf), RATE)
-    placed = g.nearest_join(kept, _grid(spark, sf), "media_ts", DAY)
-    a = th.stride(placed, 2).select("video_id", "chunk_id", "idx", F.lit("stride").alias("by"))
-    b = th.rate_limit(placed, 3600.0, 10).select("video_id", "chunk_id", "idx", F.lit("rate").alias("by"))
-    return a.unionByName(b)
+    """Decimated frames offered to a stride, a rate limit and a change sampler; records with place and score."""
+    out = th.ingest(frames(spark, sf), _grid(spark, sf), SAMPLERS, RATE, DAY)
+    return out.withColumn("score", F.coalesce("score", F.lit(-1.0)))
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def t8_tumbling_stream(spark, sf):
-    return st.run(st.tumbling(st.file_stream(spark, sf, "events"), "1 day"), "complete")
+    """The files arrive in no order of time, so events may be late by the length of the table."""
+    return st.run(st.tumbling(st.file_stream(spark, sf, "events", 3), "1 day", late="400 days"), "update", ["start_us", "event_type"])
 
 
 @query("""SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM
@@ -107,15 +154,21 @@ def t9_silence_sessions_stream(spark, sf):
 
 @query("SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id")
 def t10_incremental_upsert_stream(spark, sf):
-    """Only the keys of a micro-batch are recomputed and upserted."""
-    return st.run(st.file_stream(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")), "complete")
+    """Only the keys of a micro-batch are recomputed, and only their rows of the table are written."""
+    events = st.file_stream(spark, sf, "events", 4)
+    counted = lambda df: df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
+    merged = lambda df: df.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last_event").alias("last_event"))
+    return st.maintain(events, ["user_id"], counted, merged)
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, vec_id // 50 AS vid, vec_id // 10 AS chunk_id, CAST(embedding AS DOUBLE[]) AS v, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS p FROM embeddings),
+  s AS (SELECT *, CASE WHEN p IS NOT NULL THEN round(list_sum(list_transform(v, lambda x, i: ((x > 0) = (p[i] > 0))::INT::DOUBLE)) / len(v), 4) END AS score FROM v)
+  SELECT CAST(vid AS VARCHAR) AS video_id, chunk_id, vec_id AS idx, coalesce(score, -1) AS score FROM s WHERE score IS NULL OR score < 0.5""")
 def p5_sampler_protocol(spark, sf):
-    """The similarity of a sampler is the user's: here the share of equal signs."""
+    """A sampler of the user's own: it describes a frame by the signs of its vector and compares by the share of equal ones."""
 
-    def signs(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: ((x > 0) == (y > 0)).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    def same(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
-    return th.consecutive_changes(_vectors(spark, sf), signs, 0.5)
+    own = th.Sampler("signs", "change", threshold=0.5, describe=lambda: F.transform("vector", lambda x: x > 0), compare=same)
+    return own.kept(_vectors(spark, sf)).withColumn("score", F.coalesce("score", F.lit(-1.0)))
