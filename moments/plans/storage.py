@@ -435,9 +435,22 @@ def x3_text_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.fingerprint(F.col("text")).alias("text_hash"), tx.fingerprint(F.col("lang"), 12).alias("version"))
 
 
-@query()
+#: One step takes or cuts one sentence: what is held (now) goes out when the next does not fit.
+_PIECES = r"""WITH RECURSIVE sn AS (SELECT doc_id, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i FROM
+  (SELECT doc_id, string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents)),
+st AS (SELECT doc_id, i, s, '' AS now, NULL::VARCHAR AS piece, 0 AS n FROM sn WHERE i = 1 UNION ALL
+  SELECT c.doc_id, CASE WHEN long THEN c.i ELSE c.i + 1 END, CASE WHEN c.s IS NULL THEN NULL WHEN long AND now <> '' THEN c.s WHEN long THEN trim(substr(c.s, cut + 1)) ELSE nx.s END,
+    CASE WHEN c.s IS NULL THEN NULL WHEN long THEN '' WHEN now = '' THEN c.s WHEN fits THEN now || ' ' || c.s ELSE c.s END,
+    CASE WHEN c.s IS NULL THEN now WHEN long AND now <> '' THEN now WHEN long THEN trim(left(c.s, cut)) WHEN now <> '' AND NOT fits THEN now END, n + 1
+  FROM (SELECT *, coalesce(length(s) > 400, false) AS long, CASE WHEN back IN (0, 400) THEN 400 ELSE 400 - back END AS cut, length(now) + 1 + length(s) <= 400 AS fits FROM
+    (SELECT *, instr(reverse(left(s, 400)), ' ') AS back FROM st WHERE now IS NOT NULL)) c LEFT JOIN sn nx ON nx.doc_id = c.doc_id AND nx.i = c.i + 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, piece FROM st WHERE piece <> ''"""
+
+
+@query(_PIECES)
 def x4_pieces(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(tx.pieces(F.col("text"), 400)).alias("pos", "piece"))
+    cut = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.pieces(F.col("text"), 400)).alias("pos", "piece"))
+    return cut.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(sql(" SELECT video_id, chunk_id, '[' || chunk_id || '] ' || round(start_ts)::BIGINT || '-' || round(end_ts)::BIGINT || 's  grid: day' AS line FROM chunks", GRID))
