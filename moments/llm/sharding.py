@@ -136,6 +136,5 @@ def sharded_documents(docs: DataFrame, shards: int = 40, **options) -> DataFrame
     many = W.partitionBy(F.col("row.doc_id"), "row_hash").orderBy("row_hash")
     met = met.withColumn("nth", F.when(F.size("places") == 1, F.lit(1)).otherwise(F.row_number().over(many)))
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    return met.select(*[F.col(f"row.`{c}`") for c in keep], F.element_at("places", F.col("nth")).alias("at")).select(
-        *[F.col(f"`{c}`") for c in keep], "at.shard", "at.slot"
-    )
+    place = F.element_at("places", F.col("nth"))
+    return met.select(*[F.col(f"row.`{c}`") for c in keep], place["shard"].alias("shard"), place["slot"].alias("slot"))
