@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moments.llm.common import free_name
+
 _FORM = re.compile(r"[\W_]+")
 
 
@@ -93,6 +95,8 @@ class _Index:
     """The q-grams of a block of items: a bit table for the first look, then sorted hashes with (item, position)."""
 
     BITS = 22
+    #: Hits that are expanded by their items at a time.
+    PART = 1 << 21
 
     def __init__(self, items: list[tuple[int, str]], rules: LeakRules, q: int):
         self.q, self.items = q, items
@@ -120,13 +124,21 @@ class _Index:
         hits, lo, count = hits[count > 0], lo[count > 0], count[count > 0]
         if not len(hits):
             return
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        item, diagonal = self.which[rows], np.repeat(hits, count) - self.at[rows]
-        half = self.budget[item] + 1
         shift = 2 * self.longest  # keeps the numbers of bands positive
-        band = (diagonal + shift) // half
-        key = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1])  # the two bands over each diagonal
-        keys, n = np.unique(key, return_counts=True)
+        keys, n = np.zeros(0, "int64"), np.zeros(0, "int64")
+        done = 0
+        while done < len(hits):  # a q-gram of very many items is taken in bounded parts, and so are many such q-grams
+            upto = max(done + 1, int(np.searchsorted(np.cumsum(count[done:]), self.PART)) + done)
+            h, l, c = hits[done:upto], lo[done:upto], count[done:upto]
+            rows = np.repeat(l - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
+            item, diagonal = self.which[rows], np.repeat(h, c) - self.at[rows]
+            band = (diagonal + shift) // (self.budget[item] + 1)
+            both = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1])  # the two bands over each diagonal
+            k, m = np.unique(both, return_counts=True)
+            if len(keys):
+                k, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
+                m = np.bincount(inverse, weights=np.concatenate([n, m])).astype("int64")
+            keys, n, done = k, m, upto
         its = keys >> 40
         for k, i in zip(keys[n >= self.least[its]], its[n >= self.least[its]]):
             yield int(i), int((k & ((1 << 40) - 1)) * (self.budget[i] + 1) - shift)
@@ -306,5 +318,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRul
     """docs without the documents that hold a benchmark item. Rows without doc_id are told apart by their text."""
     row = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
     marked = docs.select(row.alias("doc_id"), "text")
-    found = leaks(marked, benchmark, rules).select(F.col("doc_id").alias("leak_row")).distinct()
-    return docs.join(found, row == F.col("leak_row"), "left_anti")
+    name = free_name(docs, "leak_row")
+    found = leaks(marked, benchmark, rules).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, row == F.col(name), "left_anti")
