@@ -88,7 +88,7 @@ w2 AS (SELECT lang, i, v / sum(v) OVER (PARTITION BY lang) AS r FROM w1),
 wd AS (SELECT doc_id, {distance} AS dist FROM (SELECT doc_id, w0.i, v::DOUBLE / sum(v) OVER (PARTITION BY doc_id) AS p, w2.r FROM w0 JOIN w2 ON w2.i = w0.i AND w2.lang = w0.lang
   WHERE n_words >= {r.word_min_words}) GROUP BY doc_id)
 SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n >= {r.char_min_chars} AND cd.dist > {r.char_distance}, false)
-  AND NOT coalesce(wd.dist > {r.word_distance}, false) AS kept FROM h LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)
+  AND NOT coalesce(wd.dist > {r.word_distance}::DOUBLE + {r.word_noise}::DOUBLE / sqrt(n_words), false) AS kept FROM h LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)
 """
 
 
