@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and rereads it, for what several later steps read."""
+    at = new_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def new_folder(spark: SparkSession, kind: str = "table") -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_folder(spark)}/moments-{kind}-{uuid.uuid4().hex}"

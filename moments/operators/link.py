@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moments.functions.vectors import dot, unit
+from moments.operators.folder import saved
 
 QUANTILE = {"q95": 0.95, "q90": 0.90}
 
@@ -127,10 +128,10 @@ def link_answer(mentions: DataFrame, chunks: DataFrame, profile: LinkProfile = L
     """The whole answer of a profile, one row a video: how many mentions, entities, linked and narrated ones, the threshold with
     the pairs that calibrated it, the candidate pairs, and the entities that share most chunks. mentions carry chunk_id and
     signature beside the columns of linking; a video of one mention has counts of one and no pair."""
-    paired = pairs(mentions)
-    linked = candidates(paired, profile)
+    paired = saved(pairs(mentions))
+    linked = saved(candidates(paired, profile))
     grouped = greedy_groups(mentions, linked)
-    found = entities(mentions.select("video_id", "mention", "chunk_id", "signature").join(grouped, ["video_id", "mention"]), chunks)
+    found = saved(entities(mentions.select("video_id", "mention", "chunk_id", "signature").join(grouped, ["video_id", "mention"]), chunks))
     often = found.filter(F.col("appearances") >= profile.min_appearances)
     seen = often.select("video_id", "entity_id", F.explode("chunk_ids").alias("chunk_id"))
     a, b = seen.withColumnRenamed("entity_id", "a"), seen.withColumnRenamed("entity_id", "b")
@@ -168,7 +169,7 @@ def doubts(observations: DataFrame, flagged: DataFrame) -> DataFrame:
 
 def fixed_link(mentions: DataFrame, same: float = 0.95, link_at: float = 0.88, generic: float = 0.80) -> DataFrame:
     """The older linker's pairs: near equal ones of an answer are one, mentions that resemble everything take no part."""
-    paired = pairs(mentions)
+    paired = saved(pairs(mentions))
     both = paired.select("video_id", F.col("mention_i").alias("m"), "sim").unionByName(paired.select("video_id", F.col("mention_j").alias("m"), "sim"))
     plain = both.groupBy("video_id", "m").agg(F.avg("sim").alias("mean")).filter(F.col("mean") >= generic)
     twin = cannot_link(paired).filter(F.col("sim") >= same).select("video_id", F.col("mention_j").alias("m")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from moments.functions import text as tx
 from moments.functions import vectors as vx
 from moments.operators import link as ln
+from moments.operators.folder import saved
 from moments.plans.registry import query
 from moments.plans.views import table
 
@@ -184,7 +185,7 @@ def e5_pairwise_score(spark, sf):
 @query(LINK + """ SELECT video_id, mention_i, mention_j, answer_i, answer_j, sim FROM cand""")
 def e12_rules_over_similarities(spark, sf):
     """The rules over a similarity table that is given, not computed from vectors here."""
-    return ln.candidates(_pairs(spark, sf).cache(), Q90)
+    return ln.candidates(saved(_pairs(spark, sf)), Q90)
 
 
 @query(LINK + """ SELECT video_id, CASE WHEN count(*) FILTER (li = lj) * count(*) FILTER (li <> lj) > 0 THEN sum(CASE WHEN li = lj THEN below + same / 2.0::DOUBLE END)
@@ -228,10 +229,10 @@ def e6_config_grid(spark, sf):
     from functools import reduce
 
     m, truth = _mentions(spark, sf), _truth(spark, sf)
-    vectors = {"whole": m, "half": m.withColumn("vector", F.slice("vector", 1, 32))}
+    paired = {"whole": saved(ln.pairs(m)), "half": saved(ln.pairs(m.withColumn("vector", F.slice("vector", 1, 32))))}
     rows = [
-        ln.pair_score(ln.link(v, ln.LinkProfile(rule=r, mutual=u)), truth).select(F.lit(e).alias("embedder"), F.lit(r).alias("rule"), F.lit(u).alias("mutual"), "video_id", "precision", "f1")
-        for e, v in vectors.items() for r in ("max", "q95", "q90") for u in (True, False)
+        ln.pair_score(ln.greedy_groups(m, ln.candidates(p, ln.LinkProfile(rule=r, mutual=u))), truth).select(F.lit(e).alias("embedder"), F.lit(r).alias("rule"), F.lit(u).alias("mutual"), "video_id", "precision", "f1")
+        for e, p in paired.items() for r in ("max", "q95", "q90") for u in (True, False)
     ]
     return ln.choose_config(reduce(lambda a, b: a.unionByName(b), rows), "0")
 
@@ -434,8 +435,8 @@ def x16_clipped_similarity(spark, sf):
 def p2_link_profiles(spark, sf):
     """Link definitions as data: each profile links the same mentions."""
     m = _mentions(spark, sf)
-    out = None
+    paired, out = saved(ln.pairs(m)), None
     for name, profile in {"strict": ln.LinkProfile(), "loose": ln.LinkProfile("q90", mutual=False), "fixed": ln.LinkProfile(threshold=0.5)}.items():
-        one = ln.link(m, profile).withColumn("profile", F.lit(name))
+        one = ln.greedy_groups(m, ln.candidates(paired, profile)).withColumn("profile", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
