@@ -230,11 +230,14 @@ def e6_config_grid(spark, sf):
 
     m, truth = _mentions(spark, sf), _truth(spark, sf)
     paired = {"whole": saved(ln.pairs(m)), "half": saved(ln.pairs(m.withColumn("vector", F.slice("vector", 1, 32))))}
-    rows = [
-        ln.pair_score(ln.greedy_groups(m, ln.candidates(p, ln.LinkProfile(rule=r, mutual=u))), truth).select(F.lit(e).alias("embedder"), F.lit(r).alias("rule"), F.lit(u).alias("mutual"), "video_id", "precision", "f1")
+    grouped = [
+        ln.greedy_groups(m, ln.candidates(p, ln.LinkProfile(rule=r, mutual=u))).withColumn("video_id", F.concat_ws("|", F.lit(e), F.lit(r), F.lit(str(u).lower()), "video_id"))
         for e, p in paired.items() for r in ("max", "q95", "q90") for u in (True, False)
     ]
-    return ln.choose_config(reduce(lambda a, b: a.unionByName(b), rows), "0")
+    scores = ln.pair_score(saved(reduce(lambda a, b: a.unionByName(b), grouped)), truth)  # all configurations at once
+    part = lambda i: F.split("video_id", r"\|")[i]
+    told = scores.select(part(0).alias("embedder"), part(1).alias("rule"), part(2).cast("boolean").alias("mutual"), part(3).alias("video_id"), "precision", "f1")
+    return ln.choose_config(saved(told), "0")
 
 
 TRACK = """tr AS (SELECT o_custkey AS track, o_orderkey AS member, o_orderkey AS pos, o_orderkey % 7 AS detection, abs(o_totalprice % 97 - (o_orderkey % 7) * 10) AS distance,
