@@ -7,8 +7,9 @@ expected 1 / similarity of them, and nodes that share the value of a sampled coo
 ``small`` nodes is compared by brute force; a larger one is split again, up to ``depth`` times, and what then stays together
 is taken as one candidate group. In a large bucket the nodes that look like its least node join it in a group at once. The
 runs repeat this with other samples: one run meets a pair at the similarity in a bucket of the first level with a chance of
-0.8 or more, so ten runs miss it with one below 1e-6; pairs in crowded buckets that do not look like the least node survive a
-run's further splits with a chance of about 0.45, and ten runs miss them with one below 0.003.
+0.8 or more, so ten runs miss it with one below 1e-6. Pairs at the similarity in buckets that stay crowded through all splits,
+and that do not look like the least node, survive a run with a chance of about 0.3 and ten runs with 0.97; more similar pairs
+do so more often. So the target recall of 0.95 for such pairs fixes the number of runs; every run draws another root.
 
 Candidates only form groups. Inside each group all pairs of sets are then compared exactly, in square blocks of ``block``
 nodes spread over tasks, so large groups of near copies need neither a row for each pair nor one task for all; each block
