@@ -13,7 +13,9 @@ do so more often. So the target recall of 0.95 for such pairs fixes the number o
 
 Candidates only form groups. Inside each group all pairs of sets are then compared exactly, in square blocks of ``block``
 nodes spread over tasks, so large groups of near copies need neither a row for each pair nor one task for all; each block
-returns the number of links of each node and a spanning forest. Classes are the components of the exact links.
+returns the number of links of each node and a spanning forest. In groups of many blocks a task takes a square tile of up to
+``tile`` x ``tile`` blocks (fewer where sets are long, so that its sets stay below ``tile_shingles``), so a set is sent once
+for each tile and not for each block. Classes are the components of the exact links.
 
 Defined results: texts without words are linked to nothing, but equal sets (so also empty texts) share a class; a null
 doc_id is carried through; class_id is the least doc_id of the class; repeated rows share class and links; an empty table
@@ -46,6 +48,8 @@ class NearRules:
     depth: int = 5
     small: int = 128
     block: int = 512
+    tile: int = 32
+    tile_shingles: int = 1 << 24
     #: Estimates of similarity from the coordinates that still count as candidates: six standard deviations below, so a pair at
     #: the similarity fails it with a chance of about 1e-8.
     slack: float = 0.3
@@ -280,7 +284,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _exact_blocks(members: DataFrame, rules: NearRules) -> DataFrame:
-    """members: (label, bi, bj, side, node, weight, set). (node, links, root, label) for each block."""
+    """members: (label, ti, tj, side, block, node, weight, set). (node, links, root, label) for each pair of blocks of a tile."""
     need = rules.similarity
 
     def links(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
@@ -307,30 +311,24 @@ def _exact_blocks(members: DataFrame, rules: NearRules) -> DataFrame:
         return (shared >= need * union - 1e-6) & (shared > 0)
 
     def scan(batches):
-        for table in _whole_groups(batches, ["label", "bi", "bj"]):
-            label, bi, bj = (table.column(k).to_numpy() for k in ("label", "bi", "bj"))
-            node, weight, side = (table.column(k).to_numpy() for k in ("node", "weight", "side"))
+        for table in _whole_groups(batches, ["label", "ti", "tj"]):
+            label, ti, tj = (table.column(k).to_numpy() for k in ("label", "ti", "tj"))
+            node, weight, side, block = (table.column(k).to_numpy() for k in ("node", "weight", "side", "block"))
             sets = [np.frombuffer(s, "uint64") for s in table.column("set").to_pylist()]
-            bounds = np.unique(np.concatenate([_runs(k) for k in (label, bi, bj)]))
+            bounds = np.unique(np.concatenate([_runs(k) for k in (label, ti, tj)]))
             out = [[], [], [], []]
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                left, right = (
-                    np.flatnonzero(side[lo:hi] == k)[np.unique(node[lo:hi][side[lo:hi] == k], return_index=True)[1]] + lo
-                    for k in (0, 1)
-                )  # repeated rows once
-                if bi[lo] == bj[lo]:
+            for left, right in (x for lo, hi in zip(bounds[:-1], bounds[1:]) for x in block_pairs(lo, hi, ti[lo] == tj[lo], side, block, node)):
+                if right is None:
                     ok = links([sets[i] for i in left], None)
                     np.fill_diagonal(ok, False)
                     a, b = np.nonzero(np.triu(ok))
                     ids, count = left, ok @ weight[left]
-                elif len(left) and len(right):
+                else:
                     ok = links([sets[i] for i in left], [sets[i] for i in right])
                     a, b = np.nonzero(ok)
                     b = b + len(left)
                     ids = np.concatenate([left, right])
                     count = np.concatenate([ok @ weight[right], ok.T @ weight[left]])
-                else:
-                    continue
                 order = np.argsort(node[ids], kind="stable")  # roots are the least nodes
                 place = np.empty(len(ids), "int64")
                 place[order] = np.arange(len(ids))
@@ -342,35 +340,49 @@ def _exact_blocks(members: DataFrame, rules: NearRules) -> DataFrame:
                 names=["node", "links", "root", "label"],
             )
 
-    keys = ["label", "bi", "bj"]
+    def block_pairs(lo, hi, same, side, block, node):
+        """The places of the two sides of each pair of blocks of a tile; None for the second side where they are one block."""
+        rows = [{}, {}]
+        for k in (0, 1):
+            mine = np.flatnonzero(side[lo:hi] == k) + lo
+            for b in np.unique(block[mine]):
+                here = mine[block[mine] == b]
+                rows[k][b] = here[np.unique(node[here], return_index=True)[1]]  # repeated rows once
+        if same:
+            for b, left in rows[0].items():
+                yield left, None
+                yield from ((left, right) for c, right in rows[0].items() if c > b)
+        else:
+            yield from ((left, right) for left in rows[0].values() for right in rows[1].values())
+
+    keys = ["label", "ti", "tj"]
     return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(scan, "node long, links long, root long, label long")
 
 
 def _members(docs: DataFrame, groups: DataFrame, rules: NearRules) -> DataFrame:
-    """The shingle sets of the grouped nodes, one copy for each block that needs them."""
+    """The shingle sets of the grouped nodes, one copy for each tile that needs them."""
 
     def scan(batches):
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(raw(batch.column("text")), rules.shingle)]
-            cols = [batch.column(k) for k in ("label", "node", "weight", "block", "blocks")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["label", "node", "weight", "block", "blocks", "set"])
+            cols = [batch.column(k) for k in ("label", "node", "weight", "block", "blocks", "tile")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["label", "node", "weight", "block", "blocks", "tile", "set"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_text"), "text")
     # both sides grow with the corpus: one shuffle of the texts, at every size
     joined = (
         text.join(groups.hint("merge"), text["rep"].eqNullSafe(groups["rep_id"]) & (text["rep_text"] == groups["rep_hash"]))
-        .select("label", "node", "weight", "block", "blocks", "text")
+        .select("label", "node", "weight", "block", "blocks", "tile", "text")
     )
-    sets = joined.mapInArrow(scan, "label long, node long, weight long, block int, blocks int, set binary")
+    sets = joined.mapInArrow(scan, "label long, node long, weight long, block int, blocks int, tile int, set binary")
+    own = F.floor(F.col("block") / F.col("tile")).cast("int")
     pairs = F.explode(
         F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda j: F.struct(
-                F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj"), (F.col("block") > j).cast("int").alias("side")
-            ),
+            F.sequence(F.lit(0), F.ceil(F.col("blocks") / F.col("tile")).cast("int") - 1),
+            lambda j: F.struct(F.least(own, j).alias("ti"), F.greatest(own, j).alias("tj"), (own > j).cast("int").alias("side")),
         )
     )
-    return sets.withColumn("p", pairs).select("label", "p.bi", "p.bj", "p.side", "node", "weight", "set")
+    return sets.withColumn("p", pairs).select("label", "p.ti", "p.tj", "p.side", "block", "node", "weight", "set")
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
@@ -408,13 +420,17 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     )
     edges = candidate_edges(first, rules)
     groups = save(components(edges))
-    sizes = save(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    grouped = groups.join(nodes.select("node", "size"), "node")
+    sizes = save(grouped.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("longest")))
     blocks = F.ceil(F.col("n") / rules.block).cast("int")
+    # at least 16 tiles a side before tiles grow, and a bounded number of shingles in a tile
+    room = F.floor(F.lit(rules.tile_shingles) / (F.col("longest") * rules.block))
+    tile = F.greatest(F.lit(1), F.least(F.lit(rules.tile), F.ceil(blocks / 16), room)).cast("int")
     placed = save(
         groups.join(sizes, "label")
         .join(nodes, "node")
         .select(
-            "label", "node", "weight", "rep_id", "rep_hash", blocks.alias("blocks"),
+            "label", "node", "weight", "rep_id", "rep_hash", blocks.alias("blocks"), tile.alias("tile"),
             F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"),
         )
     )

@@ -65,10 +65,10 @@ def brute_near(rows):
     return out, len(groups)
 
 
-@pytest.mark.parametrize("block,small", [(512, 128), (16, 8)])
-def test_near_duplicates(spark, copies, block, small):
+@pytest.mark.parametrize("block,small,tile", [(512, 128, 32), (16, 8, 32), (1, 8, 4)])
+def test_near_duplicates(spark, copies, block, small, tile):
     df = spark.createDataFrame(copies, "doc_id long, text string")
-    rules = near.NearRules(block=block, small=small)
+    rules = near.NearRules(block=block, small=small, tile=tile)
     expected, n = brute_near(copies)
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in near.near_duplicates(df, rules).collect())
     assert got == expected
