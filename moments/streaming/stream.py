@@ -48,6 +48,11 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], num
         return
     try:
         old = spark.read.parquet(path).filter(F.col("part").isin(parts))
+    except AnalysisException:  # no table yet: the first micro-batch
+        old = None
+    if old is None:
+        both = fresh
+    else:
         taken = [r.part for r in old.groupBy("part").agg(F.max("batch").alias("b")).filter(F.col("b") >= number).collect()]
         old, fresh = (df.filter(~F.col("part").isin(taken)) if taken else df for df in (old, fresh))
         if merged is None:
@@ -55,8 +60,6 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], num
         else:
             both = merged(old.select(*names).unionByName(fresh.select(*names))).select(*names)
             both = both.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
-    except AnalysisException:  # the first micro-batch
-        both = fresh
     made = new_folder(spark, "staged")
     both.withColumn("batch", F.lit(number).cast("long")).write.parquet(made)
     out = spark.read.parquet(made).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
