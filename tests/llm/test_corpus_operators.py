@@ -97,6 +97,14 @@ def test_recall_of_links_of_every_fiftieth_document(spark):
     assert sum(min(got[d], expected[d]) for d in expected) >= 0.99 * sum(expected.values()) and all(got[d] <= expected[d] for d in expected)
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rnd = random.Random(31)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(base)), (2, noisy(rnd, base, 500)), (3, noisy(rnd, base, 60_000)), (4, " ".join(base[::-1])), (5, "short text")]
+    got = {(r.doc_id, r.class_id, r.n_links) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0)}
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near.near_duplicates(df).count() == 0
