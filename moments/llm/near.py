@@ -5,7 +5,8 @@ node carries the least hashed shingle under each of ``coordinates`` hash functio
 chance equal to their Jaccard similarity. From its root, each run splits the nodes: a path samples coordinates with an
 expected 1 / similarity of them, and nodes that share the value of a sampled coordinate go on together. A bucket of at most
 ``small`` nodes is compared by brute force; a larger one is split again, up to ``depth`` times, and what then stays together
-is taken as one candidate group. In a large bucket the nodes that look like its least node join it in a group at once. The
+is taken as one candidate group. In a large bucket the nodes that look like its least node join it in a group at once, and a
+bucket in which all do is split no further. The
 runs repeat this with other samples: one run meets a pair at the similarity in a bucket of the first level with a chance of
 0.8 or more, so ten runs miss it with one below 1e-6. Pairs at the similarity in buckets that stay crowded through all splits,
 and that do not look like the least node, survive a run with a chance of about 0.3 and ten runs with 0.97; more similar pairs
@@ -221,20 +222,19 @@ def _compare_small(rows: DataFrame, rules: NearRules) -> DataFrame:
 
 
 def _near_pivot(large: DataFrame, rules: NearRules) -> DataFrame:
-    """Edges of the nodes of a large bucket that look like its least node: a large group of near copies is found at once, and
-    not only by what is left of it after more splits."""
-    least = rules.similarity - rules.slack
-    t = rules.coordinates
-    pivots = save(large.filter("node = least").select("path", F.col("signature").alias("pivot")))
+    """(path, node, least, near) of large buckets: whether a node looks like the least one. A large group of near copies is found
+    at once, and not only by what is left of it after more splits."""
+    bar, t = (rules.similarity - rules.slack) * rules.coordinates, rules.coordinates
+    pivots = save(large.filter("node = least").select("path", F.col("signature").alias("pivot")).dropDuplicates(["path"]))
 
     def scan(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "uint16").reshape(-1, t) for k in ("signature", "pivot"))
-            ok = pa.array((a == b).sum(axis=1) >= least * t)
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(ok), batch.column("least").filter(ok)], names=["src", "dst"])
+            near = pa.array((a == b).sum(axis=1) >= bar)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("path", "node", "least")), near], names=["path", "node", "least", "near"])
 
-    met = large.filter("node <> least").join(pivots, "path").select("node", "least", "signature", "pivot")
-    return met.mapInArrow(scan, "src long, dst long")
+    met = large.join(pivots, "path").select("path", "node", "least", "signature", "pivot")
+    return met.mapInArrow(scan, "path long, node long, least long, near boolean")
 
 
 def candidate_edges(reps: DataFrame, rules: NearRules) -> DataFrame:
@@ -252,7 +252,12 @@ def candidate_edges(reps: DataFrame, rules: NearRules) -> DataFrame:
         large = save(met.filter(F.col("n") > rules.small))
         if large.isEmpty():
             break
-        out = out.unionByName(_near_pivot(large, rules))
+        marked = save(_near_pivot(large, rules))
+        out = out.unionByName(marked.filter("near and node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")))
+        # a bucket whose nodes all look like its least one is one group already: splits would find no other pair of it
+        large = save(large.join(marked.filter("not near").select("path").distinct(), "path", "left_semi"))
+        if large.isEmpty():
+            break
         if level == rules.depth:
             star = large.select(F.col("node").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
             return save(out.unionByName(star).distinct())
