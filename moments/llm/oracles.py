@@ -93,3 +93,39 @@ SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 
 
 ORACLES["op5_quality_divergence"] = _quality()
+
+
+def crc32(text: str) -> str:
+    """The unsigned checksum of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf("text")} AS leaf,
+  {_leaf("(CASE WHEN " + crc32("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS seen FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT source, 0 AS level, i, n, leaf AS h FROM r
+  UNION ALL SELECT source, level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, level, i // 3),
+sub AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, n, subroot AS h FROM sub
+  UNION ALL SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 3),
+tl AS (SELECT source, level, i // 3 AS run, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY ALL),
+ul AS (SELECT level, i // 3 AS run, list(h ORDER BY i) AS hs FROM u WHERE n > 1 GROUP BY ALL),
+top AS (SELECT h AS root FROM u WHERE n = 1),
+p AS (SELECT doc_id, source, leaf, i AS k, 0 AS level, i AS pos, seen AS cur, '' AS proof FROM r
+  UNION ALL SELECT doc_id, p.source, leaf, k, p.level + 1, pos // 3, sha256(list_aggregate(hs[:pos % 3] || [cur] || hs[pos % 3 + 2:], 'string_agg', '')),
+    proof || coalesce(list_aggregate(hs[:pos % 3] || hs[pos % 3 + 2:], 'string_agg', ''), '') FROM p JOIN tl ON tl.source IS NOT DISTINCT FROM p.source AND tl.level = p.level AND run = pos // 3),
+f AS (SELECT p.*, subroot, sub.i AS place FROM p JOIN sub ON sub.source IS NOT DISTINCT FROM p.source QUALIFY row_number() OVER (PARTITION BY p.source, k ORDER BY level DESC) = 1),
+q AS (SELECT doc_id, source, k, leaf, subroot, 0 AS level, place AS pos, cur, proof FROM f
+  UNION ALL SELECT doc_id, source, k, leaf, subroot, q.level + 1, pos // 3, sha256(list_aggregate(hs[:pos % 3] || [cur] || hs[pos % 3 + 2:], 'string_agg', '')),
+    proof || coalesce(list_aggregate(hs[:pos % 3] || hs[pos % 3 + 2:], 'string_agg', ''), '') FROM q JOIN ul ON ul.level = q.level AND run = pos // 3)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM q, top
+QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY level DESC) = 1
+"""

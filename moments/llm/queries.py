@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm import decontam, line_runs, maxent, mixing, near, pii, quality, secrets, sharding, wrapper
+from moments.llm import decontam, line_runs, maxent, merkle, mixing, near, pii, quality, secrets, sharding, wrapper
 from moments.llm.common import save, table
 from moments.llm.oracles import ORACLES  # noqa: F401
 
@@ -78,3 +78,8 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
