@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm import decontam, line_runs, maxent, merkle, mixing, near, pii, quality, secrets, sharding, turns, wrapper
+from moments.llm import decontam, line_runs, maxent, merkle, mixing, near, pii, quality, repeats, secrets, sharding, turns, wrapper
 from moments.llm.common import save, table
 from moments.llm.oracles import ORACLES  # noqa: F401
 
@@ -88,3 +88,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repaired(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_column_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
