@@ -40,8 +40,10 @@ LENGTH = 400
 GRAM = 128
 #: Strings of a block of bytes that are hashed at once: bounds the memory, whatever the length of a text.
 BLOCK = 1 << 19
-CHUNK = 32_768
-WIDE = 16_384
+CHUNK = 8_192
+WIDE = 4_096
+#: Segments or rows that a Python worker makes at once.
+FEW = 1_000
 ANCHORS = "array<struct<h:long,s:long,x:int,lo:int,hi:int>>"
 _U = np.uint64
 
@@ -197,8 +199,10 @@ def column_runs(parts: list[tuple[bytes, int]], length: int = LENGTH) -> list[tu
         if far.any():
             hits[col, order[far]] = True
             hits[col, order[:-1][far[1:]]] = True
+    del columns
     flat = hits.T.ravel()  # the last column is never hit: runs of two parts do not meet
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flat]).astype("int8")))
+    edge = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if flat[0] else edge
     part, col = np.divmod(edge, left + right + 1)
     return [(int(i), int(a - begins[i]), int(b - begins[i] - 1)) for i, a, b in zip(part[::2], col[::2], col[1::2])]
 
@@ -219,21 +223,25 @@ def range_least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
 def _cut(wide: bool, length: int):
     """Rows (h, row, lo, anchor, bytes) of the segments that need their bytes."""
 
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+            names=["h", "row", "lo", "anchor", "body"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
         for batch in batches:
-            out = []
-            for row, text, need in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("need").to_pylist()):
-                body = None
-                for s in need:
-                    if s["wide"] == wide:
-                        body = text.as_py() if body is None else body
-                        out.append((s["h"], row, s["lo"], s["x"] - s["lo"], body[s["lo"] : s["hi"] + length]))
-            for k in range(0, len(out), 5000):
-                columns = list(zip(*out[k : k + 5000]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                    names=["h", "row", "lo", "anchor", "body"],
-                )
+            for row, text, need in zip(batch.column("row"), batch.column("text"), batch.column("need")):
+                wanted = [s for s in need.as_py() if s["wide"] == wide]
+                body = text.as_py() if wanted else b""
+                for s in wanted:
+                    out.append((s["h"], row.as_py(), s["lo"], s["x"] - s["lo"], body[s["lo"] : s["hi"] + length]))
+                    if len(out) >= FEW:
+                        yield told(out)
+                        out = []
+        yield told(out)
 
     return run
 
@@ -281,7 +289,7 @@ def _single_strings(length: int):
 
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, FEW) for b in batches for k in range(0, b.num_rows, FEW)):
             out = []
             for row, text, spans, more in zip(*[batch.column(c).to_pylist() for c in ("row", "text", "whole", "found")]):
                 runs, kept, end = [], hashlib.sha256(), 0
