@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from moments.functions import vectors as vx
 from moments.operators import grid as g
+from moments.operators import sampling as sp
 from moments.operators import thin as th
 from moments.plans.grid import PLACED, _grid
-from moments.plans.registry import query
+from moments.plans.registry import ORACLES, query
 from moments.plans.views import DAY, GRID, START, frames, sql, table
+from moments.streaming import sampling as ss
 from moments.streaming import stream as st
 
 RATE = 1 / 3600.0
@@ -140,16 +142,23 @@ def t7_ingest(spark, sf):
     return out.withColumn("score", F.coalesce("score", F.lit(-1.0)))
 
 
+def _events(spark, sf, *columns):
+    """Events in three files and a closing one, every other event up to a day late; no row of the closing time is a result."""
+    rows = table(spark, sf, "events").select(F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias("us"), *columns)
+    return ss.arrivals(rows, "us", 3, DAY * 1e6, {}).withColumn("ts", F.timestamp_micros("us"))
+
+
 @query("""SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def t8_tumbling_stream(spark, sf):
-    """The files arrive in no order of time, so events may be late by the length of the table."""
-    return st.run(st.tumbling(st.file_stream(spark, sf, "events", 3), "1 day", late="400 days"), "update", ["start_us", "event_type"])
+    """Windows leave the state once the watermark has passed them."""
+    return st.run_counted(st.tumbling(_events(spark, sf, "event_type", "value"), "1 day", late=WAIT))[0]
 
 
 @query("""SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM
   (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, g""")
 def t9_silence_sessions_stream(spark, sf):
-    return st.run(st.sessions(st.file_stream(spark, sf, "events"), "6 hours"), "complete")
+    """Sessions leave the state, and are written once, when the watermark has passed their pause."""
+    return st.run_counted(st.sessions(_events(spark, sf, "user_id"), "6 hours", late=WAIT))[0]
 
 
 @query("SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id")
@@ -172,3 +181,141 @@ def p5_sampler_protocol(spark, sf):
 
     own = th.Sampler("signs", "change", threshold=0.5, describe=lambda: F.transform("vector", lambda x: x > 0), compare=same)
     return own.kept(_vectors(spark, sf)).withColumn("score", F.coalesce("score", F.lit(-1.0)))
+
+
+#: Frames come in three files and a closing one, every other frame up to a day later than its time; the watermark waits two.
+LATER, WAIT = DAY, "2 days"
+
+
+def _arriving(rows, order: str, late: float, **closing):
+    return ss.arrivals(rows, order, 3, late, {"video_id": "-1"} | closing)
+
+
+def _media_time():
+    return F.timestamp_micros((F.col("media_ts") * 1e6).cast("long") + 1)
+
+
+def _index_time():
+    return F.timestamp_seconds(F.col("idx") + 1)
+
+
+def _streamed(rows, rules, at, late, **options):
+    return st.run_counted(ss.sampled_stream(rows, rules, at, late, **options))[0]
+
+
+def _kinds(spark, sf):
+    return frames(spark, sf).withColumnRenamed("sampler_id", "kind")
+
+
+@query(ORACLES["t1_decimate"])
+def t1_decimate_in_order_stream(spark, sf):
+    """Frames arrive in three files, mixed in time; the watermark puts them in order before a bucket is decided."""
+    seen = _arriving(_late(frames(spark, sf)).select("video_id", "idx", "media_ts"), "idx", 500, media_ts=0.0)
+    kept = _streamed(seen, [sp.FrameRule("all", "interval")], _index_time(), "1000 seconds", by=("video_id",), rate=RATE)
+    return kept.select("video_id", "idx", th.bucket(F.col("media_ts"), RATE).alias("bucket"))
+
+
+@query(ORACLES["t2_rate_limit"])
+def t2_rate_limit_stream(spark, sf):
+    seen = _arriving(_kinds(spark, sf).drop("score"), "media_ts", LATER, kind="end", idx=0)
+    chunks = _grid(spark, sf)
+    place = lambda x: g.point_join(x, chunks, "media_ts", DAY)
+    rules = [sp.FrameRule("rate", "interval", min_interval=7200.0, most=5)]
+    kept = _streamed(seen, rules, _media_time(), WAIT, by=("video_id", "kind", "chunk_id"), place=place)
+    return kept.select("video_id", F.col("kind").alias("sampler_id"), "chunk_id", "idx")
+
+
+@query(ORACLES["t3_stride"])
+def t3_stride_stream(spark, sf):
+    seen = _arriving(frames(spark, sf).select("video_id", "idx", "media_ts"), "media_ts", LATER, idx=0)
+    chunks = _grid(spark, sf)
+    place = lambda x: g.point_join(x, chunks, "media_ts", DAY)
+    return _streamed(seen, [sp.FrameRule("third", every=3)], _media_time(), WAIT, place=place).select("video_id", "chunk_id", "idx")
+
+
+def _arriving_vectors(spark, sf):
+    rows = _vectors(spark, sf).withColumn("media_ts", F.col("idx").cast("double"))
+    return _arriving(rows, "idx", 40, chunk_id=-1, media_ts=0.0)
+
+
+@query(ORACLES["t4_change_reference"])
+def t4_change_reference_stream(spark, sf):
+    """A chunk ends with its ten vectors: ten seconds later its state has gone."""
+    rules = [sp.FrameRule("drift", "reference", threshold=0.2, describe=lambda: F.col("vector"))]
+    end = F.timestamp_seconds((F.col("chunk_id") + 1) * 10 + 1)
+    return _streamed(_arriving_vectors(spark, sf), rules, _index_time(), "100 seconds", end=end).select("video_id", "chunk_id", "idx")
+
+
+@query(ORACLES["t5_change_consecutive"])
+def t5_change_consecutive_stream(spark, sf):
+    rules = [sp.FrameRule("step", "consecutive", threshold=0.2, describe=lambda: F.col("vector"))]
+    end = F.timestamp_seconds((F.col("chunk_id") + 1) * 10 + 1)
+    return _streamed(_arriving_vectors(spark, sf), rules, _index_time(), "100 seconds", end=end).select("video_id", "chunk_id", "idx")
+
+
+#: Frames with regions: an order is a frame, its lines that came back or were kept are what is in shot; 100 orders are a chunk.
+_REGIONS = """fr AS (SELECT l_orderkey % 500 AS video_id, l_orderkey // 20000 AS chunk_id, l_orderkey AS idx,
+    coalesce(list([l_quantity, l_discount * 100, l_quantity + 10, l_discount * 100 + 5]) FILTER (l_returnflag <> 'N'), []) AS g FROM lineitem GROUP BY ALL),
+  seq AS (SELECT *, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY idx) AS n FROM fr)"""
+
+
+def _walked(kept: str) -> str:
+    """Frame by frame: ref is the last chosen frame, k the number of kept ones, t the index of the last."""
+    return f"""WITH RECURSIVE {_REGIONS},
+  w AS (SELECT video_id, chunk_id, idx, n, g AS ref, true AS kept, 1 AS k, idx AS t FROM seq WHERE n = 1
+    UNION ALL SELECT video_id, chunk_id, idx, n, CASE WHEN c THEN g ELSE ref END, c, k + c::INT, CASE WHEN c THEN idx ELSE t END FROM (
+      SELECT s.*, w.ref, w.k, w.t, {kept} AND len(s.g) > 0 AND (len(w.ref) = 0 OR
+        list_min(list_transform(s.g, lambda a: list_max(list_transform(w.ref, lambda b: {_IOU})))) < 0.3) AS c
+      FROM w JOIN seq s ON s.video_id = w.video_id AND s.chunk_id = w.chunk_id AND s.n = w.n + 1))
+  SELECT video_id, chunk_id, idx FROM w WHERE kept"""
+
+
+def _regions(spark, sf):
+    li = table(spark, sf, "lineitem")
+    box = F.array(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_quantity") + 10, F.col("l_discount") * 100 + 5)
+    idx = F.col("l_orderkey")
+    return li.groupBy((idx % 500).alias("video_id"), F.floor(idx / 20000).cast("long").alias("chunk_id"), idx.alias("idx")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("l_returnflag") != "N", box))).alias("regions"), idx.cast("double").alias("media_ts")
+    )
+
+
+def _boxes(**more):
+    return [sp.FrameRule("boxes", "regions", threshold=0.3, describe=lambda: F.col("regions"), similarity=th.box_iou, **more)]
+
+
+@query(_walked("true"))
+def t6_region_chunks(spark, sf):
+    """Regions anew in each chunk; a first frame with nothing in it is kept."""
+    return sp.sampled(_regions(spark, sf), _boxes()).select("video_id", "chunk_id", "idx")
+
+
+@query(_walked("true"))
+def t6_region_chunks_stream(spark, sf):
+    seen = ss.arrivals(_regions(spark, sf), "idx", 3, 5000, {"video_id": -1, "chunk_id": -1, "media_ts": 0.0})
+    end = F.timestamp_seconds((F.col("chunk_id") + 1) * 20000 + 1)
+    return _streamed(seen, _boxes(), _index_time(), "10000 seconds", end=end).select("video_id", "chunk_id", "idx")
+
+
+@query(_walked("k < 6 AND s.idx - w.t >= 1200"))
+def t6_region_limits(spark, sf):
+    """The least interval and the most of a chunk lie over the rule, which does not see the frames in between."""
+    return sp.sampled(_regions(spark, sf), _boxes(min_interval=1200.0, most=6)).select("video_id", "chunk_id", "idx")
+
+
+def _near(a, b):
+    return round(1 / (1 + abs(a - b)), 4)
+
+
+@query(ORACLES["t7_ingest"])
+def t7_ingest_stream(spark, sf):
+    """Frames decimated, placed in the grid and offered to three samplers as they arrive, one state a video."""
+    seen = _arriving(frames(spark, sf).drop("sampler_id"), "idx", 500, media_ts=0.0, score=0.0)
+    chunks = _grid(spark, sf)
+    rules = [
+        sp.FrameRule("stride", every=2),
+        sp.FrameRule("interval", "interval", min_interval=3600.0, most=10),
+        sp.FrameRule("change", "consecutive", threshold=0.05, describe=lambda: F.col("score"), similarity=_near),
+    ]
+    place = lambda x: g.nearest_join(x, chunks, "media_ts", DAY)
+    kept = _streamed(seen, rules, _index_time(), "1000 seconds", by=("video_id",), rate=RATE, place=place)
+    return kept.withColumn("media_ts", F.round("media_ts", 3)).withColumn("score", F.coalesce(F.round("score", 4), F.lit(-1.0)))

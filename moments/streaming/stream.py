@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from moments.operators.folder import new_folder
+from moments.streaming.sampling import rocks
 
 #: Parts of a maintained table; a micro-batch rewrites the parts that hold its keys.
 PARTS = 64
@@ -29,9 +30,29 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, files: int = 1) ->
     return stream.option("maxFilesPerTrigger", 1).parquet(at)
 
 
-def _started(stream: DataFrame, mode: str, write, at: str) -> None:
+def _started(stream: DataFrame, mode: str, write, at: str):
+    """Runs over all files that are there, and returns the finished query."""
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
+
+
+def run_counted(stream: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """An append stream that keeps state in RocksDB: what was written, and for each micro-batch its rows, the rows that came too late
+    and the rows of state after it."""
+    spark = stream.sparkSession
+    at = new_folder(spark, "stream")
+    with rocks(spark):
+        q = _started(stream, "append", lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}"), at)
+    steps = [
+        {
+            "rows": p.numInputRows,
+            "late": sum(o.numRowsDroppedByWatermark for o in p.stateOperators),
+            "state_rows": sum(o.numRowsTotal for o in p.stateOperators),
+        }
+        for p in q.recentProgress
+    ]
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns), steps
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], number: int, merged=None) -> None:
