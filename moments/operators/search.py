@@ -51,12 +51,39 @@ def _blocks(queries: DataFrame, size: int):
         yield packed()
 
 
+def _similarities(m: np.ndarray, vectors: pa.Array) -> np.ndarray:
+    """Cosines of unit queries with vectors, to nine places; -1 where widths differ or a vector is null."""
+    values, ends = vectors.values.to_numpy(zero_copy_only=False).astype("float64"), vectors.offsets.to_numpy().astype("int64")
+    out = np.full((len(m), len(vectors)), -1.0)
+    fits = np.flatnonzero((np.diff(ends) == m.shape[1]) & vectors.is_valid().to_numpy(zero_copy_only=False))
+    if len(fits):
+        v = values[(ends[fits][:, None] + np.arange(m.shape[1])).ravel()].reshape(len(fits), -1)
+        v = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
+        out[:, fits] = np.round(m @ v.T, 9)
+    return out
+
+
+def _best(sim: np.ndarray, keys: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """The first k by similarity, ties by key. Only rows at or above the k-th similarity are sorted."""
+    few = np.arange(len(sim)) if len(sim) <= k else np.flatnonzero(sim >= np.partition(sim, len(sim) - k)[len(sim) - k])
+    rows = keys.take(pa.array(few))
+    rows = pa.RecordBatch.from_arrays([*rows.columns, pa.array(sim[few])], names=[*KEY, "sim"])
+    return rows.sort_by([("sim", "descending"), *[(c, "ascending") for c in KEY]]).slice(0, k)
+
+
+def _merged(a: pa.RecordBatch, b: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    if not b.num_rows or a.num_rows == k and b.column("sim")[0].as_py() < a.column("sim")[k - 1].as_py():
+        return a
+    both = pa.concat_batches([a, b])
+    return _best(both.column("sim").to_numpy(), both.select(KEY), k)
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(q, video_id, chunk_id, sampler_id, sim, dense_rank): exact cosine top k of each query.
 
-    The queries are a stated set, taken in blocks; each block travels to the tasks as a broadcast of a bounded size, and the
-    tasks keep their own top k in the total order by one matrix product a batch, so the shuffle holds k rows a query and task.
-    What a block found is written before the next block is read."""
+    The queries are a stated set of one width, taken in blocks; each block travels to the tasks as a broadcast of a bounded size. A task
+    keeps its own top k of each query over all its batches and gives them once, so the shuffle holds k rows a query and task.
+    Vectors of another width score -1. What a block found is written before the next block is read."""
     spark, at = vectors.sparkSession, None
     schema = "q long, video_id string, chunk_id long, sampler_id string, sim double"
     for ids, m in _blocks(queries, block):
@@ -64,20 +91,15 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048)
 
         def scan(batches, shared=shared):
             ids, m = shared.value
+            held = None  # (sim, key columns) of the best k of each query so far
             for b in batches:
-                v = np.stack(b.column("vector").to_numpy(zero_copy_only=False)).astype("float64") if b.num_rows else np.zeros((0, m.shape[1]))
-                v = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
-                sim = np.round(m @ v.T, 9)
-                place = pa.table({c: b.column(c) for c in KEY}).append_column("at", pa.array(np.arange(b.num_rows)))
-                order = place.sort_by([(c, "ascending") for c in KEY]).column("at").to_numpy()
-                tie = np.empty(b.num_rows, "int64")
-                tie[order] = np.arange(b.num_rows)
-                take = [np.lexsort((tie, -s))[:k] for s in sim]
-                rows = np.concatenate(take) if take else np.zeros(0, "int64")
-                q = [i for i, t in zip(ids, take) for _ in t]
-                s = np.concatenate([x[t] for x, t in zip(sim, take)]) if take else np.zeros(0)
-                cols = [b.column(c).take(pa.array(rows.astype("int64"))) for c in KEY]
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), *cols, pa.array(s)], names=["q", *KEY, "sim"])
+                sim = _similarities(m, b.column("vector"))
+                part = [_best(sim[i], b.select(KEY), k) for i in range(len(ids))] if b.num_rows else []
+                if part:
+                    held = part if held is None else [_merged(x, y, k) for x, y in zip(held, part)]
+            for q, rows in zip(ids, held or []):
+                q = pa.array(np.full(rows.num_rows, q, "int64"))
+                yield pa.RecordBatch.from_arrays([q, *[rows.column(c) for c in (*KEY, "sim")]], names=["q", *KEY, "sim"])
 
         at = at or new_folder(spark)
         vectors.select(*KEY, "vector").mapInArrow(scan, schema).write.mode("append").parquet(at)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from moments.operators.folder import saved
+
 
 def upper_median(values: Column) -> Column:
     """sorted[n // 2]; null for none."""
@@ -104,14 +106,14 @@ def batched(rows: DataFrame, by: list[str], order: list[str], size: int) -> Data
 
 def fold(rows: DataFrame, reduce, size: int = 25, most: int = 1) -> DataFrame:
     """rows (video_id, pos, text, chunk_ids) in layers: batches of ``size`` become one row each by ``reduce`` (a Column function
-    of the ordered array of texts), until no video has more than ``most``. Every layer is kept. The number of layers is the
-    logarithm of the longest video, so the loop asks for one count a layer."""
+    of the ordered array of texts), until no video has more than ``most``. Every layer is kept, and written before the next reads
+    it. The number of layers is the logarithm of the longest video, so the loop asks for one count a layer."""
+    if size < 2 or most < 1:
+        raise ValueError("size must be 2 or more and most 1 or more, or the layers never end")
     layer = rows.select("video_id", F.lit(0).alias("layer"), "pos", "text", "chunk_ids")
-    out, depth = layer, 0
-    while depth < 12:
-        longest = layer.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0
-        if longest <= most:
-            break
+    layer, depth = saved(layer), 0
+    out = layer
+    while (layer.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0) > most:
         depth += 1
         cut = batched(layer, ["video_id"], ["pos"], size)
         item = F.array_sort(F.collect_list(F.struct("pos", "text")))
@@ -121,6 +123,7 @@ def fold(rows: DataFrame, reduce, size: int = 25, most: int = 1) -> DataFrame:
             "video_id", F.lit(depth).alias("layer"), F.col("batch").alias("pos"),
             reduce(F.transform("items", lambda x: x["text"])).alias("text"), "chunk_ids",
         )
+        layer = saved(layer)
         out = out.unionByName(layer)
     return out
 
