@@ -9,6 +9,8 @@ token the chance that a natural one of its length looks as random. Short tokens,
 need a better score than long ones. Benjamini-Hochberg over these chances, for all tokens of all lengths of the table, holds
 the share of false discoveries at ``rate``: a lone key of a rare length, or in a small table, can be accepted.
 
+A token that lies inside a base span is that span's; one that only meets a base span is judged as a whole, and both stay.
+
 Tokens of digits alone are left out: serial numbers, times and amounts are as even as random digits.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans; an empty table gives no rows.
@@ -227,7 +229,7 @@ def scanned(docs: DataFrame, *carry: str) -> DataFrame:
     spans = F.concat("assign", "access", "hex")
     free = F.filter(
         located(F.col("t"), TOKEN),
-        lambda x: x.m.rlike("[A-Za-z]") & (F.length(told(x.m)) >= 16) & ~F.exists(spans, lambda b: (b.s < x.e) & (x.s < b.e)),
+        lambda x: x.m.rlike("[A-Za-z]") & (F.length(told(x.m)) >= 16) & ~F.exists(spans, lambda b: (b.s <= x.s) & (x.e <= b.e)),
     )
     scored = F.transform(free, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), battery(x.m).alias("b")))
     narrow = [F.transform(k, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"))).alias(k) for k in KINDS[:3]]
