@@ -115,11 +115,11 @@ def _longs(x) -> pa.Array:
 
 def _blobs(rows: np.ndarray) -> pa.Array:
     """Rows of counts, each compressed by itself."""
-    return pa.array([zlib.compress(np.ascontiguousarray(r).tobytes(), 1) for r in rows], pa.binary())
+    return pa.array([zlib.compress(np.ascontiguousarray(r, "int64").tobytes(), 1) for r in rows], pa.binary())
 
 
 def _counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), "int32").astype("int64")
+    return np.frombuffer(zlib.decompress(blob), "int64")
 
 
 def word_counts(docs: DataFrame, rules: MaxentRules) -> DataFrame:
@@ -154,8 +154,9 @@ def word_counts(docs: DataFrame, rules: MaxentRules) -> DataFrame:
     return found.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("c"))
 
 
-def _added(tables: DataFrame, width: int) -> DataFrame:
-    """(key, counts): the rows of all tasks, added by key as they stream by."""
+def _added(tables: DataFrame, width: int, parts: int = 64) -> DataFrame:
+    """(key, counts): the rows of all tasks, added by key as they stream by, in two steps: each of the first adds a share of the tasks, so
+    what meets in one of the second grows with ``parts`` and not with the number of tasks."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -165,10 +166,12 @@ def _added(tables: DataFrame, width: int) -> DataFrame:
                     total[k] = np.zeros(width, "int64")
                 total[k] += _counts(blob)
         keys = sorted(total)
-        blobs = [zlib.compress(np.minimum(total[k], 2**31 - 1).astype("int32").tobytes(), 1) for k in keys]
-        yield _rows(["key", "counts"], _longs(keys), pa.array(blobs, pa.binary()))
+        yield _rows(["key", "counts"], _longs(keys), _blobs([total[k] for k in keys]))
 
-    return tables.repartition(8, "key").mapInArrow(add, "key long, counts binary")  # bounded: a row a key
+    schema = "key long, counts binary"
+    share = tables.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(parts)))
+    first = share.repartition("share", F.pmod("key", F.lit(8))).select("key", "counts").mapInArrow(add, schema)
+    return first.repartition(8, "key").mapInArrow(add, schema)  # bounded: a row a key
 
 
 def _form(rank: np.ndarray, ending: np.ndarray, rules: MaxentRules) -> np.ndarray:
