@@ -11,7 +11,9 @@ ranges of quotients and the counts of the ranges before, so the shards of the la
 sources themselves, whose number is that of a catalogue, do. A shard takes each of its blocks twice at most; what rounding
 gives it beyond that (less than a block) is not taken.
 
-Defined results: a null text has size 0 and takes 0; a null source is a source of its own, after all others; repeated rows
+Rows of one doc_id, or without any, that hold more words than a shard are drawn one by one, so they fill shards like other rows.
+
+Defined results: a null text has size 0 and takes 0; a text of any length is one document of one shard, of which blocks are taken; a null source is a source of its own, after all others; repeated rows
 are separate documents of the same order; an empty table gives no rows.
 """
 
@@ -86,13 +88,24 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: int =
     ).select("one", "no_source", "name", "source_size", "place", "weight", "words", "target")
 
 
+def spread_out(sizes: DataFrame, shard_words: int) -> DataFrame:
+    """sizes, in which rows of one doc_id (or of none) that would overfill a shard get draws of their own, by their place in the table.
+    Such ids have a ten thousandth of all words or more, so they are 10,000 at most."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    heavy = sizes.groupBy(F.col("doc_id").alias("heavy_id")).agg(F.sum("size").alias("heavy_words"))
+    heavy = heavy.filter(F.col("heavy_words") >= max(shard_words, total / 10_000)).select("heavy_id", F.lit(True).alias("heavy"))
+    own = F.md5(F.concat_ws(":", "draw", F.col("row_place").cast("string")))
+    met = sizes.join(F.broadcast(heavy), F.col("doc_id").eqNullSafe(F.col("heavy_id")), "left")
+    return met.withColumn("draw", F.when(F.col("heavy"), own).otherwise(F.col("draw"))).drop("heavy_id", "heavy", "row_place")
+
+
 def mix(
     docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: float = 1.5, cap: int = 2, block: int = 32,
     shard_words: int = 1 << 18, seed: str = "mix", carry: tuple = (),
 ) -> DataFrame:
     """(doc_id, size, no_source, name, source_size, target, taken), one row per document, with the columns of carry."""
     size = n_words(F.col("text")) if size is None else size
-    sizes = save(
+    sizes = spread_out(save(
         docs.select(
             "doc_id",
             *carry,
@@ -100,8 +113,9 @@ def mix(
             F.col("source").isNull().cast("int").alias("no_source"),
             F.coalesce("source", F.lit("")).alias("name"),
             F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
+            F.monotonically_increasing_id().alias("row_place"),
         )
-    )
+    ), shard_words)
     source = ["no_source", "name"]
     sums = sizes.groupBy(*source).agg(F.sum("size").alias("source_size"))
     aims = targets(sums, weights, share, cap).withColumn("all_seats", F.floor(F.col("words") / block + 0.5).cast("long"))

@@ -10,7 +10,7 @@ Records of one key and doc_id are one entry of the sample, whatever their number
 not matter which goes where. What reaches the driver is bounded by parameters: about ``oversample`` keys and one count for each
 of the fine ranges.
 
-Defined results: a null text has no bytes and goes with the empty ones; a null doc_id sorts first; repeated rows take
+Defined results: texts of any length are single records, and one that overfills a range has a range of its own; a null text has no bytes and goes with the empty ones; a null doc_id sorts first; repeated rows take
 neighbouring slots; an empty table gives no rows.
 """
 
@@ -23,8 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moments.llm.common import hex_long, save
+from moments.llm.mixing import ranked
 
 HEAD = 16
+#: Equal rows beyond which a group is numbered by ranges and not in one array.
+MANY = 1_000
 
 
 def record_keys(docs: DataFrame, *carry: str) -> DataFrame:
@@ -126,15 +129,34 @@ def sharded_documents(docs: DataFrame, shards: int = 40, **options) -> DataFrame
     placed = shard_by_bytes(keys, shards, **options).select(
         F.col("doc_id").alias("place_id"), "place_text", "shard", "slot"
     )
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("row_hash", text_hash("row.text"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("place_id")) & (F.col("row_hash") == F.col("place_text"))
+    keep = [c for c in docs.columns if c not in ("shard", "slot")]
+    columns = [F.col(f"row.`{c}`") for c in keep]
+    placed = save(placed)
+    sizes = placed.groupBy("place_id", "place_text").agg(F.count(F.lit(1)).alias("n"))
+    least = max(MANY, placed.count() / 100_000)
+    heavy = F.broadcast(sizes.filter(F.col("n") >= least).select("place_id", "place_text"))  # at most 100,000 groups
     # rows that are equal in doc_id and text take the places of their group in any order
-    places = placed.groupBy("place_id", "place_text").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
-    met = (
-        docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-        .withColumn("row_hash", text_hash("row.text"))
-        .join(places, F.col("row.doc_id").eqNullSafe(F.col("place_id")) & (F.col("row_hash") == F.col("place_text")))
-    )
+    places = (
+        placed.join(heavy.withColumnsRenamed({"place_id": "h_id", "place_text": "h_text"}), F.col("place_id").eqNullSafe(F.col("h_id")) & (F.col("place_text") == F.col("h_text")), "left_anti")
+        .groupBy("place_id", "place_text").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
+    )
+    met = rows.join(places, same)
     many = W.partitionBy(F.col("row.doc_id"), "row_hash").orderBy("row_hash")
     met = met.withColumn("nth", F.when(F.size("places") == 1, F.lit(1)).otherwise(F.row_number().over(many)))
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
     place = F.element_at("places", F.col("nth"))
-    return met.select(*[F.col(f"row.`{c}`") for c in keep], place["shard"].alias("shard"), place["slot"].alias("slot"))
+    out = met.select(*columns, place["shard"].alias("shard"), place["slot"].alias("slot"))
+    if heavy.isEmpty():
+        return out
+    # of a large group both sides are numbered by ranges, and no task holds the group
+    known = [F.col("no_id"), F.col("id"), F.col("text_key")]
+    keyed = lambda df, i, h: df.withColumns({"no_id": i.isNull(), "id": F.coalesce(i, F.lit(0)), "text_key": h})
+    group = ["no_id", "id", "text_key"]
+    left = keyed(rows.join(heavy, same, "left_semi"), F.col("row.doc_id"), F.col("row_hash")).select("row", *known)
+    right = keyed(placed, F.col("place_id"), F.col("place_text")).join(
+        keyed(heavy, F.col("place_id"), F.col("place_text")).select(*group), group, "left_semi"
+    ).select("shard", "slot", *known)
+    left = ranked(left.withColumn("tie", F.monotonically_increasing_id()), group, [F.col("tie")], "nth")
+    both = left.join(ranked(right, group, [F.col("shard"), F.col("slot")], "nth"), [*group, "nth"])
+    return out.unionByName(both.select(*columns, "shard", "slot"))
