@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moments.functions.vectors import dot, unit
+from moments.operators import tiles
+from moments.operators.components import components
 from moments.operators.folder import saved
 
 QUANTILE = {"q95": 0.95, "q90": 0.90}
@@ -74,9 +77,29 @@ def candidates(paired: DataFrame, profile: LinkProfile = LinkProfile()) -> DataF
     return kept.select("video_id", "mention_i", "mention_j", "answer_i", "answer_j", "sim")
 
 
+def parted(linked: DataFrame, most: int = 100_000) -> DataFrame:
+    """linked with ``part``: groups never leave a component of the links, so the links of a video that has more than ``most`` of them
+    are parted by component; those of other videos, which any task holds, stay together."""
+    large = linked.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("video_id")
+    if large.isEmpty():
+        return linked.withColumn("part", F.lit(0).cast("long"))
+    linked = saved(linked)
+    many = linked.join(large, "video_id", "left_semi")
+    node = lambda k: F.struct("video_id", f"mention_{k}")
+    ids = saved(
+        many.select(F.explode(F.array(node("i").cast("struct<video_id:string,mention:bigint>"), node("j").cast("struct<video_id:string,mention:bigint>"))).alias("x"))
+        .select("x.*").distinct().withColumn("node", F.monotonically_increasing_id())
+    )
+    end = lambda k, name: ids.select("video_id", F.col("mention").alias(f"mention_{k}"), F.col("node").alias(name))
+    edges = many.join(end("i", "a"), ["video_id", "mention_i"]).join(end("j", "b"), ["video_id", "mention_j"])
+    of = ids.join(components(edges.select("a", "b")), "node").select("video_id", F.col("mention").alias("mention_i"), F.col("component").alias("part"))
+    few = linked.join(large, "video_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    return few.unionByName(many.join(of, ["video_id", "mention_i"]).select(*few.columns))
+
+
 def greedy_groups(mentions: DataFrame, linked: DataFrame) -> DataFrame:
     """(video_id, mention, group): pairs by (-sim, i, j) join their groups unless both hold a mention of one answer. The merge
-    is sequential inside a video, so each video's surviving pairs meet in one task; videos run in parallel."""
+    is sequential inside a component of the links, so a task holds a small video or a component of a large one."""
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         group, members, answers = {}, {}, {}
@@ -96,13 +119,22 @@ def greedy_groups(mentions: DataFrame, linked: DataFrame) -> DataFrame:
         least = {g: min(ms) for g, ms in members.items()}
         return pd.DataFrame({"video_id": key[0], "mention": list(group), "group": [least[g] for g in group.values()]})
 
-    found = linked.groupBy("video_id").applyInPandas(merge, "video_id string, mention long, group long")
+    found = parted(linked).groupBy("video_id", "part").applyInPandas(merge, "video_id string, mention long, group long")
     out = mentions.select("video_id", "mention").join(found, ["video_id", "mention"], "left")
     return out.select("video_id", "mention", F.coalesce("group", "mention").alias("group"))
 
 
+def tiled_candidates(mentions: DataFrame, profile: LinkProfile = LinkProfile(), calibration: DataFrame | None = None) -> DataFrame:
+    """As ``candidates``, straight from the mentions: pairs are made and judged in matrix tiles, and only links become rows."""
+    if profile.threshold is not None:
+        bars = mentions.select("video_id").distinct().withColumn("threshold", F.lit(float(profile.threshold)))
+    else:
+        bars = thresholds(tiles.calibration_pairs(mentions) if calibration is None else calibration, profile)
+    return tiles.linked(mentions, bars, profile.mutual)
+
+
 def link(mentions: DataFrame, profile: LinkProfile = LinkProfile()) -> DataFrame:
-    return greedy_groups(mentions, candidates(pairs(mentions), profile))
+    return greedy_groups(mentions, tiled_candidates(mentions, profile))
 
 
 def entities(grouped: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -128,8 +160,8 @@ def link_answer(mentions: DataFrame, chunks: DataFrame, profile: LinkProfile = L
     """The whole answer of a profile, one row a video: how many mentions, entities, linked and narrated ones, the threshold with
     the pairs that calibrated it, the candidate pairs, and the entities that share most chunks. mentions carry chunk_id and
     signature beside the columns of linking; a video of one mention has counts of one and no pair."""
-    paired = saved(pairs(mentions))
-    linked = saved(candidates(paired, profile))
+    paired = saved(tiles.calibration_pairs(mentions))
+    linked = saved(tiled_candidates(mentions, profile, paired))
     grouped = greedy_groups(mentions, linked)
     found = saved(entities(mentions.select("video_id", "mention", "chunk_id", "signature").join(grouped, ["video_id", "mention"]), chunks))
     often = found.filter(F.col("appearances") >= profile.min_appearances)
@@ -248,55 +280,62 @@ def track_costs(distances: DataFrame) -> DataFrame:
 
 def merge_tracks(costs: DataFrame, threshold: float, how: str = "min") -> DataFrame:
     """(video_id, mention, track): the closest compatible pair of tracks joins, until no cost is below the threshold. costs:
-    (video_id, mention_i, mention_j, answer_i, answer_j, cost) of all pairs; tracks that share an answer never join. Each merge
-    depends on the one before, so a video's pairs meet in one task; videos run in parallel. Under the least cost only pairs below
-    the threshold can ever join two tracks, so only they go to the tasks and a merge is a walk over them in order."""
-    import numpy as np
-
-    if how == "min":
-        i, j = (F.col(f"mention_{k}") for k in "ij")
-        ends = costs.select("video_id", F.explode(F.array(i, j)).alias("mention")).distinct()
-        near = costs.filter((F.col("cost") < threshold) & (F.col("answer_i") != F.col("answer_j"))).withColumn("sim", -F.col("cost"))
-        return greedy_groups(ends, near).withColumnRenamed("group", "track")
-
-    combine = {"max": np.maximum, "mean": None}
+    (video_id, mention_i, mention_j, answer_i, answer_j, cost) of all pairs, and perhaps ``veto``; tracks that share an answer or hold a
+    vetoed pair never join. how: the cost of two tracks from those of their members: "min" (or "last2"), "mean", "median" or "max"; a pair
+    that costs lacks is infinitely far.
+
+    Every rule needs a pair below the threshold to join two tracks, so tracks stay inside the components of such pairs, and a task holds a
+    small video or the pairs of one component, whose members are the largest matrix. Under the least cost without a veto only the pairs below the
+    threshold matter, and a merge is a walk over them in order."""
+    if how not in ("min", "last2", "mean", "median", "max"):
+        raise ValueError("how must be min, last2, mean, median or max")
+    how = "min" if how == "last2" else how
+    near = costs.filter((F.col("cost") < threshold) & (F.col("answer_i") != F.col("answer_j")))
+    i, j = (F.col(f"mention_{k}") for k in "ij")
+    ends = costs.select("video_id", F.explode(F.array(i, j)).alias("mention")).distinct()
+    if how == "min" and "veto" not in costs.columns:
+        return greedy_groups(ends, near.withColumn("sim", -F.col("cost"))).withColumnRenamed("group", "track")
+    veto = F.coalesce(F.col("veto"), F.lit(False)) if "veto" in costs.columns else F.lit(False)
+    placed = saved(parted(saved(near.select("video_id", "mention_i", "mention_j"))))
+    part = placed.select("video_id", F.explode(F.array("mention_i", "mention_j")).alias("mention"), "part").distinct()
+    of = lambda k: part.select("video_id", F.col("mention").alias(f"mention_{k}"), F.col("part").alias(f"part_{k}"))
+    inside = costs.withColumn("veto", veto).join(of("i"), ["video_id", "mention_i"]).join(of("j"), ["video_id", "mention_j"]).filter("part_i = part_j")
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["mention_i"], pdf["mention_j"]]))
-        i, j = np.searchsorted(ids, pdf["mention_i"]), np.searchsorted(ids, pdf["mention_j"])
-        n = len(ids)
-        cost = np.full((n, n), np.inf)
-        cost[i, j] = cost[j, i] = pdf["cost"]
-        answer = np.zeros(n, "int64")
-        answer[i], answer[j] = pdf["answer_i"], pdf["answer_j"]
-        held = answer[:, None] == np.unique(answer)[None, :]
-        members = [[k] for k in range(n)]
-        apart = (held.astype("int64") @ held.T.astype("int64")) > 0
-        live = np.where(apart, np.inf, cost)
-        while n > 1:
-            at = int(np.argmin(live))
-            a, b = divmod(at, n)
-            if not live[a, b] < threshold:
-                break
-            a, b = min(a, b), max(a, b)
-            if how == "mean":
-                x, y = len(members[a]), len(members[b])
-                new = (cost[a] * x + cost[b] * y) / (x + y)
-            else:
-                new = combine[how](cost[a], cost[b])
-            cost[a], cost[:, a] = new, new
-            cost[b], cost[:, b] = np.inf, np.inf
-            held[a] |= held[b]
-            members[a] += members[b]
-            members[b] = []
-            shared = (held.astype("int64") @ held[a].astype("int64")) > 0
-            live[b], live[:, b] = np.inf, np.inf
-            row = np.where(shared, np.inf, cost[a])
-            live[a], live[:, a] = row, row
-        rows = [(key[0], int(ids[m]), int(ids[min(g)])) for g in members for m in g]
-        return pd.DataFrame(rows, columns=["video_id", "mention", "track"])
-
-    return costs.groupBy("video_id").applyInPandas(merge, "video_id string, mention long, track long")
+        rows = merged_tracks(
+            np.searchsorted(ids, pdf["mention_i"]), np.searchsorted(ids, pdf["mention_j"]), pdf["answer_i"].to_numpy(), pdf["answer_j"].to_numpy(),
+            pdf["cost"].to_numpy("float64"), pdf["veto"].to_numpy(bool), len(ids), threshold, how,
+        )
+        return pd.DataFrame([(key[0], int(ids[m]), int(ids[min(g)])) for g in rows for m in g], columns=["video_id", "mention", "track"])
+
+    found = inside.groupBy("video_id", "part_i").applyInPandas(merge, "video_id string, mention long, track long")
+    out = ends.join(found, ["video_id", "mention"], "left")
+    return out.select("video_id", "mention", F.coalesce("track", "mention").alias("track"))
+
+
+def merged_tracks(i, j, answer_i, answer_j, costs, veto, n: int, threshold: float, how: str) -> list[list[int]]:
+    """The tracks of n members. After a merge only the row of the joined track is made anew, from the costs of its members."""
+    combine = {"min": np.min, "mean": np.mean, "median": np.median, "max": np.max}[how]
+    cost, apart = np.full((n, n), np.inf), np.zeros((n, n), bool)
+    cost[i, j] = cost[j, i] = costs
+    apart[i, j] = apart[j, i] = veto | (answer_i == answer_j)
+    members = [[k] for k in range(n)]
+    live = np.where(apart, np.inf, cost)
+    np.fill_diagonal(live, np.inf)
+    while n > 1:
+        a, b = divmod(int(np.argmin(live)), n)
+        if not live[a, b] < threshold:
+            break
+        a, b = min(a, b), max(a, b)
+        members[a], members[b] = members[a] + members[b], []
+        apart[a] |= apart[b]
+        apart[:, a] |= apart[:, b]
+        live[b], live[:, b] = np.inf, np.inf
+        for k in range(n):
+            if k != a and members[k]:
+                live[a, k] = live[k, a] = np.inf if apart[a, k] else combine(cost[np.ix_(members[a], members[k])])
+    return [g for g in members if g]
 
 
 def wrong_links(grouped: DataFrame, truth: DataFrame) -> DataFrame:

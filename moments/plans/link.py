@@ -90,7 +90,7 @@ def l3_calibrated_threshold(spark, sf):
 
 @query(LINK + " SELECT video_id, mention_i, mention_j, sim FROM cand")
 def l4_mutual_best(spark, sf):
-    return ln.candidates(_pairs(spark, sf), Q90).select("video_id", "mention_i", "mention_j", "sim")
+    return ln.tiled_candidates(_mentions(spark, sf), Q90).select("video_id", "mention_i", "mention_j", "sim")
 
 
 @query(linked('SELECT video_id, mention, "group" FROM grp'))
@@ -229,10 +229,10 @@ def e6_config_grid(spark, sf):
     from functools import reduce
 
     m, truth = _mentions(spark, sf), _truth(spark, sf)
-    paired = {"whole": saved(ln.pairs(m)), "half": saved(ln.pairs(m.withColumn("vector", F.slice("vector", 1, 32))))}
+    kinds = {"whole": m, "half": m.withColumn("vector", F.slice("vector", 1, 32))}
     grouped = [
-        ln.greedy_groups(m, ln.candidates(p, ln.LinkProfile(rule=r, mutual=u))).withColumn("video_id", F.concat_ws("|", F.lit(e), F.lit(r), F.lit(str(u).lower()), "video_id"))
-        for e, p in paired.items() for r in ("max", "q95", "q90") for u in (True, False)
+        ln.link(p, ln.LinkProfile(rule=r, mutual=u)).withColumn("video_id", F.concat_ws("|", F.lit(e), F.lit(r), F.lit(str(u).lower()), "video_id"))
+        for e, p in kinds.items() for r in ("max", "q95", "q90") for u in (True, False)
     ]
     scores = ln.pair_score(saved(reduce(lambda a, b: a.unionByName(b), grouped)), truth)  # all configurations at once
     part = lambda i: F.split("video_id", r"\|")[i]
@@ -438,8 +438,8 @@ def x16_clipped_similarity(spark, sf):
 def p2_link_profiles(spark, sf):
     """Link definitions as data: each profile links the same mentions."""
     m = _mentions(spark, sf)
-    paired, out = saved(ln.pairs(m)), None
+    out = None
     for name, profile in {"strict": ln.LinkProfile(), "loose": ln.LinkProfile("q90", mutual=False), "fixed": ln.LinkProfile(threshold=0.5)}.items():
-        one = ln.greedy_groups(m, ln.candidates(paired, profile)).withColumn("profile", F.lit(name))
+        one = ln.link(m, profile).withColumn("profile", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out

@@ -69,8 +69,10 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], num
         return
     try:
         old = spark.read.parquet(path).filter(F.col("part").isin(parts))
-    except AnalysisException:  # no table yet: the first micro-batch
-        old = None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None  # no table yet: the first micro-batch
     if old is None:
         both = fresh
     else:
