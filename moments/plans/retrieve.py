@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from moments.functions import text as tx
 from moments.functions import vectors as vx
 from moments.operators import search as se
-from moments.plans.registry import query
+from moments.operators.index import TextIndex, VectorIndex
+from moments.plans.registry import ORACLES, query
 from moments.plans.views import sql, table, units
 
 STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -295,3 +296,28 @@ def w11_dense_and_text_ranks(spark, sf):
     a = _dense(spark, sf).select("q", "chunk_id", F.col("dense_rank").alias("rank"), F.lit("dense").alias("half"))
     b = se.lexical_top(units(spark, sf), _queries(spark, sf), se.depth(LIMIT))
     return a.unionByName(b.select("q", "chunk_id", F.col("text_rank").alias("rank"), F.lit("text").alias("half")))
+
+
+@query(ORACLES["k2_lexical_top"])
+def k2_kept_index(spark, sf):
+    """The best units from an inverted index that skips blocks by their bounds."""
+    return TextIndex.build(units(spark, sf).select(*se.KEY, "content")).top(_queries(spark, sf), se.depth(LIMIT))[0]
+
+
+@query(ORACLES["k2_lexical_top"])
+def r8_kept_index_upsert(spark, sf):
+    """An index of an older corpus, kept up: some units had another text, some were missing, some are gone since."""
+    now = units(spark, sf).select(*se.KEY, "content")
+    turn = F.col("chunk_id") % 10
+    old = now.filter(turn != 1).withColumn("content", F.when(turn == 0, F.concat(F.lit("once there was more of it "), "content")).otherwise(F.col("content")))
+    dropped = now.filter(turn == 2).withColumn("chunk_id", -F.col("chunk_id") - 1)
+    index = TextIndex.build(old.unionByName(dropped))
+    index.upsert(now.filter(turn <= 1), dropped)
+    return index.top(_queries(spark, sf), se.depth(LIMIT))[0]
+
+
+@query(ORACLES["k1_dense_top"])
+def k1_vector_index(spark, sf):
+    """The nearest vectors from cells around pivots, skipped where the triangle inequality allows."""
+    found = VectorIndex.build(_vectors(spark, sf)).top(_queries(spark, sf).select("q", "vector"), se.depth(LIMIT))[0]
+    return found.select("q", *se.KEY, "sim", "dense_rank")
