@@ -27,4 +27,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from moments.plans import answers, grid, link, retrieve, speech, storage, summaries, thin  # noqa: E402, F401
+from moments.plans import answers, documents, grid, link, retrieve, speech, storage, summaries, thin  # noqa: E402, F401
