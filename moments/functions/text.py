@@ -29,7 +29,7 @@ def fingerprint(text: Column, digits: int = 16) -> Column:
 
 
 def _rendered(value: Column, kind: str) -> Column:
-    """Null for blank values; kind is string, number, boolean, strings (array) or structs (array of sorted fields)."""
+    """Null for blank values; kind is string, number, boolean or strings (array); entries are rendered by ``operators.answers``."""
     if kind == "string":
         return F.nullif(F.trim(value), F.lit(""))
     if kind == "number":
@@ -134,3 +134,44 @@ def pieces(text: Column, limit: int) -> Column:
         lambda a: F.concat(a.out, F.array(a.now)),
     )
     return F.filter(packed, lambda p: p != "")
+
+
+#: Words for colours and for garments.
+COLOURS = """
+black white grey gray dark light navy blue red maroon burgundy pink green olive khaki tan beige cream brown yellow orange purple
+""".split()
+GARMENTS = """
+jacket coat top shirt sweater hoodie hooded cardigan puffer vest trousers pants jeans leggings skirt dress shorts shoes trainers sneakers
+boots cap beanie hat scarf bag backpack
+""".split()
+
+
+def colour_garments(text: Column) -> Column:
+    """What a description says is worn: each garment with the colours among the three words before it, or alone where none is."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+
+    def worn(words):
+        def of(word, i):
+            start = F.greatest(i - 2, F.lit(1)).cast("int")
+            near = F.filter(F.slice(words, start, i + 1 - start), lambda c: c.isin(COLOURS))
+            pairs = F.transform(near, lambda c: F.concat(c, F.lit(" "), word))
+            alone = F.when(F.size(near) == 0, F.array(word)).otherwise(pairs)
+            return F.when(word.isin(GARMENTS), alone).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.flatten(F.transform(words, of)))
+
+    return F.element_at(F.transform(F.array(found), worn), 1)
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Twice the shared share of two sets; two empty ones share nothing."""
+    both = F.size(a) + F.size(b)
+    return F.when(both > 0, 2 * F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
+
+
+def space_key(name: Column, model: Column, dims: Column, query: Column, document: Column) -> Column:
+    """The key of a vector space: ``name:model:dims``, and a digest of the prefixes where they are not the model's own."""
+    own = (query == prefixes(model, 0)) & (document == prefixes(model, 1))
+    digest = F.left(F.sha1(F.concat(query, F.lit("\0"), document)), F.lit(6))
+    key = F.concat_ws(":", name, model, dims.cast("string"))
+    return F.when(own, key).otherwise(F.concat(key, F.lit(":p"), digest))

@@ -199,3 +199,16 @@ def co_presence(present: DataFrame, top: int = 50) -> DataFrame:
     pairs = a.join(b, ["video_id", "chunk_id"]).filter("a < b").groupBy("video_id", "a", "b").agg(F.count(F.lit(1)).alias("count"))
     place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("count"), "a", "b"))
     return pairs.withColumn("place", place).filter(F.col("place") <= top)
+
+
+def per_chunk(people: DataFrame) -> DataFrame:
+    """(video_id, chunk_id, people): how many different people each chunk shows."""
+    return people.select("video_id", "chunk_id", "entity").distinct().groupBy("video_id", "chunk_id").agg(F.count(F.lit(1)).alias("people"))
+
+
+def described(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(video_id, sampler_id, chunks, share): in how many chunks of the grid each sampler has an answer."""
+    all_ = chunks.groupBy("video_id").agg(F.count(F.lit(1)).alias("all"))
+    met = answers.select("video_id", "sampler_id", "chunk_id").distinct().join(chunks.select("video_id", "chunk_id"), ["video_id", "chunk_id"], "left_semi")
+    n = met.groupBy("video_id", "sampler_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return n.join(all_, "video_id").select("video_id", "sampler_id", "chunks", F.round(F.col("chunks") / F.col("all"), 4).alias("share"))

@@ -443,3 +443,15 @@ def p2_link_profiles(spark, sf):
         one = ln.link(m, profile).withColumn("profile", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_WORN = """CASE k % 4 WHEN 0 THEN 'a dark blue jacket and plain old jeans' WHEN 1 THEN 'red hat, brown  leather BOOTS' WHEN 2 THEN 'blue jacket over a white shirt' ELSE 'nothing known' END"""
+
+
+@query(f"""WITH w AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN ['dark jacket', 'blue jacket', 'jeans'] WHEN 1 THEN ['red hat', 'brown boots'] WHEN 2 THEN ['blue jacket', 'white shirt'] ELSE [] END AS worn FROM part)
+  SELECT a.k, a.worn, CASE WHEN len(a.worn) + len(b.worn) > 0 THEN 2 * len(list_intersect(a.worn, b.worn)) / (len(a.worn) + len(b.worn))::DOUBLE ELSE 0 END AS dice FROM w a JOIN w b ON b.k = a.k + 2""")
+def x25_garment_dice(spark, sf):
+    """What each describes as worn, with the next but one."""
+    a = table(spark, sf, "part").select(F.col("p_partkey").alias("k")).select("k", tx.colour_garments(F.expr(_WORN)).alias("worn"))
+    b = a.select((F.col("k") - 2).alias("k"), F.col("worn").alias("other"))
+    return a.join(b, "k").select("k", "worn", tx.dice(F.col("worn"), F.col("other")).alias("dice"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from moments.functions import text as tx
 from moments.functions import vectors as vx
 from moments.operators import search as se
-from moments.operators.index import TextIndex, VectorIndex
+from moments.operators.index import TextIndex, VectorIndex, hashed_terms
 from moments.plans.registry import ORACLES, query
 from moments.plans.views import sql, table, units
 
@@ -321,3 +321,19 @@ def k1_vector_index(spark, sf):
     """The nearest vectors from cells around pivots, skipped where the triangle inequality allows."""
     found = VectorIndex.build(_vectors(spark, sf)).top(_queries(spark, sf).select("q", "vector"), se.depth(LIMIT))[0]
     return found.select("q", *se.KEY, "sim", "dense_rank")
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform({TOK('text')}, lambda x: ('0x' || left(sha256(x), 8))::BIGINT & 2147483647)) AS term FROM documents) GROUP BY ALL")
+def x24_hashed_terms(spark, sf):
+    """Terms by 31-bit id."""
+    return hashed_terms(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("SELECT source AS video_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, doc_id AS chunk_id, lang AS sampler_id, length(text) AS length, left(sha256(text), 16) AS text_hash FROM documents")
+def a20_index_rows(spark, sf):
+    """An index dump as rows: the units of each video in order, with length and hash."""
+    from pyspark.sql import Window as W
+
+    u = units(spark, sf)
+    place = F.row_number().over(W.partitionBy("video_id").orderBy("chunk_id", "sampler_id"))
+    return u.select("video_id", place.cast("long").alias("place"), "chunk_id", "sampler_id", F.length("content").cast("long").alias("length"), tx.fingerprint(F.col("content")).alias("text_hash"))

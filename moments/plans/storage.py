@@ -531,3 +531,13 @@ def u1_union_of_units(spark, sf):
 def x23_version_hash(spark, sf):
     c = table(spark, sf, "customer")
     return c.select("c_custkey", tx.fingerprint(F.concat_ws("/", "c_name", "c_mktsegment"), 12).alias("version"))
+
+
+@query("""SELECT p_partkey, 'text:' || m || ':' || p_size || CASE WHEN (q, d) = (CASE WHEN m LIKE '%e5-%' THEN 'query: ' ELSE '' END, CASE WHEN m LIKE '%e5-%' THEN 'passage: ' ELSE '' END) THEN '' ELSE ':p' || left(sha1(q || chr(0) || d), 6) END AS space
+  FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'multilingual-e5-small' ELSE 'plain' END AS m, CASE WHEN p_partkey % 3 = 0 THEN 'query: ' ELSE '' END AS q, CASE WHEN p_partkey % 3 = 0 THEN 'passage: ' ELSE '' END AS d FROM part)""")
+def x18_space_keys(spark, sf):
+    """The key of an embedding space has a suffix where its prefixes are not the model's own."""
+    k = F.col("p_partkey")
+    model = F.when(k % 2 == 0, "multilingual-e5-small").otherwise("plain")
+    said = lambda text: F.when(k % 3 == 0, text).otherwise("")
+    return table(spark, sf, "part").select("p_partkey", tx.space_key(F.lit("text"), model, F.col("p_size"), said("query: "), said("passage: ")).alias("space"))

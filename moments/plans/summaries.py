@@ -239,3 +239,24 @@ def p1_custom_items(spark, sf):
     """Items as data: each cites one chunk and carries a field."""
     rows = frames(spark, sf).select("video_id", F.col("idx").alias("item"), (F.col("idx") % 40).alias("chunk_id"), F.col("sampler_id").alias("what"))
     return st.apply_definition({"kind": "items", "fields": ["what"]}, rows, _grid(spark, sf))
+
+
+@query(sql(" SELECT video_id, chunk_id, count(DISTINCT entity) AS people FROM seen GROUP BY ALL", GRID, PLACED, SEEN))
+def a18_people_per_chunk(spark, sf):
+    return st.per_chunk(_seen(spark, sf))
+
+
+@query(sql(""" SELECT video_id, sampler_id, n AS chunks, round(n / alln, 4) AS share FROM (SELECT video_id, sampler_id, count(DISTINCT chunk_id) AS n FROM placed GROUP BY ALL)
+  JOIN (SELECT video_id, count(*)::DOUBLE AS alln FROM chunks GROUP BY 1) USING (video_id)""", GRID, PLACED))
+def a1_described_per_sampler(spark, sf):
+    from moments.operators import grid as g
+
+    chunks = _grid(spark, sf)
+    return st.described(g.point_join(frames(spark, sf), chunks, "media_ts", DAY), chunks)
+
+
+@query(sql(""" SELECT video_id, "window", count(*) AS items, min(media_ts) AS first_ts, max(media_ts) AS last_ts FROM (SELECT video_id, media_ts, (row_number() OVER (PARTITION BY video_id ORDER BY media_ts, idx) - 1) // 100 AS "window" FROM frames) GROUP BY ALL"""))
+def a8_item_windows(spark, sf):
+    """Items are found in windows of a hundred; each window's number, size and span."""
+    cut = st.batched(frames(spark, sf), ["video_id"], ["media_ts", "idx"], 100)
+    return cut.groupBy("video_id", F.col("batch").alias("window")).agg(F.count(F.lit(1)).alias("items"), F.min("media_ts").alias("first_ts"), F.max("media_ts").alias("last_ts"))
