@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from moments.functions import vectors as vx
 from moments.operators import grid as g
 from moments.operators import sampling as sp
+from moments.operators import scan as sc
 from moments.operators import thin as th
 from moments.plans.grid import PLACED, _grid
 from moments.plans.registry import ORACLES, query
@@ -319,3 +320,21 @@ def t7_ingest_stream(spark, sf):
     place = lambda x: g.nearest_join(x, chunks, "media_ts", DAY)
     kept = _streamed(seen, rules, _index_time(), "1000 seconds", by=("video_id",), rate=RATE, place=place)
     return kept.withColumn("media_ts", F.round("media_ts", 3)).withColumn("score", F.coalesce(F.round("score", 4), F.lit(-1.0)))
+
+
+@query(ORACLES["t1_decimate"])
+def t1_decimate_by_ranges(spark, sf):
+    """A video of any size: buckets before a frame come from its range and from the ranges before."""
+    return sc.decimated(_late(frames(spark, sf)), RATE).select("video_id", "idx", "bucket")
+
+
+@query(sql(""" SELECT video_id, idx, (row_number() OVER (PARTITION BY video_id ORDER BY media_ts, idx) - 1) // 25 AS batch FROM frames"""))
+def w15_batches_by_ranges(spark, sf):
+    return sc.batched(frames(spark, sf), ["video_id"], ["media_ts", "idx"], 25).select("video_id", "idx", "batch")
+
+
+@query("""SELECT l_returnflag AS flag, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS median, quantile_cont(l_extendedprice, 0.9) AS q90 FROM lineitem GROUP BY 1""")
+def a1_order_statistics_by_ranges(spark, sf):
+    """Upper medians and quantiles of groups that no array holds."""
+    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"))
+    return sc.upper_median(li, ["flag"], "price").join(sc.quantile(li, ["flag"], "price", 0.9).withColumnRenamed("quantile", "q90"), "flag")
