@@ -222,10 +222,9 @@ def _compare_small(rows: DataFrame, rules: NearRules) -> DataFrame:
 
 
 def _near_pivot(large: DataFrame, rules: NearRules) -> DataFrame:
-    """(path, node, least, near) of large buckets: whether a node looks like the least one. A large group of near copies is found
-    at once, and not only by what is left of it after more splits."""
+    """(path, node, least, near) of large buckets, whose rows carry the signature of the least node as pivot: whether a node looks like it.
+    A large group of near copies is found at once, and not only by what is left of it after more splits."""
     bar, t = (rules.similarity - rules.slack) * rules.coordinates, rules.coordinates
-    pivots = save(large.filter("node = least").select("path", F.col("signature").alias("pivot")).dropDuplicates(["path"]))
 
     def scan(batches):
         for batch in batches:
@@ -233,8 +232,7 @@ def _near_pivot(large: DataFrame, rules: NearRules) -> DataFrame:
             near = pa.array((a == b).sum(axis=1) >= bar)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("path", "node", "least")), near], names=["path", "node", "least", "near"])
 
-    met = large.join(pivots, "path").select("path", "node", "least", "signature", "pivot")
-    return met.mapInArrow(scan, "path long, node long, least long, near boolean")
+    return large.select("path", "node", "least", "signature", "pivot").mapInArrow(scan, "path long, node long, least long, near boolean")
 
 
 def candidate_edges(reps: DataFrame, rules: NearRules) -> DataFrame:
@@ -244,10 +242,13 @@ def candidate_edges(reps: DataFrame, rules: NearRules) -> DataFrame:
     out = None
     for level in range(1, rules.depth + 1):
         sizes = save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"))
-        met = rows.join(sizes.hint("merge"), "path")
+        # the pivot of a large bucket comes with its size, so rows meet their bucket once
+        pivots = sizes.filter(F.col("n") > rules.small).join(signatures.select(F.col("node").alias("least"), F.col("signature").alias("pivot")), "least")
+        small = sizes.filter(F.col("n") <= rules.small).withColumn("pivot", F.lit(None).cast("binary"))
+        met = rows.join(save(small.unionByName(pivots)).hint("merge"), "path")
         if level == 1:  # most paths lead to one node; only the others need signatures
             met = save(met.join(signatures.hint("merge"), "node"))
-        edges = _compare_small(met.filter(F.col("n") <= rules.small).drop("n", "least"), rules)
+        edges = _compare_small(met.filter(F.col("n") <= rules.small).drop("n", "least", "pivot"), rules)
         out = edges if out is None else out.unionByName(edges)
         large = save(met.filter(F.col("n") > rules.small))
         if large.isEmpty():
