@@ -91,6 +91,8 @@ class WrapperRules:
     #: Pages of a host to a salt of the join with its references.
     salt_pages: int = 5000
     broadcast_bytes: int = 64_000_000
+    #: Whether what a page says of its parts (elements, names, main elements) counts beside alignment.
+    named: bool = True
 
 
 class Node:
@@ -124,8 +126,9 @@ def _outside(tag: str, attributes: str, main: bool) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
-    """A tree of elements and text nodes (tag "#"); raw elements and comments leave nothing."""
+def parse(page: str, named: bool = True) -> Node:
+    """A tree of elements and text nodes (tag "#"); raw elements and comments leave nothing. named: whether elements and their names
+    put parts outside the article."""
     root = Node("#root")
     open_, at, n = [root], 0, len(page)
     count: dict[str, int] = {}
@@ -160,7 +163,8 @@ def parse(page: str) -> Node:
             if open_[i].tag in ("ul", "ol", "table", "dl", "div", "article", "section", "body"):
                 break
         inside = open_[-1].main
-        node = Node(tag, open_[-1].out or _outside(tag, m[3], inside), inside or tag in ("article", "main"))
+        out = named and (open_[-1].out or _outside(tag, m[3], inside))
+        node = Node(tag, out, named and (inside or tag in ("article", "main")))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I).search(page, at)
             at = end.end() if end else n
@@ -279,13 +283,13 @@ class Matcher:
         return found
 
 
-def pieces(root: Node, found: dict[int, Node], numbers: dict[int, int]):
+def pieces(root: Node, found: dict[int, Node], numbers: dict[int, int], named: bool = True):
     """The candidate text in page order, (block, number of the aligned reference node or -1, text), and whether it comes from
     article or main elements."""
     mains, stack = [], [root]
     while stack:
         x = stack.pop()
-        if x.tag in ("article", "main") and not x.out:
+        if x.main and not x.out:
             mains.append(x)
         else:
             stack.extend(reversed(x.kids))
@@ -300,7 +304,7 @@ def pieces(root: Node, found: dict[int, Node], numbers: dict[int, int]):
                 if not x.out and x.text:
                     to = found.get(id(x))
                     out.append((block, -1 if to is None else numbers[id(to)], squeezed(x.text)))
-            elif not x.out and (x.main or x.tag != "header"):
+            elif not x.out and (x.main or not named or x.tag != "header"):
                 if x.tag in BLOCKS:
                     block += 1
                     todo.append((x, False))
@@ -371,16 +375,16 @@ def aligned(pages: DataFrame, rules: WrapperRules) -> DataFrame:
                 if len(matcher.tags) > 500_000:  # shapes and references are made anew
                     known, matcher = {}, Matcher()
                 if host not in known:
-                    made = [matcher.shape(parse(x)) for x in trees or ()]
+                    made = [matcher.shape(parse(x, rules.named)) for x in trees or ()]
                     known[host] = [(t, {id(x): i for i, x in enumerate(_in_order(t))}) for t in made]
-                root = matcher.shape(parse(page or ""))
+                root = matcher.shape(parse(page or "", rules.named))
                 at = -1
                 if known[host]:
                     at = layouts.index(layout) if layout in layouts else max(
                         range(len(known[host])), key=lambda i: (matcher.score(root.shape, known[host][i][0].shape), -i)
                     )
                 tree, numbers = known[host][at] if at >= 0 else (None, {})
-                found, main = pieces(root, matcher.match(root, tree) if tree else {}, numbers)
+                found, main = pieces(root, matcher.match(root, tree) if tree else {}, numbers, rules.named)
                 said = [(b, n, zlib.crc32(t.strip().encode("utf-8", "replace")) & 0x7FFFFFFF, t) for b, n, t in found]
                 long = sorted({h for _, _, h, t in said if len(t) >= 40}) or [h for _, _, h, _ in said]
                 articles.append(zlib.crc32(np.array(long, "int64").tobytes()))
@@ -411,7 +415,7 @@ def template(found: DataFrame, rules: WrapperRules) -> DataFrame:
 
 
 def main_text(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> DataFrame:
-    """(page_id, url, text), one row for each row of pages."""
+    """(page_id, url, text, n_aligned), one row for each row of pages; n_aligned: characters that only alignment took from its text."""
     found = save(aligned(pages, rules))
     constant = save(template(found, rules))
     few = (constant.agg(F.sum(F.size("nodes") * 8 + 64).alias("n")).first()["n"] or 0) <= rules.broadcast_bytes
@@ -426,4 +430,5 @@ def main_text(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> DataFra
     apart = lambda p, i: F.when((i > 0) & (F.get("kept", i - 1).b != p.b), F.lit("\n")).otherwise(F.lit(""))
     whole = F.array_join(F.transform("kept", lambda p, i: F.concat(apart(p, i), p.t)), "")
     tidy = F.transform(F.split(whole, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
-    return kept.select("page_id", "url", F.array_join(F.filter(tidy, lambda x: x != ""), "\n").alias("text"))
+    gone = length("pieces") - length("kept")
+    return kept.select("page_id", "url", F.array_join(F.filter(tidy, lambda x: x != ""), "\n").alias("text"), gone.alias("n_aligned"))

@@ -98,3 +98,14 @@ def test_hosts_with_known_articles(spark):
     few = wrapper.WrapperRules(broadcast_bytes=1, salt_pages=3)  # every join by shuffle, the large host under salts
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in wrapper.main_text(df, few).collect()} == expected
+
+
+def test_alignment_alone_takes_what_is_constant(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    page = lambda body: f"<html><body><nav><a>Home</a><a>News</a></nav><div><p>Sign up to our letter today</p></div><article><p>{body}</p><p>All rights are kept</p></article></body></html>"
+    bodies = [" ".join(word() for _ in range(60)) for _ in range(8)]
+    df = spark.createDataFrame([(i, f"https://one.example/{i}", page(b)) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in wrapper.main_text(df, wrapper.WrapperRules(named=False)).collect()}
+    assert [rows[i].text for i in range(8)] == bodies and all(r.n_aligned > 40 for r in rows.values())
+    assert [r.text for r in wrapper.main_text(df).orderBy("page_id").collect()] == bodies
