@@ -109,3 +109,16 @@ def test_alignment_alone_takes_what_is_constant(spark):
     rows = {r.page_id: r for r in wrapper.main_text(df, wrapper.WrapperRules(named=False)).collect()}
     assert [rows[i].text for i in range(8)] == bodies and all(r.n_aligned > 40 for r in rows.values())
     assert [r.text for r in wrapper.main_text(df).orderBy("page_id").collect()] == bodies
+
+
+def test_odd_pages(spark):
+    """Nulls in every column, repeated rows, an empty table, and columns named like the operator's own."""
+    page = "<body><article><p>Some text</p></article></body>"
+    rows = [(1, "http://a.example/", page), (1, "http://a.example/", page), (2, None, page), (3, "http://a.example/x", None), (4, "not a url", ""), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = [(None, None, ""), (1, "http://a.example/", "Some text"), (1, "http://a.example/", "Some text"), (2, None, "Some text"), (3, "http://a.example/x", ""), (4, "not a url", "")]
+    order = lambda out: sorted(((r.page_id, r.url, r.text) for r in out.collect()), key=str)
+    assert order(wrapper.main_text(df)) == sorted(want, key=str)
+    assert wrapper.main_text(df.limit(0)).collect() == []
+    clash = df.selectExpr("*", "'x' AS host", "1 AS layout", "2 AS pieces", "3 AS text", "4 AS ref", "5 AS nodes", "6 AS n_aligned")
+    assert order(wrapper.main_text(clash)) == sorted(want, key=str)
