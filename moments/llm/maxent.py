@@ -299,8 +299,19 @@ class Maxent:
         return out.ravel()
 
 
+def _mean_gradient(batches):
+    """The sum of all rows (g, mass) a token, in an order that does not depend on how they come; no row where no token is."""
+    rows = sorted((m, g) for b in batches for m, g in zip(b.column("mass").to_pylist(), b.column("g").to_pylist()))
+    if mass := sum(m for m, _ in rows):
+        flat = np.zeros(len(rows[0][1]) // 4)
+        for _, g in rows:
+            flat += np.frombuffer(g, "float32")
+        yield _rows(["g", "mass"], pa.array([(flat / mass).astype("float32").tobytes()], pa.binary()), pa.array([mass]))
+
+
 def train(tables: DataFrame, rules: MaxentRules) -> Maxent:
-    """Gradient rounds with AdaGrad steps; a task sends one row of summed gradients a round."""
+    """Gradient rounds with AdaGrad steps; at most 8 tasks sum the gradients of their histories, one more adds the sums, and the driver gets
+    one row of the model's size a round."""
     model, r = Maxent(rules), rules
     squares = [np.zeros(w.shape) for w in model.weights]
     parts = tables.coalesce(8)  # read in as many parts as were written, at most 8
@@ -327,12 +338,12 @@ def train(tables: DataFrame, rules: MaxentRules) -> Maxent:
             flat = np.concatenate([g.ravel() for g in grads]).astype("float32")
             yield _rows(["g", "mass"], pa.array([flat.tobytes()], pa.binary()), pa.array([mass]))
 
-        rows = parts.mapInArrow(part, "g binary, mass double").collect()  # at most 8 rows of the model's size
+        sums = parts.mapInArrow(part, "g binary, mass double").repartition(1)  # at most 8 rows of the model's size
+        found = sums.mapInArrow(_mean_gradient, "g binary, mass double").first()
         now.destroy()
-        mass = sum(x["mass"] for x in rows)
-        if not mass:
+        if found is None:
             break
-        flat = sum(np.frombuffer(x["g"], "float32").astype("float64") for x in sorted(rows, key=lambda x: (x["mass"], x["g"]))) / mass
+        mass, flat = found["mass"], np.frombuffer(found["g"], "float32").astype("float64")
         at = 0
         for w, s in zip(model.weights, squares):
             g = flat[at : at + w.size].reshape(w.shape) - rules.prior * w / mass
