@@ -26,6 +26,7 @@ gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -236,10 +237,10 @@ def _near_pivot(large: DataFrame, rules: NearRules) -> DataFrame:
 
 
 def candidate_edges(reps: DataFrame, rules: NearRules) -> DataFrame:
-    """reps: (node, signature, paths), one row a node."""
-    rows = save(reps.select(F.explode("paths").alias("path"), "node"))
-    signatures = save(reps.select("node", "signature"))
-    out = None
+    """reps: (node, signature, paths), one row a node. Edges may come twice."""
+    reps = save(reps)
+    rows, signatures = reps.select(F.explode("paths").alias("path"), "node"), reps.select("node", "signature")
+    small_buckets, stars = [], []
     for level in range(1, rules.depth + 1):
         sizes = save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"))
         # the pivot of a large bucket comes with its size, so rows meet their bucket once
@@ -247,42 +248,50 @@ def candidate_edges(reps: DataFrame, rules: NearRules) -> DataFrame:
         small = sizes.filter(F.col("n") <= rules.small).withColumn("pivot", F.lit(None).cast("binary"))
         met = rows.join(save(small.unionByName(pivots)).hint("merge"), "path")
         if level == 1:  # most paths lead to one node; only the others need signatures
-            met = save(met.join(signatures.hint("merge"), "node"))
-        edges = _compare_small(met.filter(F.col("n") <= rules.small).drop("n", "least", "pivot"), rules)
-        out = edges if out is None else out.unionByName(edges)
-        large = save(met.filter(F.col("n") > rules.small))
-        if large.isEmpty():
-            break
+            met = save(met).join(signatures.hint("merge"), "node")
+        met = save(met)
+        small_buckets.append(met.filter(F.col("n") <= rules.small).select("path", "node", "signature"))
+        large = met.filter(F.col("n") > rules.small)
         marked = save(_near_pivot(large, rules))
-        out = out.unionByName(marked.filter("near and node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")))
+        if marked.isEmpty():
+            break
+        stars.append(marked.filter("near and node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")))
         # a bucket whose nodes all look like its least one is one group already: splits would find no other pair of it
         large = save(large.join(marked.filter("not near").select("path").distinct(), "path", "left_semi"))
         if large.isEmpty():
             break
         if level == rules.depth:
-            star = large.select(F.col("node").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
-            return save(out.unionByName(star).distinct())
-        rows = save(_split(large.select("path", "node", "signature"), level, rules))
-    return save(out.distinct())
+            stars.append(large.select(F.col("node").alias("src"), F.col("least").alias("dst")).filter("src <> dst"))
+        else:
+            rows = save(_split(large.select("path", "node", "signature"), level, rules))
+    # a path is one level's, so the small buckets of all levels are compared in one pass
+    return reduce(DataFrame.unionByName, [_compare_small(reduce(DataFrame.unionByName, small_buckets), rules), *stars])
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node of the distinct edges points to one other, which points to none."""
+    ends = edges.select(F.col("src").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("dst").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    sides = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return not sides.agg(F.count_if(F.expr("up > 1 or (up > 0 and down > 0)"))).first()[0]
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, label): the least node of each component, by alternating large-star and small-star steps, until a step changes
-    nothing. The steps grow with the logarithm of the nodes; raises if ``most`` are not enough."""
-    now = save(edges.filter("src <> dst").select("src", "dst").distinct())
-    mark = None
+    """(node, label): the least node of each component, by alternating large-star and small-star steps, until only stars are
+    left. The steps grow with the logarithm of the nodes; raises if ``most`` are not enough."""
+    # towards the less node: centres of stars are then the least of theirs
+    now = save(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     for _ in range(most):
-        last, before = now, mark
+        if _all_stars(now):
+            break
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = save(both.join(save(least), "src").filter("dst > src and dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
+        large = save(both.join(least, "src").filter("dst > src and dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        least = save(down.groupBy("src").agg(F.min("dst").alias("m")))
+        least = down.groupBy("src").agg(F.min("dst").alias("m"))
         small = down.join(least, "src").select(F.explode(F.array("src", "dst")).alias("x"), "m").filter("x <> m")
         now = save(small.select(F.col("x").alias("src"), F.col("m").alias("dst")).distinct())
-        mark = now.count()
-        if mark == before and now.join(last, ["src", "dst"], "left_anti").isEmpty():
-            break
     else:
         raise RuntimeError(f"components not found in {most} steps")
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("label")).distinct()
