@@ -92,4 +92,4 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_column_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), words=repeats.WORDS)

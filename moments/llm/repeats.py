@@ -19,6 +19,10 @@ Spark's external sort: the segments of a part come as a sequential file, and a t
 
 Heavy keys of the joins are at most 10,000 (each holds a ten thousandth of all anchors or more) and are joined by broadcast.
 
+With ``words`` given, the same order of work also tells the words of every string of that many words that starts elsewhere: passages of
+50 words can be shorter than ``LENGTH`` bytes. Symbols are then words (64 bits of hash), anchors the least hash of ``WORD_GRAM`` words, and the
+segments of a part, again Spark's sorted rows, bring 128 bits of hash of each string, which a task sorts. It removes nothing.
+
 Defined results: null and empty texts have no bytes; texts of under ``LENGTH`` bytes lose nothing; repeated rows and equal texts lose
 everything if they are long enough; a run of one byte is its own repeat; overlapping matches count, also inside one text; the kept bytes may cut a character;
 empty tables give no rows; other columns are not read.
@@ -31,21 +35,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moments.llm.common import save
+from moments.llm.common import SPACE, save
 
 LENGTH = 400
 GRAM = 128
 #: Strings of a block of bytes that are hashed at once: bounds the memory, whatever the length of a text.
 BLOCK = 1 << 19
+#: The words of a string, and of an anchor's gram, where passages are told by words.
+WORDS = 50
+WORD_GRAM = 10
 CHUNK = 8_192
 WIDE = 4_096
 #: Segments or rows that a Python worker makes at once.
 FEW = 1_000
-ANCHORS = "array<struct<h:long,s:long,x:int,lo:int,hi:int>>"
+ANCHORS = "array<struct<h:long,s:long,x:int,lo:int,hi:int,words:boolean>>"
+SPANS = "array<struct<lo:int,hi:int>>"
 _U = np.uint64
+_SPACE = np.isin(np.arange(256), list(SPACE.encode()))
 
 
 def _tables(seed: int) -> tuple[np.ndarray, int]:
@@ -63,7 +73,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any substring of a block from running sums, modulo 2^64, and mixed."""
+    """Hashes of any substring of a block of bytes, or of words' hashes, from running sums, modulo 2^64, and mixed."""
 
     def __init__(self, seed: int, most: int):
         self.codes, base = _tables(seed)
@@ -71,7 +81,7 @@ class Rolling:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.codes[data] * self.down[: len(data)], out=out[1:])
+        np.cumsum((self.codes[data] if data.dtype == "uint8" else data) * self.down[: len(data)], out=out[1:])
         return out
 
     def at(self, sums: np.ndarray, start, stop) -> np.ndarray:
@@ -104,6 +114,24 @@ def _bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts side by side, and where the words of each begin. A word ends at its text's end too."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    starts = np.flatnonzero(inside[1:] & (cut | ~inside[:-1]))
+    stops = np.flatnonzero(inside[:-1] & (cut | ~inside[1:]))
+    out = np.zeros(len(starts), _U)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK)), len(starts)))
+    if len(starts):
+        rolling = Rolling(5, int((stops[edges[1:] - 1] - starts[edges[:-1]]).max()))
+    for i, j in zip(edges[:-1], edges[1:]):
+        b = starts[i]
+        out[i:j] = rolling.at(rolling.sums(data[b : stops[j - 1]]), starts[i:j] - b, stops[i:j] - b)
+    return out, np.searchsorted(starts, offsets)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, first: Rolling, second: Rolling, length: int, gram: int):
     """(text, h, s, x, lo, hi) of all segments: strings lo to hi of a text choose the anchor at x, whose gram hashes to h; s tells the
     segment's bytes."""
@@ -133,15 +161,24 @@ def segments(data: np.ndarray, offsets: np.ndarray, first: Rolling, second: Roll
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, "int64")] * 6
 
 
-def _anchored(length: int, gram: int):
+def _anchored(length: int, gram: int, words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = Rolling(1, BLOCK + length), Rolling(2, BLOCK + length)
-        for batch in batches:
+        most = BLOCK + max(length, words or 0)
+        first, second = Rolling(1, most), Rolling(2, most)
+        for batch in (b.slice(k, FEW) for b in batches for k in range(0, b.num_rows, FEW)):
             data, offsets = _bytes_of(batch.column("text"))
-            text, h, s, *places = segments(data, offsets, first, second, length, gram)
+            found = [*segments(data, offsets, first, second, length, gram)]
+            kind = np.zeros(len(found[0]), bool)
+            if words:
+                more = segments(*word_hashes(data, offsets), first, second, words, min(words, WORD_GRAM))
+                kind = np.concatenate([kind, np.ones(len(more[0]), bool)])
+                found = [np.concatenate(c) for c in zip(found, more)]
+                order = np.argsort(found[0], kind="stable")
+                found, kind = [c[order] for c in found], kind[order]
+            text, h, s, *places = found
             bounds = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype("int32")
             inner = pa.StructArray.from_arrays(
-                [pa.array(h), pa.array(s), *[pa.array(p.astype("int32")) for p in places]], names=["h", "s", "x", "lo", "hi"]
+                [pa.array(h), pa.array(s), *[pa.array(p.astype("int32")) for p in places], pa.array(kind)], names=["h", "s", "x", "lo", "hi", "words"]
             )
             keep = [i for i, name in enumerate(batch.schema.names) if name != "text"]
             yield pa.RecordBatch.from_arrays(
@@ -270,6 +307,80 @@ def _sorted_columns(length: int):
     return run
 
 
+def _cut_words(wide: bool, words: int):
+    """Rows (h, row, lo, body) of the segments of words that need to be compared; body: 128 bits of hash of each of their strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [Rolling(seed, BLOCK + words) for seed in (3, 4)]
+        for batch in (b.slice(k, FEW) for b in batches for k in range(0, b.num_rows, FEW)):
+            hashes, offsets = word_hashes(*_bytes_of(batch.column("text")))
+            strings = np.zeros((max(0, len(hashes) - words + 1), 2), _U)
+            for b in range(0, len(strings), BLOCK):
+                block = hashes[b : b + BLOCK + words - 1]
+                at = np.arange(len(block) - words + 1)
+                for k, rolling in enumerate(both):
+                    strings[b : b + len(at), k] = rolling.at(rolling.sums(block), at, at + words)
+            sought = batch.column("sought")
+            text, found = pc.list_parent_indices(sought), sought.flatten()
+            chosen = pc.equal(found.field("wide"), wide)
+            text, h, lo, hi = (c.filter(chosen).to_numpy(zero_copy_only=False) for c in (text, *map(found.field, ("h", "lo", "hi"))))
+            n = hi.astype("int64") - lo + 1
+            ends = np.cumsum(n)
+            body = strings[np.repeat(offsets[text] + lo - (ends - n), n) + np.arange(n.sum())]
+            bounds = np.concatenate([[0], ends * 16]).astype("int32")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h), batch.column("row").take(pa.array(text)), pa.array(lo),
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(body))]),
+                ],
+                names=["h", "row", "lo", "body"],
+            )
+
+    return run
+
+
+def _placed(row: list[int], lo: list[int], body: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, segment, at) of all strings of segments."""
+    strings = np.frombuffer(b"".join(body), "int64").reshape(-1, 2)
+    n = np.array([len(x) // 16 for x in body], "int64")
+    return strings[:, 0], strings[:, 1], np.repeat(np.arange(len(n)), n), np.arange(len(strings)) + np.repeat(np.array(lo, "int64") - (np.cumsum(n) - n), n)
+
+
+def _sorted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, lo, hi): the strings of segments, sorted by anchor, that stand twice or more under their anchor."""
+    held, last = [], None
+
+    def flush():
+        row, lo, body = zip(*held)
+        a, b, segment, at = _placed(row, lo, body)
+        order = np.lexsort((b, a))
+        same = np.flatnonzero((a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1]))
+        hit = np.zeros(len(a), bool)
+        hit[order[same]] = hit[order[same + 1]] = True
+        joined = hit[1:] & hit[:-1] & (segment[1:] == segment[:-1])
+        first, final = np.flatnonzero(hit & ~np.concatenate([[False], joined])), np.flatnonzero(hit & ~np.concatenate([joined, [False]]))
+        columns = [np.array(row, "int64")[segment[first]], at[first].astype("int32"), at[final].astype("int32")]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["row", "lo", "hi"])
+
+    for batch in batches:
+        for h, *rest in zip(*[batch.column(c).to_pylist() for c in ("h", "row", "lo", "body")]):
+            if h != last and len(held) >= CHUNK:
+                yield flush()
+                held = []
+            last = h
+            held.append(rest)
+    if held:
+        yield flush()
+
+
+def _single_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, row, at), one for each string of a segment of words."""
+    for batch in batches:
+        row = batch.column("row").to_numpy()
+        a, b, segment, at = _placed(row, batch.column("lo").to_pylist(), batch.column("body").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(row[segment]), pa.array(at.astype("int32"))], names=["a", "b", "row", "at"])
+
+
 def _single_strings(length: int):
     """Rows (a, b, row, at): 128 bits of hash of each string of a segment."""
 
@@ -322,13 +433,23 @@ def _windows(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + (x.hi - x.lo + 1))
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs."""
+def _covered(spans: Column, words: int) -> Column:
+    """The words of all strings lo to hi."""
+    return F.aggregate(
+        F.array_sort(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+        lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.hi + words - F.greatest(a.end, x.lo))).alias("n"), F.greatest(a.end, x.hi + words).alias("end")),
+        lambda a: a.n,
+    )
+
+
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE, words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs; with words also n_passage_words, the words of strings of
+    so many words that start elsewhere too."""
     text = F.coalesce("text", F.lit(""))
     known = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"), text.cast("binary").alias("text"))
     rows = known.withColumn("row", F.monotonically_increasing_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = save(rows.mapInArrow(_anchored(length, gram), f"doc_id {kind}, n_bytes long, sha string, row long, anchors {ANCHORS}"))
+    table = save(rows.mapInArrow(_anchored(length, gram, words), f"doc_id {kind}, n_bytes long, sha string, row long, anchors {ANCHORS}"))
     all_ = table.filter(F.size("anchors") > 0).select("row", F.inline("anchors"))
     total = table.agg(F.sum(F.size("anchors"))).first()[0] or 0
     least = max(1000.0, total / 10_000)
@@ -337,36 +458,55 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int =
     shared = save(met(classes, anchors, ["h"], "d", least).filter("n > 1 OR d > 1").select("h", "s", "n", "d", "keeper"))
     place = F.struct("lo", "hi")
     need = F.struct("h", "x", "lo", "hi", (F.col("d") > wide).alias("wide"))
+    alone = (F.col("d") > 1) & ((F.col("n") == 1) | (F.col("row") == F.col("keeper")))
     marks = (
         met(all_, shared, ["h", "s"], "n", least)
         .groupBy("row")
         .agg(
-            F.collect_list(F.when(F.col("n") > 1, place)).alias("whole"),
-            F.collect_list(F.when((F.col("d") > 1) & ((F.col("n") == 1) | (F.col("row") == F.col("keeper"))), need)).alias("need"),
+            F.collect_list(F.when(~F.col("words") & (F.col("n") > 1), place)).alias("whole"),
+            F.collect_list(F.when(~F.col("words") & alone, need)).alias("need"),
+            F.collect_list(F.when(F.col("words") & (F.col("n") > 1), place)).alias("phrases"),
+            F.collect_list(F.when(F.col("words") & alone, F.struct("h", "lo", "hi", (F.col("d") > wide).alias("wide")))).alias("sought"),
         )
     )
-    marks = save(marks.join(table.select("row", "doc_id", "sha", "n_bytes"), "row").withColumn("full", _windows(F.col("whole")) == F.col("n_bytes") - (length - 1)))
-    asked = marks.filter(~F.col("full") | (F.size("need") > 0)).withColumnRenamed("doc_id", "id").drop("n_bytes")
+    marks = save(marks.join(table.select("row", "doc_id", "sha", "n_bytes"), "row").withColumn("full", (F.size("whole") > 0) & (_windows(F.col("whole")) == F.col("n_bytes") - (length - 1))))
+    partly = ~F.col("full") & ((F.size("whole") > 0) | (F.size("need") > 0))
+    asked = marks.filter(partly | (F.size("need") > 0) | (F.size("sought") > 0)).withColumnRenamed("doc_id", "id").drop("n_bytes", "phrases")
     bodies = save(
-        known.filter(F.col("n_bytes") >= length).select("doc_id", "sha", "text").join(asked, ["sha"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
-        .select("row", "text", "whole", "need", "full")
+        known.filter(F.col("n_bytes") >= min(length, 2 * (words or length) - 1)).select("doc_id", "sha", "text").join(asked, ["sha"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
+        .select("row", "text", "whole", "need", "sought", "full")
     )
     cut = "h long, row long, lo int, anchor int, body binary"
     by_columns = (
         bodies.mapInArrow(_cut(False, length), cut).repartition("h").sortWithinPartitions("h")
         .mapInArrow(_sorted_columns(length), "row long, lo int, hi int")
     )
-    hashed = bodies.filter(F.exists("need", lambda x: x.wide)).mapInArrow(_cut(True, length), cut).mapInArrow(_single_strings(length), "a long, b long, row long, at int")
-    often = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    one_by_one = met(hashed, often, ["a", "b"], "n", least * 100).select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    found = by_columns.unionByName(one_by_one).groupBy("row").agg(F.collect_list(place).alias("found"))
-    part = bodies.filter(~F.col("full")).select("row", "text", "whole").join(found, "row", "left")
+    string = "a long, b long, row long, at int"
+    hashed = bodies.filter(F.exists("need", lambda x: x.wide)).mapInArrow(_cut(True, length), cut).mapInArrow(_single_strings(length), string)
+    found = by_columns.unionByName(_often(hashed, least)).groupBy("row").agg(F.collect_list(place).alias("found"))
+    part = bodies.filter(partly).select("row", "text", "whole").join(found, "row", "left")
     part = part.mapInArrow(_kept(length), "row long, n_removed long, n_spans long, kept string")
     whole = marks.filter("full").select("row", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept"))
-    return (
+    out = (
         table.select("row", "doc_id", "n_bytes", "sha").join(part.unionByName(whole), "row", "left")
         .select(
-            "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+            "row", "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
             F.coalesce("kept", "sha").alias("kept_sha256"),
         )
     )
+    if words:
+        single = bodies.filter(F.size("sought") > 0).select("row", "text", "sought")
+        cut = "h long, row long, lo int, body binary"
+        sought = single.mapInArrow(_cut_words(False, words), cut).repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_words, "row long, lo int, hi int")
+        hashed = single.filter(F.exists("sought", lambda x: x.wide)).mapInArrow(_cut_words(True, words), cut).mapInArrow(_single_words, string)
+        found = sought.unionByName(_often(hashed, least)).groupBy("row").agg(F.collect_list(place).alias("found"))
+        told = marks.filter((F.size("phrases") > 0) | (F.size("sought") > 0)).select("row", "phrases").join(found, "row", "left")
+        told = told.select("row", _covered(F.concat("phrases", F.coalesce("found", F.array().cast(SPANS))), words).alias("n_passage_words"))
+        out = out.join(told, "row", "left").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0)))
+    return out.drop("row")
+
+
+def _often(hashed: DataFrame, least: float) -> DataFrame:
+    """(row, lo, hi) of the strings that occur twice or more."""
+    often = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return met(hashed, often, ["a", "b"], "n", least * 100).select("row", F.col("at").alias("lo"), F.col("at").alias("hi"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -96,3 +97,41 @@ def test_range_least():
     first = rnd.randint(0, 300, 900)
     last = np.minimum(299, first + rnd.randint(0, 300, 900))
     assert repeats.range_least(values, first, last).tolist() == [values[a : b + 1].min() for a, b in zip(first, last)]
+
+
+def expected_words(rows, words):
+    bodies = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    strings = [[tuple(b[i : i + words]) for i in range(len(b) - words + 1)] for b in bodies]
+    count = Counter(s for own in strings for s in own)
+    return [len({k for i, s in enumerate(own) if count[s] > 1 for k in range(i, i + words)}) for own in strings]
+
+
+def told(spark, rows, **options):
+    df = spark.createDataFrame([(*r, 5, "h", 1) for r in rows], KIND).repartition(5)
+    got = repeats.removed(df, **options).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == expected(rows, options.get("length", 400))
+    return sorted(((r.doc_id, r.n_passage_words) for r in got), key=str)
+
+
+def test_short_passages_of_many_words(spark):
+    rnd = random.Random(6)
+    words = lambda n: [prose(rnd, rnd.randint(2, 7)).replace(" ", "x") for _ in range(n)]
+    passage = words(53)
+    assert len(" ".join(passage).encode()) < 400
+    rows = [(i, " ".join(words(150) + passage * (i % 4 == 0) + words(90))) for i in range(40)]
+    rows += [(50, "\n".join(passage)), (51, "\t ".join(passage[1:51])), (52, " ".join(passage[:49])), (53, None), (54, " \n")]
+    assert told(spark, rows, words=repeats.WORDS) == sorted(((i, 53 if i % 4 == 0 or i == 50 else 50) if i in (50, 51) or i < 40 and i % 4 == 0 else (i, 0) for i, _ in rows), key=str)
+    rows += [(60, "b" * 399), (60, "b" * 399), (61, " ".join("abcd" for _ in range(80))), (62, " ".join("abcd" for _ in range(80))[:399]), (63, "w" * 3000 + " x" * 70)]
+    rows += [(64, rows[0][1]), (64, rows[0][1]), (None, " ".join(passage)), *corpus(rnd)]
+    want = sorted(zip([d for d, _ in rows], expected_words(rows, 50)), key=str)
+    assert told(spark, rows, words=50) == want == told(spark, rows, words=50, wide=2)
+
+
+def test_words_over_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 97), ("FEW", 3), ("CHUNK", 10)):
+        monkeypatch.setattr(repeats, name, value)
+    rnd = random.Random(7)
+    rows = [(i, "".join(rnd.choice(["a", "bc", "é", " ", "\n", "\x0b "]) for _ in range(rnd.randint(0, 300)))) for i in range(60)] + [(99, "a" * 300 + " bc")]
+    for words in (1, 4, 12):
+        want = sorted(zip([d for d, _ in rows], expected_words(rows, words)), key=str)
+        assert told(spark, rows, words=words, length=12, gram=4) == want == told(spark, rows, words=words, length=12, gram=4, wide=3)
