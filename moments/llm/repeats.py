@@ -175,6 +175,7 @@ def _anchored(length: int, gram: int, words: int | None):
                 found = [np.concatenate(c) for c in zip(found, more)]
                 order = np.argsort(found[0], kind="stable")
                 found, kind = [c[order] for c in found], kind[order]
+                found[3][kind] = 0  # the place of the anchor is read for bytes only
             text, h, s, *places = found
             bounds = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype("int32")
             inner = pa.StructArray.from_arrays(
