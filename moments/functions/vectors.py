@@ -29,6 +29,15 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x / n)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places as SQL engines do it on doubles: the nearest of x times a power of ten, halves away from zero, with the sign
+    of x, so a small negative number is -0.0 (F.round goes by the decimal digits and knows no -0.0)."""
+    size = F.abs(x) * F.lit(10.0**places)
+    even = F.rint(size)
+    found = F.signum(x) * F.when(size - even == 0.5, even + 1).otherwise(even) / F.lit(10.0**places)
+    return F.when(size < float("inf"), found).otherwise(x)  # NaN counts as greater
+
+
 def clipped(a: Column, b: Column) -> Column:
     return F.least(F.greatest(dot(a, b), F.lit(0.0)), F.lit(1.0))
 

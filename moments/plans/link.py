@@ -322,7 +322,7 @@ def x26_attribute_distance(spark, sf):
 @query("SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12), 9)) AS unit FROM embeddings")
 def x12_l2_normalise(spark, sf):
     u = vx.unit(vx.doubles(F.col("embedding")))
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(u, lambda x: F.round(x, 9)).alias("unit"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(u, lambda x: vx.rounded(x, 9)).alias("unit"))
 
 
 _V = "CAST(a.embedding AS DOUBLE[])"
