@@ -44,7 +44,7 @@ def clipped(a: Column, b: Column) -> Column:
 
 def parsed(text: Column) -> Column:
     """A vector written as [..]; malformed text is an empty vector."""
-    ok = text.rlike(r"^\s*\[[-+0-9.eE,\s]*\]\s*$")
+    ok = text.rlike(r"^\s*\[([-+0-9.eE,\s]|NaN|Infinity|null)*\]\s*$")
     return F.coalesce(F.when(ok, F.from_json(text, "array<double>")), F.array().cast("array<double>"))
 
 

@@ -341,8 +341,9 @@ def x11_cosine(spark, sf):
 
 @query("SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x, 6)) AS v FROM embeddings")
 def x10_vector_parse(spark, sf):
-    text = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ","), F.lit("]"))
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(vx.parsed(text), lambda x: F.round(x, 6)).alias("v"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ",", "null"), F.lit("]"))
+    v = F.transform(vx.parsed(text), lambda x: vx.rounded(x, 6))
+    return table(spark, sf, "embeddings").select("vec_id", F.when(text.isNotNull(), v).alias("v"))
 
 
 BOX = """WITH bx AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag AS label, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + l_tax * 100 + 1 AS x2,
