@@ -269,9 +269,12 @@ def auc(scored: DataFrame) -> DataFrame:
 def track_costs(distances: DataFrame) -> DataFrame:
     """(track, pos, member, detection, distance, veto) to the cost of each (track, detection): of the last two members, mean,
     median and largest; a vetoed pair is infinite."""
-    last = F.row_number().over(W.partitionBy("track", "detection").orderBy(F.desc("pos"))) <= 2
-    out = distances.withColumn("last", last).groupBy("track", "detection").agg(
-        F.min(F.when(F.col("last"), F.col("distance"))).alias("last2"), F.avg("distance").alias("mean"),
+    newest = W.partitionBy("track", "detection").orderBy(F.desc("pos"))
+    placed = distances.withColumn("place", F.row_number().over(newest))
+    added = F.sum("distance").over(newest.rowsBetween(W.unboundedPreceding, W.currentRow))  # in one order, so its last digits never vary
+    out = placed.withColumn("added", added).groupBy("track", "detection").agg(
+        F.min(F.when(F.col("place") <= 2, F.col("distance"))).alias("last2"),
+        (F.max_by("added", "place") / F.nullif(F.count("distance"), F.lit(0))).alias("mean"),
         F.percentile("distance", 0.5).alias("median"), F.max("distance").alias("max"), F.max("veto").alias("veto"),
     )
     cost = lambda c: F.when(F.col("veto"), F.lit(float("inf"))).otherwise(F.col(c)).alias(c)
