@@ -97,7 +97,7 @@ def described(frames: DataFrame, rules: list[FrameRule]) -> Column:
 
 def walk(rules: list[FrameRule], states: list[dict], place: int, idx: int, ts: float, told: str) -> list[tuple]:
     """The records of one frame of a chunk, one for each sampler that keeps it."""
-    seen, out = json.loads(told), []
+    seen, out = {} if told == "{}" else json.loads(told), []
     for i, (rule, state) in enumerate(zip(rules, states)):
         kept, score = rule.offer(state, ts, place, seen.get(f"d{i}"))
         if kept:

@@ -9,6 +9,7 @@ from moments.operators import grid as g
 from moments.operators import sampling as sp
 from moments.operators import scan as sc
 from moments.operators import thin as th
+from moments.operators.folder import saved
 from moments.plans.grid import PLACED, _grid
 from moments.plans.registry import ORACLES, query
 from moments.plans.views import DAY, GRID, START, frames, sql, table
@@ -200,8 +201,14 @@ def _index_time():
     return F.timestamp_seconds(F.col("idx") + 1)
 
 
+def _chunk_time():
+    """The last time of a frame of its chunk, after which the chunk's state can go."""
+    return F.timestamp_micros((F.col("end_ts") * 1e6).cast("long") + 1)
+
+
 def _streamed(rows, rules, at, late, **options):
-    return st.run_counted(ss.sampled_stream(rows, rules, at, late, **options))[0]
+    slots = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return st.run_counted(ss.sampled_stream(rows, rules, at, late, slots=slots, **options))[0]
 
 
 def _kinds(spark, sf):
@@ -229,9 +236,9 @@ def t2_rate_limit_stream(spark, sf):
 @query(ORACLES["t3_stride"])
 def t3_stride_stream(spark, sf):
     seen = _arriving(frames(spark, sf).select("video_id", "idx", "media_ts"), "media_ts", LATER, idx=0)
-    chunks = _grid(spark, sf)
+    chunks = saved(_grid(spark, sf))
     place = lambda x: g.point_join(x, chunks, "media_ts", DAY)
-    return _streamed(seen, [sp.FrameRule("third", every=3)], _media_time(), WAIT, place=place).select("video_id", "chunk_id", "idx")
+    return _streamed(seen, [sp.FrameRule("third", every=3)], _media_time(), WAIT, end=_chunk_time(), place=place).select("video_id", "chunk_id", "idx")
 
 
 def _arriving_vectors(spark, sf):

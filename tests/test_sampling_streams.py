@@ -114,3 +114,26 @@ def test_a_video_is_decimated_and_sampled_in_one_state(spark, files):
     stream = ss.arrivals(df, "idx", files, 10, CLOSING)
     kept, _ = run_counted(ss.sampled_stream(stream, RULES, F.timestamp_seconds(F.col("idx") + 1), "60 seconds", by=("video_id",), rate=0.5))
     assert plain(kept.filter("video_id <> 'end'").select("video_id", "chunk_id", "sampler_id", "idx", "score").collect()) == want
+
+
+@pytest.mark.parametrize("slots", [1, 16])
+def test_many_keys_of_a_frame_share_the_state_of_a_slot(spark, slots):
+    rows = [(f"v{i}" if i % 50 else None, i % 3, i, float(i % 900 + 1), [0.0], []) for i in range(3000)]
+    df = spark.createDataFrame(rows, KIND)
+    rules = [sp.FrameRule("rate", "interval", min_interval=5.0, most=2)]
+    want = sorted(map(str, sp.sampled(df, rules, order="media_ts").select("video_id", "chunk_id", "idx", "media_ts").collect()))
+    stream = ss.arrivals(df, "media_ts", 3, 100.0, CLOSING)
+    end = at("media_ts") + F.expr("INTERVAL 1000 SECONDS")
+    kept, progress = run_counted(ss.sampled_stream(stream, rules, at("media_ts"), "200 seconds", end=end, slots=slots))
+    got = kept.filter("video_id IS NULL OR video_id <> 'end'").select("video_id", "chunk_id", "idx", "media_ts").collect()
+    assert sorted(map(str, got)) == want
+    assert all(p["state_rows"] <= 4 * slots for p in progress)  # blocks, folds and a timer
+
+
+def test_an_arrival_of_many_files_is_one_micro_batch(spark, monkeypatch):
+    monkeypatch.setattr(ss, "FILE", 20)
+    df = spark.createDataFrame(frames(), KIND)
+    stream = ss.arrivals(df, "media_ts", 3, 8.0, CLOSING)
+    kept, progress = run_counted(ss.sampled_stream(stream, RULES[:1], at("media_ts"), "60 seconds"))
+    assert [p["rows"] for p in progress if p["rows"]][-1] == 1 and sum(p["rows"] > 0 for p in progress) == 4
+    assert plain(kept.filter("video_id <> 'end'").collect()) == plain(sp.sampled(df, RULES[:1], order="media_ts").collect())
