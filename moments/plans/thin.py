@@ -226,10 +226,10 @@ def t1_decimate_in_order_stream(spark, sf):
 @query(ORACLES["t2_rate_limit"])
 def t2_rate_limit_stream(spark, sf):
     seen = _arriving(_kinds(spark, sf).drop("score"), "media_ts", LATER, kind="end", idx=0)
-    chunks = _grid(spark, sf)
+    chunks = saved(_grid(spark, sf))
     place = lambda x: g.point_join(x, chunks, "media_ts", DAY)
     rules = [sp.FrameRule("rate", "interval", min_interval=7200.0, most=5)]
-    kept = _streamed(seen, rules, _media_time(), WAIT, by=("video_id", "kind", "chunk_id"), place=place)
+    kept = _streamed(seen, rules, _media_time(), WAIT, by=("video_id", "kind", "chunk_id"), end=_chunk_time(), place=place)
     return kept.select("video_id", F.col("kind").alias("sampler_id"), "chunk_id", "idx")
 
 
