@@ -135,3 +135,17 @@ def test_odd_answers(spark):
     assert got[6].bad == ["mood: not text", "n: missing", "on: missing", "people: not entries", "other: unknown field"]
     assert [r.text for r in got[3:6]] == ["Said."] * 3
     assert an.pick_problems(["*", "summary", "mood.x", "people.size", "hat"], spec) == [("mood.x", "mood has no keys"), ("people.size", "unknown key size of people"), ("hat", "unknown field hat")]
+
+
+def test_postings_name_units_by_number_and_are_dealt_once(spark):
+    kind = "video_id string, chunk_id long, sampler_id string, content string"
+    df = spark.createDataFrame(units(random.Random(3), 200), kind)
+    index = ix.TextIndex.build(df)
+    index.upsert(df.filter("chunk_id < 20").withColumn("content", F.lit("river river stone")), df.filter("chunk_id = 30").select(*se.KEY))
+    held = index.table("postings").select("part", "block", F.inline("units"))
+    assert set(held.columns) == {"part", "block", "u", "tf"}
+    names = index.table("keys")
+    assert names.count() == 199 and names.select("part", "block", "u").distinct().count() == 199
+    assert held.join(names, ["part", "block", "u"], "left_anti").count() == 0
+    plan = ix._rows(ix._numbered(df, 4, 0))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
